@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import spread
+
 _SPARK = {
     "ms": "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)",
     "iso": lambda x: f"date_format(timestamp_millis({x}), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")",
@@ -181,7 +183,7 @@ FROM (SELECT event_id AS e, user_id AS u, event_type AS t, props, {d["ms"]} AS m
 def audit_events(spark: SparkSession, sf_dir: str, tick_ms: int = 1) -> DataFrame:
     """Audit events (one row per logical event, all extracted columns + ``raw``)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     # .format-style braces belong to spark.sql's parameter syntax, so a view is used.
     source.createOrReplaceTempView("audit_source_events")
     return spark.sql(_text(_SPARK, "audit_source_events", tick_ms))
