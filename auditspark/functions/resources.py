@@ -35,4 +35,4 @@ def with_references(events: DataFrame, name: str = "refs") -> DataFrame:
 
 def resource_refs(events: DataFrame) -> DataFrame:
     """One row per recorded reference: seq, arn, kind, source."""
-    return with_references(events.select("seq", "raw")).select("seq", F.inline("refs"))
+    return with_references(events.select("seq", "raw")).select("seq", F.inline_outer("refs")).filter("arn IS NOT NULL")

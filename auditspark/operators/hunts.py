@@ -63,7 +63,7 @@ def _event_keys(events: DataFrame, prefix_bits: Column) -> DataFrame:
     empty = F.array().cast("array<struct<keyKind:string,key:string>>")
     keys = F.concat(F.when(F.col("_hex").isNotNull(), F.coalesce(nets, empty)).otherwise(empty), one("key", "accessKeyId"),
                     one("event", "eventID"), one("arn", "identityArn"), one("arn", "roleArn"), arns)
-    return keyed.select("seq", F.inline(F.array_distinct(keys))).filter(_filled("key"))
+    return keyed.select("seq", F.inline_outer(F.array_distinct(keys))).filter(_filled("key"))
 
 
 def indicator_hits(events: DataFrame, indicators: DataFrame, f: Filter | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def link_keys(events: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
         "resource": lambda: F.transform("arns", lambda a: F.struct(F.lit("resource").alias("kind"), a.alias("key"))),
     }
     return events.filter(F.col("eventMs").isNotNull()).select(
-        "seq", "eventMs", F.inline(F.concat(*[made[k]() for k in kinds]))).filter(F.coalesce("key", F.lit("")) != "")
+        "seq", "eventMs", F.inline_outer(F.concat(*[made[k]() for k in kinds]))).filter(F.coalesce("key", F.lit("")) != "")
 
 
 def _check(minutes: int, relation: str) -> tuple[int, tuple[str, ...], int]:

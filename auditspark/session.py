@@ -32,15 +32,16 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.table(arrays, names=fields.names), fields)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the reliable checkpoint folder of the cluster.
-
-    The folder is the one named by ``spark.checkpoint.dir``.  Only where nobody
-    set one (tests on one machine) a temporary folder is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where nobody set it (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="auditspark-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="auditspark-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` reliably: its rows survive the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

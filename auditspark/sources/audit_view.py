@@ -2,8 +2,7 @@
 
 The projection is one SQL text with a few dialect slots, so that a Spark query
 and its DuckDB cross-check start from byte-identical rows.  It is map-only: no
-join, no shuffle, and Catalyst prunes every column a query does not read (the
-JSON text in ``raw`` is only assembled when asked for).
+join and no shuffle.
 
 ``tick_ms`` coarsens the clock so that several events of one identity share a
 timestamp; the ordered-sequence operator has special rules for such ties.
@@ -11,8 +10,11 @@ timestamp; the ordered-sequence operator has special rules for such ties.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
 from .files import spread
 
 _SPARK = {
@@ -180,15 +182,33 @@ FROM (SELECT event_id AS e, user_id AS u, event_type AS t, props, {d["ms"]} AS m
 ) b1 ) b2 ) b3 ) b4"""
 
 
-def audit_events(spark: SparkSession, sf_dir: str, tick_ms: int = 1) -> DataFrame:
-    """Audit events (one row per logical event, all extracted columns + ``raw``)."""
+def project_events(spark: SparkSession, sf_dir: str, tick_ms: int = 1) -> DataFrame:
+    """The projection itself, not stored."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     source = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    # .format-style braces belong to spark.sql's parameter syntax, so a view is used.
     source.createOrReplaceTempView("audit_source_events")
     return spark.sql(_text(_SPARK, "audit_source_events", tick_ms))
 
 
+_stored: dict[tuple[str, str, int], str] = {}
+
+
+def audit_events(spark: SparkSession, sf_dir: str, tick_ms: int = 1) -> DataFrame:
+    """Audit events (one row per logical event, all extracted columns + ``raw``).
+
+    Events are imported once per application into a Parquet table in the shared
+    checkpoint folder, as the engine stores them: every query then scans only
+    its columns and its bounds on stored columns reach the scan.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    key = (spark.sparkContext.applicationId, sf_dir, tick_ms)
+    if key not in _stored:
+        path = f"{shared_folder(spark)}/audit-events-{uuid.uuid4().hex}"
+        project_events(spark, sf_dir, tick_ms).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def audit_events_sql(tick_ms: int = 1) -> str:
     """The same rows for DuckDB, to be used as ``WITH ev AS (<this>)``."""
     return _text(_DUCK, "events", tick_ms)
