@@ -4,33 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .records import variant, variant_string
-
 COMPLETE_ARN = r"(?d)\Aarn:[^:]+:[^:]+:[^:]*:[^:]*:.+\z"
 
+# One parse per record.  Elements stay text: one odd element must not lose the
+# others, and no number, list or object can be mistaken for a resource name.
+CONTEXT = "sharedEventID string, requestID string, resources array<string>, requestParameters map<string,string>"
 _REF = "struct<arn:string,kind:string,source:string>"
 
 
-def reference_array(v: Column) -> Column:
+def reference_array(resources: Column, parameters: Column) -> Column:
     """array<struct<arn, kind, source>> from resources[] and top-level request strings."""
-    items = F.try_variant_get(v, "$.resources", "array<variant>")
-    listed = F.transform(items, lambda x, i: F.struct(
-        variant_string(x, "$.ARN").alias("arn"), F.coalesce(F.try_variant_get(x, "$.type", "string"), F.lit("")).alias("kind"),
+    listed = F.transform(resources, lambda x, i: F.struct(
+        F.get_json_object(x, "$.ARN").alias("arn"), F.coalesce(F.get_json_object(x, "$.type"), F.lit("")).alias("kind"),
         F.concat(F.lit("resources["), i.cast("string"), F.lit("].ARN")).alias("source")))
-    members = F.map_entries(F.try_variant_get(v, "$.requestParameters", "map<string,variant>"))
-
-    def request(e: Column) -> Column:
-        name = F.to_json(F.array(e["key"]))
-        return F.struct(variant_string(e["value"], "$").alias("arn"), F.lit("Request reference").alias("kind"), F.concat(
-            F.lit("requestParameters"), name).alias("source"))
-
+    request = F.transform(F.map_entries(parameters), lambda e: F.struct(
+        e["value"].alias("arn"), F.lit("Request reference").alias("kind"),
+        F.concat(F.lit("requestParameters"), F.to_json(F.array(e["key"]))).alias("source")))
     empty = F.array().cast(f"array<{_REF}>")
-    both = F.concat(F.coalesce(listed, empty), F.coalesce(F.transform(members, request), empty))
+    both = F.concat(F.coalesce(listed, empty), F.coalesce(request, empty))
     return F.filter(both, lambda r: F.coalesce(r["arn"].rlike(COMPLETE_ARN), F.lit(False)))
 
 
-def with_references(events: DataFrame, name: str = "refs") -> DataFrame:
-    return events.withColumn("_variant", variant()).withColumn(name, reference_array(F.col("_variant"))).drop("_variant")
+def with_references(events: DataFrame, name: str = "refs", ids: bool = False) -> DataFrame:
+    """Add the references and, with ``ids``, the recorded sharedID and requestID."""
+    parsed = events.withColumn("_context", F.from_json("raw", CONTEXT))
+    if ids:
+        parsed = parsed.withColumns({"sharedID": F.col("_context.sharedEventID"), "requestID": F.col("_context.requestID")})
+    return parsed.withColumn(name, reference_array(F.col("_context.resources"), F.col("_context.requestParameters"))).drop("_context")
 
 
 def resource_refs(events: DataFrame) -> DataFrame:

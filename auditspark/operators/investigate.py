@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import with_target
 from ..functions.network import ip_hex
-from ..functions.records import json_text
 from ..functions.resources import resource_refs, with_references
+from ..session import checkpoint
 from .aggregates import top_rows
 
 CONTEXT_LIMIT, RESOURCE_LIMIT, RESOURCE_NAMES = 500, 100, 5
@@ -22,8 +22,7 @@ _TICKS = 64  # ticks per half window
 
 def with_context_columns(events: DataFrame) -> DataFrame:
     """Columns the relations compare: recorded ids and the distinct resource names."""
-    out = events.withColumns({"sharedID": json_text("$.sharedEventID"), "requestID": json_text("$.requestID")})
-    return with_references(out).withColumn("arns", F.array_distinct(F.transform("refs", lambda r: r["arn"]))).drop("refs")
+    return with_references(events, ids=True).withColumn("arns", F.array_distinct(F.transform("refs", lambda r: r["arn"]))).drop("refs")
 
 
 def _key(*names: str) -> Column:
@@ -57,9 +56,27 @@ def _check(minutes: int, relation: str) -> tuple[int, tuple[str, ...], int]:
     return delta, RELATIONS[relation], delta // _TICKS
 
 
-def _anchor_keys(context: DataFrame, anchors: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    chosen = context.join(anchors.select("seq").distinct(), "seq", "left_semi")
-    return link_keys(chosen, kinds).select(F.col("seq").alias("anchor"), F.col("eventMs").alias("anchorMs"), "kind", "key")
+def _linked(events: DataFrame, anchors: DataFrame, kinds: tuple[str, ...], tick: int) -> tuple[DataFrame, DataFrame]:
+    """(anchor keys, event keys with tick) for the wanted kinds.
+
+    Keys are read several times; where they need the record text they are
+    checkpointed (narrow rows), so that the text is parsed once.
+    """
+    keyed = link_keys(with_context_columns(events), kinds)
+    if set(kinds) & {"shared", "request", "resource"}:
+        keyed = checkpoint(keyed)
+    probes = keyed.join(anchors.select("seq").distinct(), "seq", "left_semi") \
+        .select(F.col("seq").alias("anchor"), F.col("eventMs").alias("anchorMs"), "kind", "key")
+    # Only keys of some anchor matter; the key list is deduplicated before it is joined.
+    linked = keyed.withColumn("tick", F.floor(F.col("eventMs") / tick)) \
+        .join(probes.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    return probes, linked
+
+
+def _selves(events: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The anchors themselves: they belong to their own context under every relation."""
+    return events.filter(F.col("eventMs").isNotNull()).join(anchors.select("seq").distinct(), "seq", "left_semi") \
+        .select(F.col("seq").alias("anchor"), F.col("eventMs").alias("anchorMs"))
 
 
 def _rings(anchor_keys: DataFrame, low: Column, high: Column, tick: int) -> DataFrame:
@@ -76,11 +93,7 @@ def near_pairs(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation
     holds its ``cap`` closest events, and only events within it are joined.
     """
     delta, kinds, tick = _check(minutes, relation)
-    context = with_context_columns(events)
-    probes = _anchor_keys(context, anchors, kinds)
-    linked = link_keys(context, kinds).withColumn("tick", F.floor(F.col("eventMs") / tick))
-    # Only keys of some anchor matter; the key list is deduplicated before it is joined.
-    linked = linked.join(probes.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    probes, linked = _linked(events, anchors, kinds, tick)
 
     own = F.floor(F.col("anchorMs") / tick)
     counts = linked.groupBy("kind", "key", "tick").agg(F.count(F.lit(1)).alias("n"))
@@ -97,11 +110,7 @@ def near_pairs(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation
     pairs = wanted.join(linked, ["kind", "key", "tick"]) \
         .filter(F.abs(F.col("eventMs") - F.col("anchorMs")) <= F.col("reach")) \
         .select("anchor", "anchorMs", "seq", "eventMs")
-    # the anchor belongs to its own context under every relation
-    selves = probes.select("anchor", "anchorMs").unionByName(
-        context.filter(F.col("eventMs").isNotNull()).join(anchors.select("seq").distinct(), "seq", "left_semi")
-        .select(F.col("seq").alias("anchor"), F.col("eventMs").alias("anchorMs"))) \
-        .select("anchor", "anchorMs", F.col("anchor").alias("seq"), F.col("anchorMs").alias("eventMs"))
+    selves = _selves(events, anchors).select("anchor", "anchorMs", F.col("anchor").alias("seq"), F.col("anchorMs").alias("eventMs"))
     unique = pairs.unionByName(selves).dropDuplicates(["anchor", "seq"])
     gap = F.abs(F.col("eventMs") - F.col("anchorMs"))
     closest = top_rows(unique, ["anchor"], [(F.col("anchor") == F.col("seq")).desc(), gap.asc(), F.col("eventMs").asc(), F.col("seq").asc()], cap)
@@ -116,14 +125,10 @@ def context_totals(events: DataFrame, anchors: DataFrame, minutes: int = 5, rela
     several keys, distinct events are counted.
     """
     delta, kinds, tick = _check(minutes, relation)
-    context = with_context_columns(events)
-    probes = _anchor_keys(context, anchors, kinds)
-    linked = link_keys(context, kinds).withColumn("tick", F.floor(F.col("eventMs") / tick))
-    linked = linked.join(probes.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    probes, linked = _linked(events, anchors, kinds, tick)
     low, high = F.floor((F.col("anchorMs") - delta) / tick), F.floor((F.col("anchorMs") + delta) / tick)
     inside = F.abs(F.col("eventMs") - F.col("anchorMs")) <= delta
-    alone = context.filter(F.col("eventMs").isNotNull()).join(anchors.select("seq").distinct(), "seq", "left_semi") \
-        .select(F.col("seq").alias("anchor"))
+    alone = _selves(events, anchors).select("anchor")
     if len(kinds) == 1 and kinds[0] != "resource":
         counts = linked.groupBy("kind", "key", "tick").agg(F.count(F.lit(1)).alias("n"))
         full = _rings(probes, low + 1, high - 1, tick).join(counts, ["kind", "key", "tick"]).select("anchor", "n")
@@ -144,10 +149,12 @@ def surrounding(events: DataFrame, anchors: DataFrame, minutes: int = 5, relatio
     ``reasons`` is array<struct<kind, value>>: 'anchor', or the recorded links in
     fixed order, or 'time' when nothing but proximity holds.
     """
-    pairs = near_pairs(events, anchors, minutes, relation, cap)
+    pairs = checkpoint(near_pairs(events, anchors, minutes, relation, cap))  # at most ``cap`` rows per anchor
     compared = ("accessKeyId", "identityArn", "sourceIPAddress", "sharedID", "requestID", "eventSource", "eventName",
                 "recipientAccountId", "awsRegion", "arns")
-    narrow = with_context_columns(events).select("seq", *compared)
+    # every anchor is in its own context, so these seqs cover both sides; texts are parsed for them only
+    shown = events.join(pairs.select("seq").distinct(), "seq", "left_semi")
+    narrow = with_context_columns(shown).select("seq", *compared)
     left = narrow.select(F.col("seq").alias("anchor"), *[F.col(c).alias("a_" + c) for c in compared])
     rows = pairs.join(narrow, "seq").join(left, "anchor")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diff, enrich, lineage, maintain
+from ..sources.files import spread
 from ..sources.readers import unwrap_envelopes
 from ..sources.sinks import bundle_tables
 from ..streaming.intake import affected_sequences, capture_scope
@@ -167,7 +168,7 @@ def federated_identities(spark, sf):
 
 
 def _audit_log(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet")
+    o = spread(spark.read.parquet(f"{sf}/orders.parquet"))
     key = F.concat(F.lit("ASIA"), F.lpad((F.col("o_custkey") % 200).cast("string"), 8, "0"))
     part = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
     n = F.col("o_orderkey")
