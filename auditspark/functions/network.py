@@ -11,7 +11,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"\A{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\z"
@@ -27,24 +27,28 @@ def _v4_hex(text: Column) -> Column:
     return F.concat(*[_hex2(F.split_part(text, F.lit("."), F.lit(i))) for i in (1, 2, 3, 4)])
 
 
+# doubled gaps, overlong groups, single colons at an end
+_BAD_GROUPS = r"::.*::|:::|[0-9a-fA-F]{5}|(?<!:):\z|\A:(?!:)"
+
+
 def _v6_groups_hex(text: Column) -> Column:
-    """Hex of colon groups: fill the '::' gap, check, then left-pad every group."""
-    gap = text.contains("::")
+    """Hex of colon groups: fill the '::' gap, left-pad every group, keep exactly eight."""
+    one_if = lambda test: F.when(test, 1).otherwise(0)
     colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
-    missing = F.when(gap, 8 - colons + F.when(text.startswith("::"), 1).otherwise(0) + F.when(text.endswith("::"), 1).otherwise(0))
-    filled = F.replace(text, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.coalesce(missing, F.lit(0)))))
-    groups = F.when(gap & ((missing < 1) | text.rlike("::.*::|:::")), F.lit(None).cast("string")).otherwise(
-        F.regexp_replace(F.when(gap, filled).otherwise(text), r"\A:(?=0:)|(?<=:0):\z", ""))
-    padded = F.regexp_replace(groups, r"([0-9a-fA-F]+)", "000$1")
-    packed = F.regexp_replace(padded, r"[0-9a-fA-F]{0,3}([0-9a-fA-F]{4})(?::|\z)", "$1")
-    return F.when(groups.rlike(r"\A[0-9a-fA-F]{1,4}(:[0-9a-fA-F]{1,4}){7}\z"), F.lower(packed))
+    missing = 8 - colons + one_if(text.startswith("::")) + one_if(text.endswith("::"))
+    gap = F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.nullif(F.greatest(missing, F.lit(0)), F.lit(0))))
+    filled = F.regexp_replace(F.replace(text, F.lit("::"), gap), r"\A:|:\z", "")
+    padded = F.regexp_replace(F.lower(F.when(text.contains("::"), filled).otherwise(text)), "([0-9a-f]+)", "000$1")
+    packed = F.regexp_replace(padded, r"[0-9a-f]{0,3}([0-9a-f]{4})(?::|\z)", "$1")
+    return F.when(~text.rlike(_BAD_GROUPS), F.nullif(F.regexp_extract(packed, r"\A([0-9a-f]{32})\z", 1), F.lit("")))
 
 
 def _v6_hex(text: Column) -> Column:
     # A dotted tail stands for two groups: '0:0' holds its place, its digits follow after.
     packed = _v6_groups_hex(F.regexp_replace(text, r"[0-9]+\.[0-9.]*\z", "0:0"))
     dotted = F.regexp_extract(text, r"[0-9]+\.[0-9.]*\z", 0)
-    return F.when(~text.contains("."), packed).when(dotted.rlike(_V4), F.concat(F.left(packed, F.lit(24)), _v4_hex(dotted)))
+    plain = ~text.contains(".")
+    return F.concat(F.left(packed, F.when(plain, 32).otherwise(24)), F.when(plain, "").when(dotted.rlike(_V4), _v4_hex(dotted)))
 
 
 def _v4_key(text: Column) -> Column:
@@ -60,6 +64,11 @@ def ip_hex(text: Column) -> Column:
     return F.coalesce(_v4_key(text), _v6_key(text))
 
 
+def with_ip_hex(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the hex key as a generated column: later filters read it instead of repeating the expression."""
+    return df.select("*", F.explode_outer(F.array(ip_hex(F.col(column)))).alias(name))
+
+
 def mask_hex(key: Column, bits: Column) -> Column:
     """Leading ``bits`` of a hex key (``bits`` may be a column)."""
     whole = F.floor(bits / 4).cast("int")

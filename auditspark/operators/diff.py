@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.flatten import flatten_records
+from ..session import checkpoint
 from .aggregates import top_rows
 
 PREVIEW, CHANGE_LIMIT = 512, 500
@@ -50,11 +51,12 @@ def diff_versions(pairs: DataFrame, limit: int | None = CHANGE_LIMIT) -> DataFra
     met = rows.groupBy("pair", "path").agg(F.first("parent").alias("parent"), *[
         side(s, c).alias(f"{s}_{c}") for s in ("l", "r") for c in ("kind", "value", "children")])
     alike = (F.col("l_kind") == F.col("r_kind")) & F.col("l_kind").isin(*_CONTAINERS)
-    met = met.withColumn("_alike", F.coalesce(alike, F.lit(False)))
+    unlike = ~(F.col("l_kind").eqNullSafe(F.col("r_kind")) & F.col("l_value").eqNullSafe(F.col("r_value")))
+    # Equal scalars are done here; what remains is read twice, so it is kept.
+    met = checkpoint(met.withColumn("_alike", F.coalesce(alike, F.lit(False))).filter(F.col("_alike") | unlike))
     open_members = met.filter("_alike").select("pair", F.col("path").alias("parent"))
     top = met.filter(~F.col("_alike") & F.col("parent").isNull())
     inner = met.filter(~F.col("_alike")).join(open_members, ["pair", "parent"], "left_semi")
-    unlike = ~(F.col("l_kind").eqNullSafe(F.col("r_kind")) & F.col("l_value").eqNullSafe(F.col("r_value")))
 
     def shown(s: str) -> Column:
         kind, value, n = (F.col(f"{s}_{c}") for c in ("kind", "value", "children"))
@@ -64,7 +66,7 @@ def diff_versions(pairs: DataFrame, limit: int | None = CHANGE_LIMIT) -> DataFra
         return F.left(text, F.lit(PREVIEW))
 
     change = F.when(F.col("l_kind").isNull(), "added").when(F.col("r_kind").isNull(), "removed").otherwise("changed")
-    changes = inner.unionByName(top).filter(unlike).select(
+    changes = inner.unionByName(top).select(
         "pair", F.when(F.col("path") == "", "(root)").otherwise(F.col("path")).alias("path"), change.alias("change"),
         F.coalesce("l_kind", F.lit("missing")).alias("leftKind"), shown("l").alias("left"),
         F.coalesce("r_kind", F.lit("missing")).alias("rightKind"), shown("r").alias("right"))

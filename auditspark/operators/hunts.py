@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.network import canonical_network, ip_hex, network_key
+from ..functions.network import canonical_network, network_key, with_ip_hex
 from ..functions.resources import COMPLETE_ARN, with_references
 from ..model import Filter
 from ..plans.slices import with_slices
@@ -51,23 +51,25 @@ def indicator_keys(indicators: DataFrame) -> DataFrame:
         "netBits")
 
 
-def _event_keys(events: DataFrame, prefix_bits: Column) -> DataFrame:
-    """All lookup keys of every event: networks of its address, key, id and resource names."""
+def _address_keys(events: DataFrame, prefix_bits: Column) -> DataFrame:
+    """Network keys of every event address, one per wanted prefix length."""
+    hexed = with_ip_hex(events.select("seq", "sourceIPAddress"), "sourceIPAddress", "_hex").filter(F.col("_hex").isNotNull())
+    sized = hexed.select("seq", "_hex", F.explode(prefix_bits).alias("_bits")).filter(F.col("_bits") <= F.length("_hex") * 4)
+    return sized.select("seq", F.lit("net").alias("keyKind"), network_key(F.col("_hex"), F.col("_bits")).alias("key"))
+
+
+def _identifier_keys(events: DataFrame) -> DataFrame:
+    """Credential, event id and resource names of every event, each once."""
     typed = lambda kind, key: F.struct(F.lit(kind).alias("keyKind"), key.alias("key"))
-    one = lambda kind, name: F.array(typed(kind, F.col(name)))
-    nets = F.transform("_bits", lambda b: typed("net", F.when(b * 1 <= F.length("_hex") * 4, network_key(F.col("_hex"), b))))
-    arns = F.transform("refs", lambda r: typed("arn", r["arn"]))
-    keyed = with_references(events.select(
-        "seq", "sourceIPAddress", "accessKeyId", "eventID", "identityArn", "roleArn", "raw")) \
-        .withColumn("_hex", ip_hex(F.col("sourceIPAddress"))).withColumn("_bits", prefix_bits)
-    empty = F.array().cast("array<struct<keyKind:string,key:string>>")
-    keys = F.concat(F.when(F.col("_hex").isNotNull(), F.coalesce(nets, empty)).otherwise(empty), one("key", "accessKeyId"),
-                    one("event", "eventID"), one("arn", "identityArn"), one("arn", "roleArn"), arns)
+    keyed = with_references(events.select("seq", "accessKeyId", "eventID", "identityArn", "roleArn", "raw"))
+    own = F.array(typed("key", F.col("accessKeyId")), typed("event", F.col("eventID")), typed("arn", F.col("identityArn")),
+                  typed("arn", F.col("roleArn")))
+    keys = F.concat(own, F.transform("refs", lambda r: typed("arn", r["arn"])))
     return keyed.select("seq", F.inline_outer(F.array_distinct(keys))).filter(_filled("key"))
 
 
 def indicator_hits(events: DataFrame, indicators: DataFrame, f: Filter | None = None) -> DataFrame:
-    """(seq, indicator_id) pairs from one scan and one equi join.
+    """(seq, indicator_id) pairs from one equi join.
 
     Events are expanded map-side to their typed lookup keys; a network match is
     an equality of masked addresses, for the at most 162 prefix lengths that
@@ -75,7 +77,8 @@ def indicator_hits(events: DataFrame, indicators: DataFrame, f: Filter | None =
     """
     keys = indicator_keys(indicators)
     bits = keys.agg(F.array_sort(F.collect_set("netBits"))).scalar()
-    probes = _event_keys(apply_filter(events, f), bits)
+    scoped = apply_filter(events, f)
+    probes = _address_keys(scoped, bits).unionByName(_identifier_keys(scoped))
     return probes.join(keys.select("indicator_id", "keyKind", "key"), ["keyKind", "key"]).select("seq", "indicator_id")
 
 

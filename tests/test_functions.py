@@ -23,7 +23,7 @@ def _address(text):
 def _samples(rng):
     fixed = ["", "::", "::1", "1::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::2::3", ":::", "::ffff:1.2.3.4", "::1.2.3.256",
              "1:2:3:4:5:6:7:1.2.3.4", "fe80::1%eth0", "01.2.3.4", "1.2.3", "12345::", ":1:2:3:4:5:6:7", "1.2.3.4:", "::1.2.3.4:5",
-             "0:0::0:0:0:0:0", "1.1.1.1\n", "ec2.amazonaws.com"]
+             "0:0::0:0:0:0:0", ":0:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:0:", "1:2:3:4:5:6:7:8:", "1:2:3:4::5:6:7:8", "1.1.1.1\n", "ec2.amazonaws.com"]
     for _ in range(800):
         n = rng.getrandbits(128) & rng.getrandbits(128) if rng.random() < .5 else rng.getrandbits(128)
         text = rng.choice([str(ipaddress.ip_address(n)), ipaddress.IPv6Address(n).exploded, str(ipaddress.IPv4Address(n >> 96))])
