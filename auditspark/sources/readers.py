@@ -33,7 +33,11 @@ CSV_FIELDS = {
 }
 CSV_IDENTITY = {"userName": ("user name", "username"), "arn": ("arn", "user arn")}
 _BLANK = " \r\n\t"
-_scan = json.JSONDecoder().raw_decode
+
+
+def _scan(text: str, at: int) -> tuple[object, int]:
+    """Value at ``at`` and the offset behind it; made per call, since a decoder cannot travel to the workers."""
+    return json.JSONDecoder().raw_decode(text, at)
 
 
 def _skip(text: str, at: int) -> int:
