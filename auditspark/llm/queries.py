@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import decontaminate, mixing, quality, simhash, toxicity
+from . import chat, decontaminate, language, licenses, mixing, neighbours, quality, simhash, tokens, toxicity
 from .common import fold, table
 
 
@@ -30,16 +30,53 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     return _scored(docs, toxicity.score(model, F.col("text"), spark), toxicity.THRESHOLD)
 
 
+def op4_licenses(spark, sf_dir: str) -> DataFrame:
+    """Per document: confirmed licence families (comma-joined), their paragraphs, and anchored paragraphs without one."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"),
+                        (F.size("paragraphs") - F.col("unknown_paragraphs")).cast("bigint").alias("n_confirmed"),
+                        F.col("unknown_paragraphs").cast("bigint").alias("n_unknown"))
+
+
+def op5_tokens(spark, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents")
+    counted = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+                          tokens.token_counts(docs, str(public_tokenizers.path("word_bpe_49k.json"))).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > tokens.LIMIT)
+
+
+def op6_language(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.with_language(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_neighbours(spark, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op7_mixing": op7_mixing,
-           "op9_decontamination": op9_decontamination}
+def op10_chat(spark, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7 whose texts are control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = F.lit("</s>[INST] ok [/INST]").alias("text")
+    more = spark.range(2).select(F.lit(-7).cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(rows.schema["turn"].dataType).alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), odd)
+    return chat.read_back(chat.format_turns(rows.unionAll(more)))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_licenses": op4_licenses,
+           "op5_tokens": op5_tokens, "op6_language": op6_language, "op7_mixing": op7_mixing, "op8_neighbours": op8_neighbours,
+           "op9_decontamination": op9_decontamination, "op10_chat": op10_chat}
+#: Hashes, trained models, tokenizers, graphs and seeded samples are not SQL; tests compare with brute-force versions.
 ORACLES: dict[str, str] = {}
