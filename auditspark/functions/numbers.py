@@ -26,12 +26,12 @@ MAX_CHARS, MAX_EXPONENT, MAX_LEVELS, MAX_NODES, MAX_RECORD = 4096, 4096, 64, 50_
 def parse_exact(text: str) -> Decimal | None:
     """Exact value; None when the text is no JSON number; ValueError beyond the bounds."""
     if len(text) > MAX_CHARS:
-        raise ValueError("numeric value exceeds 4096 characters")
+        raise ValueError(f"a number of {len(text)} characters")
     if not re.fullmatch(NUMBER, text):
         return None
     exponent = re.search(r"[eE]([+-]?[0-9]+)$", text)
     if exponent and abs(int(exponent.group(1))) > MAX_EXPONENT:
-        raise ValueError("numeric exponent exceeds the supported range of 4096")
+        raise ValueError("a power of ten beyond 4096")
     return Decimal(text)
 
 
@@ -42,7 +42,7 @@ class _Token(str):
 def _members(pairs):
     found = dict(pairs)
     if len(found) != len(pairs):
-        raise ValueError("duplicate JSON member makes numeric evidence ambiguous")
+        raise ValueError("a member is given twice, so its number is not certain")
     return found
 
 
@@ -52,7 +52,7 @@ def _check_bounds(root):
         value, level = stack.pop()
         nodes += 1
         if level > MAX_LEVELS or nodes > MAX_NODES:
-            raise ValueError("numeric evidence traversal exceeds 64 levels or 50000 values")
+            raise ValueError("a record too deep or too large to look for numbers")
         children = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
         stack.extend((child, level + 1) for child in children)
 

@@ -136,7 +136,7 @@ def _windowed(events: DataFrame, f: Filter | None, hours: int | None, entity: tu
         rows = scoped.withColumns({"inCurrent": F.lit(True), "inPrevious": F.lit(False)})
     else:
         if hours not in WINDOW_HOURS:
-            raise ValueError("choose a 1-hour, 24-hour or 7-day comparison window")
+            raise ValueError(f"no such window: {hours} hours; known are {WINDOW_HOURS}")
         width = hours * 3_600_000
         stop = apply_filter(events, f).agg((F.max("eventMs") + 1).alias("stop")).scalar()
         age = F.col("_stop") - F.col("eventMs")
@@ -147,7 +147,7 @@ def _windowed(events: DataFrame, f: Filter | None, hours: int | None, entity: tu
     if entity is not None:
         dimension, value = entity
         if dimension not in DIMENSIONS or len(value) > 8192:
-            raise ValueError("invalid analysis entity")
+            raise ValueError(f"cannot break down by {dimension!r}")
         rows = rows.filter(F.coalesce(dimension, F.lit("")) == value)
     return rows
 

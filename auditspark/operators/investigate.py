@@ -49,7 +49,7 @@ def link_keys(events: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 
 def _check(minutes: int, relation: str) -> tuple[int, tuple[str, ...], int]:
     if not 1 <= minutes <= 60:
-        raise ValueError("choose a context window between 1 and 60 minutes")
+        raise ValueError(f"context reaches from 1 to 60 minutes, not {minutes}")
     if relation not in RELATIONS:
         raise ValueError(f"unknown relation {relation!r}")
     delta = minutes * 60_000

@@ -72,7 +72,7 @@ def _unwrap(element: str) -> str:
     event = json.loads(element)
     inner = event.get("CloudTrailEvent") if isinstance(event, dict) else None
     if not isinstance(inner, str) or not inner:
-        raise ValueError("lookup event is missing CloudTrailEvent")
+        raise ValueError("an event of a history export carries no record")
     return inner
 
 
@@ -92,7 +92,7 @@ def json_records(text: str) -> Iterator[tuple[str, str]]:
                 at = _skip(text, _expect(text, at, ":"))
                 if name in ("Records", "Events"):
                     if wrapped:
-                        raise ValueError("multiple record containers in one object")
+                        raise ValueError("an object lists records twice")
                     wrapped = True
                     for piece, at in _elements(text, at):
                         if piece:
@@ -108,7 +108,7 @@ def json_records(text: str) -> Iterator[tuple[str, str]]:
             if not wrapped:
                 yield text[start:at], "cloudtrail-json"
         else:
-            raise ValueError("unexpected content after JSON records")
+            raise ValueError(f"no JSON value at offset {at}")
         at = _skip(text, at)
 
 

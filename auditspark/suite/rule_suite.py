@@ -21,15 +21,13 @@ def _register(name, oracle=None):
 
 
 _AWS = {"product": "aws", "service": "cloudtrail"}
-_V6 = "sourceIPAddress LIKE '%:%'"
-_LITERAL_IP = "sourceIPAddress NOT LIKE '%com'"
 _EXAMPLE_SQL = {
-    "Root identity used": "identityType = 'Root'",
-    "Console sign-in without second factor": "false",
-    "Secret read outside a service": "eventName = 'GetSecretValue' AND NOT (coalesce(identityType = 'AWSService', false) OR coalesce(invokedBy, '') <> '')",
-    "Trail changed": "eventName IN ('StopLogging', 'DeleteTrail')",
-    "Role assumed from another account": "eventName = 'AssumeRole' AND recipientAccountId IS NOT NULL AND accountId <> recipientAccountId",
-    "Console sign-in outside known networks": f"eventName = 'ConsoleLogin' AND {_LITERAL_IP} AND NOT sourceIPAddress LIKE '2001:db8:%'",
+    "Credentials asked for over an hour": "eventSource LIKE 'sts.%' AND eventName <> 'AssumeRoot' AND eventNo % 5 = 4",
+    "Role session hands out a permanent key": "eventName = 'CreateAccessKey' AND userNo % 5 < 2 AND copy = 0",
+    "Storage written by an unattended client": "eventName = 'PutObject' AND eventNo % 6 <> 1",
+    "Machines started in an unusual region": "eventName = 'RunInstances' AND coalesce(awsRegion, '?') NOT IN ('us-east-1', 'eu-west-1', 'EU-West-1', '')",
+    "Calls that were slowed down or refused": "errorCode <> ''",
+    "Sign-in from outside the office": "eventName = 'ConsoleLogin' AND (sourceIPAddress LIKE '10.1.%' OR sourceIPAddress LIKE '10.3.%' OR sourceIPAddress LIKE '2001:db8:%')",
 }
 # One rule per modifier family, each with its hand-written predicate.
 _MODIFIER_RULES = [
@@ -53,8 +51,11 @@ _MODIFIER_RULES = [
     ("cidr", {"a": {"sourceIPAddress|cidr": "10.2.0.0/17"}, "condition": "a"}, "sourceIPAddress LIKE '10.2.%' AND try_cast(split_part(sourceIPAddress, '.', 3) AS INT) < 128"),
     ("missing under not", {"a": {"errorMessage|contains": "rate"}, "b": {"eventName": "DeleteTrail"}, "condition": "b and not a"},
      "eventName = 'DeleteTrail' AND NOT coalesce(errorMessage ILIKE '%rate%', false)"),
-    ("encoded", {"a": {"userAgent|base64offset|contains": "console"}, "b": {"eventName|wide|base64": "x"}, "c": {"eventName": "ListBuckets"}, "condition": "c and not (a or b)"},
-     "eventName = 'ListBuckets'"),
+    # base64 of the values is "Inst" and "clou", which names of the fixture contain
+    ("encoded", {"a": {"eventName|base64|contains": "\"{-"}, "b": {"eventName|wide|base64": "x"}, "condition": "a and not b"}, "eventName LIKE '%Inst%'"),
+    ("encoded at any offset", {"a": {"eventSource|base64offset|contains": "rZ."}, "condition": "a"}, "eventSource = 'cloudtrail.amazonaws.com'"),
+    ("sign-in without second factor", {"a": {"eventName": "ConsoleLogin", "additionalEventData.MFAUsed|cased": "No"}, "condition": "a"},
+     "eventName = 'ConsoleLogin' AND userNo % 3 = 0"),
 ]
 _COUNT_RULES = [
     ("many denials per principal", {"d": {"errorCode": "AccessDenied"}, "condition": "d | count() by userIdentity.arn >= 8"},
@@ -106,10 +107,9 @@ def rule_suite_summary(spark, sf):
     return rules.run_rules(ev(spark, sf), suite)["summary"]
 
 
-@_register("rule_explained_rows", with_ev("""SELECT * FROM (SELECT seq, row_number() OVER (ORDER BY seq DESC) AS rank,
-  'by_service=' || CAST(coalesce(identityType = 'AWSService', false) OR coalesce(invokedBy, '') <> '' AS VARCHAR) || ',read=true' AS selections
-  FROM ev WHERE eventName = 'GetSecretValue' AND NOT (coalesce(identityType = 'AWSService', false) OR coalesce(invokedBy, '') <> '')) WHERE rank <= 500"""))
+@_register("rule_explained_rows", with_ev("""SELECT * FROM (SELECT seq, row_number() OVER (ORDER BY seq DESC) AS rank, 'agent=true,console=false,write=true' AS selections
+  FROM ev WHERE eventName = 'PutObject' AND eventNo % 6 <> 1) WHERE rank <= 700"""))
 def rule_explained_rows(spark, sf):
-    rows = rules.run_rule(ev(spark, sf), rules.EXAMPLE_RULES[2])["rows"]
+    rows = rules.run_rule(ev(spark, sf), rules.EXAMPLE_RULES[2], limit=700)["rows"]
     text = F.transform("selections", lambda s: F.concat(s["name"], F.lit("="), s["matched"].cast("string")))
     return rows.select("seq", "rank", F.array_join(text, ",").alias("selections"))
