@@ -9,7 +9,8 @@ from ..sources.files import spread
 from ..sources.readers import unwrap_envelopes
 from ..sources.sinks import bundle_tables
 from ..streaming.intake import affected_sequences, capture_scope
-from .common import ev, with_ev
+from .common import ACCOUNT_SQL, ev, with_ev
+from .lineage_suite import EDGES
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -181,7 +182,7 @@ def _audit_log(spark, sf):
 
 
 def _digests(spark, sf):
-    c = spark.read.parquet(f"{sf}/customer.parquet").filter("c_custkey < 200")
+    c = spark.read.parquet(f"{sf}/customer.parquet")
     key = F.concat(F.lit("ASIA"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
     return c.select(key.alias("access_key"), F.concat(F.lit("hmac-sha256:"), F.sha2(key, 256)).alias("digest"))
 
@@ -203,7 +204,16 @@ def enrichment_status(spark, sf):
     return enrich.source_status(events, enrich.enrich(events))
 
 
-@_register("relationship_edges")
+_LINKS = f"""SELECT parentKey AS parent, childKey AS child, 'issuance' AS relationship, eventName AS label FROM edges
+UNION ALL SELECT accessKeyId, 'ev:' || seq, 'activity', 'accessKeyId' FROM ev WHERE accessKeyId <> ''
+UNION ALL SELECT CASE WHEN low = high THEN 'identity:' || low ELSE 'gap:' || key END, key, CASE WHEN low = high THEN 'identity' ELSE 'gap' END,
+  CASE WHEN low = high THEN 'onBehalfOf' ELSE 'no issuance found' END
+FROM (SELECT DISTINCT accessKeyId AS key FROM ev WHERE accessKeyId LIKE 'ASIA%' AND accessKeyId NOT IN (SELECT childKey FROM edges))
+LEFT JOIN (SELECT {_NODE} AS key, min(subject) AS low, max(subject) AS high FROM (SELECT ev.*, 'arn:aws:identitystore::' || {ACCOUNT_SQL} || ':identitystore/d-' || userNo % 3 || '/user/usr-' || userNo AS subject
+  FROM ev JOIN customer ON c_custkey = userNo WHERE userNo % 20 = 1 AND copy = 0 AND c_custkey % 3 = userNo % 3) GROUP BY 1) USING (key)"""
+
+
+@_register("relationship_edges", with_ev(_LINKS, ctes=EDGES))
 def relationship_edges(spark, sf):
     events = ev(spark, sf)
     return lineage.relationship_view(events, enrich.enrich(events, _directory(spark, sf)))
