@@ -68,7 +68,7 @@ def _at(value, path, in_resources):
 def match_text(raw: str, field: str, literal: str, op: str) -> bool:
     """Whether any number (or numeric string) at ``field`` satisfies the comparison."""
     if len(raw.encode("utf-8")) > MAX_RECORD:
-        raise ValueError("numeric predicates support records up to 8 million bytes")
+        raise ValueError("a record too large to look for numbers")
     root = json.loads(raw, parse_int=_Token, parse_float=_Token, object_pairs_hook=_members)
     _check_bounds(root)
     limit, test = parse_exact(literal), _OPS[op]
@@ -86,15 +86,45 @@ def json_path(parts: list[str]) -> str:
     return "$" + "".join(quoted)
 
 
+def _match_or_none(text: str | None, field: str, literal: str, op: str) -> bool | None:
+    try:
+        return None if text is None else match_text(text, field, literal, op)
+    except ValueError:
+        return None  # named by ``number_doubt``
+
+
 def _slow_match(field: str, literal: str, op: str):
     @F.pandas_udf("boolean")
     def match(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda text: None if text is None else match_text(text, field, literal, op))
+        return raw.map(lambda text: _match_or_none(text, field, literal, op))
     return match
 
 
+def _doubt(text: str | None) -> str | None:
+    try:
+        if text is not None:
+            if len(text.encode("utf-8")) > MAX_RECORD:
+                raise ValueError("a record too large to look for numbers")
+            _check_bounds(json.loads(text, parse_int=_Token, parse_float=_Token, object_pairs_hook=_members))
+    except ValueError as error:
+        return str(error).splitlines()[0]
+    return None
+
+
+def number_doubt(raw: str = "raw") -> Column:
+    """Why numbers of a record are not compared (they match nothing then), NULL for the other records.
+
+    Only records that Spark's parser refuses or that are long are looked at in Python.
+    """
+    @F.pandas_udf("string")
+    def doubt(texts: pd.Series) -> pd.Series:
+        return texts.map(_doubt)
+
+    return doubt(F.when(variant(raw).isNull() | (F.octet_length(raw) > 2 * MAX_NODES), F.col(raw)))
+
+
 def number_matches(field: str, op: str, literal: str, raw: str = "raw") -> Column:
-    """Boolean column for ``field op literal``; ``resources.x`` means any element."""
+    """Boolean column for ``field op literal``; ``resources.x`` means any element.  Records in doubt match nothing."""
     limit = parse_exact(literal)
     if limit is None:
         raise ValueError(f"numeric comparison needs a finite decimal, got {literal!r}")

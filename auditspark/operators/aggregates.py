@@ -90,6 +90,14 @@ def histogram(events: DataFrame, f: Filter | None = None) -> DataFrame:
         F.max("step").alias("step"), F.count(F.lit(1)).alias("n"), F.count_if(_error_code()).alias("e"))
 
 
+def _axis(bounds: DataFrame) -> DataFrame:
+    """(step, start) of every bucket; the one row of bounds is read first, so that the axis is a distributed range."""
+    row = bounds.first()
+    if row is None:
+        return bounds.select("step", "start").limit(0)
+    return bounds.sparkSession.range(row["start"], row["stop"], row["step"]).select(F.lit(row["step"]).alias("step"), F.col("id").alias("start"))
+
+
 def dense_histogram(events: DataFrame, now_ms: int | None = None, f: Filter | None = None) -> DataFrame:
     """Zero-filled histogram with a rounded step, extended to ``now_ms``; late rows fall in the last bucket."""
     rows = apply_filter(events, f).filter(F.col("eventMs").isNotNull()).select("eventMs", "errorCode")
@@ -100,7 +108,7 @@ def dense_histogram(events: DataFrame, now_ms: int | None = None, f: Filter | No
         .withColumn("step", step) \
         .withColumn("start", F.floor(F.col("lo") / F.col("step")) * F.col("step")) \
         .withColumn("stop", F.greatest(F.ceil(F.col("hi") / F.col("step")) * F.col("step"), F.col("start") + F.col("step")))
-    axis = bounds.select("step", F.explode(F.sequence("start", F.col("stop") - F.col("step"), "step")).alias("start"))
+    axis = _axis(bounds)
     shape = bounds.select(F.struct("start", "step", "stop").alias("b")).scalar()
     index = F.least(F.floor(F.col("eventMs") / F.col("b.step")) * F.col("b.step"), F.col("b.stop") - F.col("b.step"))
     counted = rows.withColumn("b", shape).withColumn("start", index).groupBy("start").agg(

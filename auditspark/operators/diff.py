@@ -42,7 +42,7 @@ def diff_versions(pairs: DataFrame, limit: int | None = CHANGE_LIMIT) -> DataFra
 
     Both sides are flattened and met by one grouping on (pair, path).  A change is
     listed at the highest differing member: below a member whose kind differs or
-    that exists on one side only, nothing is listed.
+    that exists on one side only, nothing is listed.  Values are whole; a page may cut them with ``previewed``.
     """
     sides = pairs.select("pair", F.inline(F.array(
         F.struct(F.lit("l").alias("side"), F.col("left").alias("raw")), F.struct(F.lit("r").alias("side"), F.col("right").alias("raw")))))
@@ -63,7 +63,7 @@ def diff_versions(pairs: DataFrame, limit: int | None = CHANGE_LIMIT) -> DataFra
         text = F.when(kind.isNull(), "Not present").when(kind == "array", F.concat(F.lit("Array · "), n.cast("string"), F.lit(" items"))) \
             .when(kind == "object", F.concat(F.lit("Object · "), n.cast("string"), F.lit(" fields"))) \
             .when(kind == "string", F.expr(f"substring(to_json(array({s}_value)), 2, length(to_json(array({s}_value))) - 2)")).otherwise(value)
-        return F.left(text, F.lit(PREVIEW))
+        return text
 
     change = F.when(F.col("l_kind").isNull(), "added").when(F.col("r_kind").isNull(), "removed").otherwise("changed")
     changes = inner.unionByName(top).select(
@@ -75,3 +75,9 @@ def diff_versions(pairs: DataFrame, limit: int | None = CHANGE_LIMIT) -> DataFra
     ranked = top_rows(changes, ["pair"], [F.col("path").asc()], limit + 1)
     complete = ranked.groupBy("pair").agg((F.max("rank") <= limit).alias("complete"))
     return ranked.filter(F.col("rank") <= limit).join(complete, "pair")
+
+
+def previewed(changes: DataFrame, length: int = PREVIEW) -> DataFrame:
+    """A display step: values of at most ``length`` characters, with ``leftTruncated`` and ``rightTruncated``."""
+    return changes.withColumns({f"{s}Truncated": F.length(s) > length for s in ("left", "right")}).withColumns(
+        {s: F.left(s, F.lit(length)) for s in ("left", "right")})

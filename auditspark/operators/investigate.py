@@ -10,7 +10,7 @@ from ..functions.resources import resource_refs, with_references
 from ..session import checkpoint
 from .aggregates import top_rows
 
-CONTEXT_LIMIT, RESOURCE_LIMIT, RESOURCE_NAMES = 500, 100, 5
+CONTEXT_LIMIT, RESOURCE_LIMIT = 500, 100
 # Relation names and the link kinds behind them.
 RELATIONS = {
     "all": ("time",), "shared": ("shared",), "credential": ("credential",), "principal": ("principal",), "ip": ("ip",),
@@ -168,7 +168,7 @@ def surrounding(events: DataFrame, anchors: DataFrame, minutes: int = 5, relatio
     reason = lambda kind, value: F.array(F.struct(F.lit(kind).alias("kind"), value.alias("value")))
     nothing = F.array().cast("array<struct<kind:string,value:string>>")
     when = lambda test, kind, value: F.when(test, reason(kind, value)).otherwise(nothing)
-    shared_arns = F.slice(F.array_sort(F.array_intersect("a_arns", "arns")), 1, RESOURCE_NAMES)
+    shared_arns = F.array_sort(F.array_intersect("a_arns", "arns"))
     credential, principal = same("accessKeyId", "identityArn"), same("identityArn")
     literal_ip = ip_hex(F.col("a_sourceIPAddress")).isNotNull()
     found = F.concat(

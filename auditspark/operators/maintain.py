@@ -16,15 +16,15 @@ from ..sources.pointer import read_text, write_text
 from .aggregates import top_rows
 
 EVIDENCE_PAGE = 25
-OBSERVATION_COLUMNS = ("position", "eventKey", "sha256", "raw", "original", "source", "ordinal", "format", "lossy", "observedAt")
+OBSERVATION_COLUMNS = ("observationId", "position", "eventKey", "sha256", "raw", "original", "source", "ordinal", "format", "lossy", "observedAt")
 
 
 def invalid_records(records: DataFrame) -> DataFrame:
-    """Records that are no audit event: unreadable source, broken JSON, no event name."""
+    """Records that are no audit event: unreadable source, broken JSON, several values, no event name."""
     name = F.get_json_object("raw", "$.eventName")
     broken = F.col("error").isNotNull() if "error" in records.columns else F.lit(False)
     # duplicate members are legal evidence, so the check is not try_parse_json
-    corrupt = F.from_json("raw", "_bad string", {"columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull()
+    corrupt = F.coalesce(F.json_array_length(F.concat(F.lit("["), F.col("raw"), F.lit("]"))), F.lit(0)) != 1
     return records.filter(broken | F.col("raw").isNull() | corrupt | (F.coalesce(name, F.lit("")) == ""))
 
 
@@ -68,46 +68,58 @@ def _state(spark: SparkSession, out_dir: str) -> dict | None:
     return json.loads(text) if text else None
 
 
-def _commit(spark: SparkSession, out_dir: str, state: dict) -> Snapshot:
+def _commit(spark: SparkSession, out_dir: str, state: dict, begun: dict | None) -> Snapshot:
+    """Publish ``state``, which was made from ``begun``.  A dataset has one writer at a time; a second one is refused."""
+    if _state(spark, out_dir) != begun:
+        raise RuntimeError(f"{out_dir} was changed by another writer meanwhile; nothing was published")
     write_text(spark, f"{out_dir}/CURRENT", json.dumps(state))
     return Snapshot(state["generation"], state["max_seq"], datetime.datetime.now(datetime.timezone.utc).isoformat())
 
 
-def _write_batch(records: DataFrame, out_dir: str, state: dict, batch: str, stored: DataFrame | None) -> None:
-    bad = invalid_records(records)
-    if not bad.isEmpty():
-        first = bad.select("source", "ordinal").first()
-        raise ValueError(f"invalid audit record from {first['source']} at {first['ordinal']}; nothing was published")
+def _write_batch(records: DataFrame, out_dir: str, state: dict, batch: str, stored: DataFrame | None) -> bool:
+    """Write a batch beside the committed ones; False when it has no records.
+
+    The records are read once, into the batch's observations; what was written is then checked and published.
+    """
     home = f"{out_dir}/{state['generation']}"
-    observed = observations_of(records)
+    identity = F.sha2(F.concat_ws("\u0001", F.lit(state["generation"]), F.lit(batch), "source", F.col("ordinal").cast("string")), 256)
+    observed = observations_of(records).withColumn("observationId", identity)
     observed.withColumn("eventDate", F.to_date("observedAt")).write.mode("overwrite").parquet(f"{home}/observations/{batch}")
     saved = observed.sparkSession.read.schema(observed.schema).parquet(f"{home}/observations/{batch}")
+    first = invalid_records(saved).select("source", "ordinal").first()
+    if first is not None:
+        raise ValueError(f"invalid audit record from {first['source']} at {first['ordinal']}; nothing was published")
+    if saved.isEmpty():
+        return False
     events = new_events(saved, stored, state["max_seq"]).withColumn("eventDate", F.to_date("ts"))
     events.write.mode("overwrite").partitionBy("eventDate").parquet(f"{home}/events/{batch}")
     written = observed.sparkSession.read.parquet(f"{home}/events/{batch}")
     top = written.agg(F.max("seq")).first()[0]
     state["batches"].append(batch)
     state["max_seq"] = max(state["max_seq"], top or 0)
+    return True
 
 
 def import_dataset(records: DataFrame, out_dir: str) -> Snapshot:
     """Replace the dataset: all records or none.  An input without records is an error."""
-    if records.isEmpty():
-        raise ValueError("no audit events found")
+    spark = records.sparkSession
+    begun = _state(spark, out_dir)
     state = {"generation": f"gen-{uuid.uuid4().hex}", "batches": [], "max_seq": 0}
-    _write_batch(records, out_dir, state, "batch-0", None)
-    return _commit(records.sparkSession, out_dir, state)
+    if not _write_batch(records, out_dir, state, "batch-0", None):
+        raise ValueError("the input holds no audit records")
+    return _commit(spark, out_dir, state, begun)
 
 
 def append_events(records: DataFrame, out_dir: str, batch: str | None = None) -> Snapshot:
     """Add a batch; known event keys only add observations.  A batch name makes retries harmless."""
     spark = records.sparkSession
-    state = _state(spark, out_dir) or {"generation": f"gen-{uuid.uuid4().hex}", "batches": [], "max_seq": 0}
+    begun = _state(spark, out_dir)
+    state = json.loads(json.dumps(begun)) or {"generation": f"gen-{uuid.uuid4().hex}", "batches": [], "max_seq": 0}
     batch = batch or f"batch-{uuid.uuid4().hex}"
-    if batch not in state["batches"] and not records.isEmpty():
+    if batch not in state["batches"]:
         stored = open_dataset(spark, out_dir)[0] if state["batches"] else None
-        _write_batch(records, out_dir, state, batch, stored)
-        return _commit(spark, out_dir, state)
+        if _write_batch(records, out_dir, state, batch, stored):
+            return _commit(spark, out_dir, state, begun)
     return Snapshot(state["generation"], state["max_seq"])
 
 

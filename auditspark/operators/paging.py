@@ -8,7 +8,7 @@ from ..model import Filter, Snapshot
 from .aggregates import facets, histogram, stats
 from .search import apply_filter
 
-PAGE, NEWER, MAX_PAGE = 200, 500, 2000
+PAGE, NEWER = 200, 500
 
 
 def page(events: DataFrame, f: Filter | None = None, offset: int = 0, limit: int = PAGE) -> DataFrame:
@@ -28,7 +28,7 @@ def page_before(events: DataFrame, f: Filter | None, snapshot: Snapshot, before:
     rows = snapshot.of(events)
     if before > 0:
         rows = rows.filter(F.col("seq") < before)
-    return apply_filter(rows, f).orderBy(F.col("seq").desc()).limit(min(limit if limit > 0 else PAGE, MAX_PAGE))
+    return apply_filter(rows, f).orderBy(F.col("seq").desc()).limit(limit if limit > 0 else PAGE)
 
 
 def search(events: DataFrame, f: Filter | None, snapshot: Snapshot, limit: int = PAGE) -> dict[str, DataFrame]:

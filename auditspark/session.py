@@ -33,10 +33,12 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where nobody set it (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode, where nobody set it (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="auditspark-"))
     return context.getCheckpointDir()
 

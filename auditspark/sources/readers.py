@@ -68,6 +68,17 @@ def _elements(text: str, at: int) -> Iterator[tuple[str, int]]:
     yield "", _expect(text, at, "]")
 
 
+def _next_member(text: str, at: int) -> int:
+    """Offset of the next member's name, or of the closing brace; a comma must be followed by a name."""
+    if text[at:at + 1] == ",":
+        at = _skip(text, at + 1)
+        if text[at:at + 1] == '"':
+            return at
+    elif text[at:at + 1] == "}":
+        return at
+    raise ValueError(f"neither a member nor a brace at offset {at}")
+
+
 def _unwrap(element: str) -> str:
     event = json.loads(element)
     inner = event.get("CloudTrailEvent") if isinstance(event, dict) else None
@@ -100,10 +111,7 @@ def json_records(text: str) -> Iterator[tuple[str, str]]:
                 else:
                     _, at = _scan(text, at)
                 at = _skip(text, at)
-                if text[at:at + 1] == ",":
-                    at = _skip(text, at + 1)
-                elif text[at:at + 1] != "}":
-                    raise ValueError(f"unexpected text at offset {at}")
+                at = _next_member(text, at)
             at += 1
             if not wrapped:
                 yield text[start:at], "cloudtrail-json"
@@ -186,7 +194,10 @@ def read_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One record per line: splittable, any file size, JVM only.  Ordinals are byte-ordered within a split."""
+    """One record per line: splittable, any file size, JVM only.  Ordinals are byte-ordered within a split.
+
+    A line with more than one value is an invalid record, so an import refuses it.
+    """
     lines = spark.read.option("recursiveFileLookup", "true").text(paths).filter(F.trim("value") != "")
     raw = F.regexp_replace("value", r"\A\x{FEFF}", "")
     return lines.select(
@@ -196,19 +207,15 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def _members(text: str) -> dict[str, str]:
-    """Exact value text of the members of a JSON object (first of equal names)."""
+    """Exact value text of the members of a JSON object (last of equal names)."""
     found: dict[str, str] = {}
     at = _skip(text, _expect(text, 0, "{"))
     while text[at:at + 1] != "}":
         name, at = _scan(text, _skip(text, at))
         start = _skip(text, _expect(text, at, ":"))
         _, at = _scan(text, start)
-        found.setdefault(name, text[start:at])
-        at = _skip(text, at)
-        if text[at:at + 1] == ",":
-            at = _skip(text, at + 1)
-        elif text[at:at + 1] != "}":
-            raise ValueError(f"unexpected text at offset {at}")
+        found[name] = text[start:at]
+        at = _next_member(text, _skip(text, at))
     if _skip(text, at + 1) != len(text):
         raise ValueError("text after the object")
     return found
@@ -233,16 +240,20 @@ def record_of(message: str | None, levels: int = 4) -> str | None:
     return None
 
 
-@F.pandas_udf(T.StringType())
-def _records_of(messages: pd.Series) -> pd.Series:
-    return messages.map(record_of)
-
-
-def unwrap_envelopes(messages: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(records, rejects) of queue messages: bus ``detail``, notification ``Message`` or a plain record.
+def open_envelopes(messages: DataFrame, column: str = "value") -> DataFrame:
+    """Messages with ``raw``: the record of a bus ``detail``, a notification ``Message`` or a plain record, else NULL.
 
     The record text is cut by offsets: Spark's JSON functions would respell its
     numbers.  A record needs an event name and an event id.
     """
-    opened = messages.withColumn("raw", _records_of(F.col(column)))
+    @F.pandas_udf(T.StringType())
+    def records(texts: pd.Series) -> pd.Series:
+        return texts.map(record_of)
+
+    return messages.withColumn("raw", records.asNondeterministic()(F.col(column)))  # not repeated in filters
+
+
+def unwrap_envelopes(messages: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of queue messages; ``open_envelopes`` gives both in one frame."""
+    opened = open_envelopes(messages, column)
     return opened.filter(F.col("raw").isNotNull()), opened.filter(F.col("raw").isNull()).drop("raw")

@@ -10,15 +10,13 @@ from ..model import Filter, Snapshot
 from ..operators.search import apply_filter
 from .pointer import write_text
 
-# Bounds of one bundle.
-MAX_COPIES, MAX_SOURCE_BYTES, MAX_METADATA_BYTES = 10_000, 128 << 20, 8 << 20
-
 
 def export_matches(events: DataFrame, f: Filter | None, snapshot: Snapshot, path: str) -> int:
     """Write ``raw`` of all matches, newest first, as line shards plus a manifest; returns the count.
 
     Shards are range-partitioned by descending seq, so their name order is the
-    page order.  A record that is no JSON cancels before anything is written.
+    page order.  A record stands on its line as it is; one with line breaks is written as a JSON list of that one text,
+    so ``exported`` gives every record back exactly.  A record that is no JSON cancels before anything is written.
     """
     rows = apply_filter(snapshot.of(events), f).select("seq", "raw")
     broken = F.from_json("raw", "_bad string", {"columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull()
@@ -26,13 +24,20 @@ def export_matches(events: DataFrame, f: Filter | None, snapshot: Snapshot, path
     if bad:
         raise ValueError(f"{bad} record(s) are not valid JSON; export cancelled")
     newest = F.col("seq").desc()
-    rows.repartitionByRange(newest).sortWithinPartitions(newest).select(F.regexp_replace("raw", r"[\r\n]+", " ").alias("value")) \
+    line = F.when(F.col("raw").rlike(r"[\r\n]|^\s*\["), F.to_json(F.array("raw"))).otherwise(F.col("raw"))
+    rows.repartitionByRange(newest).sortWithinPartitions(newest).select(line.alias("value")) \
         .write.mode("errorifexists").text(f"{path}/records")
     write_text(rows.sparkSession, f"{path}/manifest.json", json.dumps(
         {"count": total, "generation": snapshot.generation, "maxSeq": snapshot.max_seq}))
     return total
 
 
+def exported(spark, path: str) -> DataFrame:
+    """(raw) records of an export, exactly as stored."""
+    value = F.col("value")
+    return spark.read.text(f"{path}/records").select(F.when(value.startswith("["), F.get(F.from_json(value, "array<string>"), F.lit(0))).otherwise(value).alias("raw"))
+
+
 def bundle_tables(context: DataFrame, events: DataFrame, observations: DataFrame) -> dict[str, DataFrame]:
     """Events, every source copy and one manifest row per event of a context (a frame with ``seq``)."""
     chosen = events.join(context.select("seq").distinct(), "seq", "left_semi")
@@ -46,16 +51,18 @@ def bundle_tables(context: DataFrame, events: DataFrame, observations: DataFrame
     return {"events": chosen, "sources": copies.drop("rawHash"), "manifest": manifest}
 
 
-def export_bundle(context: DataFrame, events: DataFrame, observations: DataFrame, path: str) -> dict[str, int]:
-    """Check integrity and bounds, then write the three tables; returns the totals."""
+def export_bundle(context: DataFrame, events: DataFrame, observations: DataFrame, path: str, max_copies: int | None = None,
+                  max_source_bytes: int | None = None, max_metadata_bytes: int | None = None) -> dict[str, int]:
+    """Check integrity and, where given, bounds, then write the three tables; returns the totals."""
     tables = bundle_tables(context, events, observations)
     meta = tables["events"].agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
     sums = tables["manifest"].agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (
         "copies", "bytes", "hashMismatches", "displayMismatches")], F.count_if(F.col("displayed") == 0).alias("undisplayed")).first()
     if sums["hashMismatches"] or sums["displayMismatches"] or sums["undisplayed"]:
         raise ValueError("stored evidence does not match its hashes; nothing was exported")
-    if sums["copies"] > MAX_COPIES or sums["bytes"] > MAX_SOURCE_BYTES or meta > MAX_METADATA_BYTES:
-        raise ValueError("the selection exceeds the bundle bounds; narrow the window or relation")
+    bounds = ((sums["copies"], max_copies), (sums["bytes"], max_source_bytes), (meta, max_metadata_bytes))
+    if any(most is not None and n > most for n, most in bounds):
+        raise ValueError(f"a bundle of {sums['copies']} copies and {sums['bytes']} bytes is larger than allowed")
     for name, table in tables.items():
         table.write.mode("errorifexists").parquet(f"{path}/{name}")
     return {"copies": sums["copies"], "bytes": sums["bytes"]}

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.hunts import match_sequence
 from ..operators.maintain import append_events
-from ..sources.readers import unwrap_envelopes
+from ..session import checkpoint
+from ..sources.pointer import read_text
+from ..sources.readers import open_envelopes
 
 # Envelope types of a capture scope.
 ALL_MANAGEMENT = ("AWS API Call via CloudTrail", "AWS Console Sign In via CloudTrail", "AWS Console Signin via CloudTrail",
@@ -28,18 +31,37 @@ def capture_scope(messages: DataFrame, write_only: bool = False, extra: Column |
 
 
 def batch_records(records: DataFrame, source: str) -> DataFrame:
-    """Message bodies as records; the order inside a batch is the record text, so a retry repeats it."""
+    """Message bodies as records; the order inside a batch is the record text, so a retry repeats it.
+
+    Equal texts of a batch are numbered, so that each keeps an ordinal of its own.
+    """
+    copy = F.row_number().over(Window.partitionBy(F.xxhash64("raw")).orderBy("raw"))
+    records = records.withColumn("_copy", copy)
     return records.select(
-        "raw", F.col("raw").alias("original"), F.lit(source).alias("source"), F.xxhash64("raw").alias("ordinal"),
+        "raw", F.col("raw").alias("original"), F.lit(source).alias("source"), F.xxhash64("raw", "_copy").alias("ordinal"),
         F.lit("live").alias("format"), F.lit(False).alias("lossy"), F.lit(None).cast("string").alias("error"))
 
 
-def intake_batch(messages: DataFrame, batch_id: int, out_dir: str, rejects_dir: str, source: str = "live") -> None:
-    """Body of ``foreachBatch``: commit the records, set other messages aside; repeating it changes nothing."""
-    records, rejects = unwrap_envelopes(messages)
-    name = f"live-{source}-{batch_id}"
-    rejects.write.mode("overwrite").parquet(f"{rejects_dir}/{name}")
-    append_events(batch_records(records, source), out_dir, name)
+def intake_batch(messages: DataFrame, batch_id: int, out_dir: str, rejects_dir: str, source: str = "live", stream: str = "") -> None:
+    """Body of ``foreachBatch``: commit the records, set other messages aside; repeating it changes nothing.
+
+    ``stream`` is the query's id: batches of another query, or of one whose progress was lost, have other names.
+    """
+    opened = checkpoint(open_envelopes(messages))
+    name = f"live-{source}-{stream}-{batch_id}"
+    opened.filter("raw IS NULL").drop("raw").write.mode("overwrite").parquet(f"{rejects_dir}/{name}")
+    append_events(batch_records(opened.filter("raw IS NOT NULL"), source), out_dir, name)
+
+
+def reject_counts(spark, rejects_dir: str) -> DataFrame:
+    """(batch, rejects): how many messages of each batch were set aside."""
+    batch = F.regexp_extract(F.input_file_name(), "/([^/]+)/[^/]+$", 1)
+    return spark.read.parquet(f"{rejects_dir}/*").groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("rejects"))
+
+
+def _query_id(spark, checkpoint_dir: str) -> str:
+    """Id of the query whose progress is kept in a folder."""
+    return json.loads(read_text(spark, f"{checkpoint_dir}/metadata"))["id"]
 
 
 def start_intake(messages: DataFrame, out_dir: str, rejects_dir: str, checkpoint_dir: str, source: str = "live",
@@ -49,7 +71,10 @@ def start_intake(messages: DataFrame, out_dir: str, rejects_dir: str, checkpoint
     Progress is recorded after the dataset commit; a batch that is repeated after
     a failure is recognised by its name.
     """
-    writer = messages.writeStream.foreachBatch(lambda df, n: intake_batch(df, n, out_dir, rejects_dir, source)) \
+    def each(df: DataFrame, n: int) -> None:
+        intake_batch(df, n, out_dir, rejects_dir, source, _query_id(df.sparkSession, checkpoint_dir))
+
+    writer = messages.writeStream.foreachBatch(each) \
         .option("checkpointLocation", checkpoint_dir)
     return writer.trigger(**trigger).start() if trigger else writer.start()
 

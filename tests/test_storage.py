@@ -46,7 +46,7 @@ def test_csv(spark, tmp_path):
 
 
 @pytest.mark.parametrize("content", [b"", b'{"Records":[{"eventName":"A"},', b'{"Records":[],"Records":[]}', b'{"Events":[{"x":1}]}', b"a,b\n1,2\n", b'{"a":1} x', b"\xff\xfe{", b"\x1f\x8bxx",
-                                     b'{"Records":[]}', b'{"foo":1}', b"Event name\n", b'[{"eventName":"A"},{"noName":1}]'])
+                                     b'{"Records":[]}', b'{"foo":1}', b"Event name\n", b'[{"eventName":"A"},{"noName":1}]', b'{"Records":[{"eventName":"A"}],}'])
 def test_bad_input_publishes_nothing(spark, tmp_path, content):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.json").write_bytes(content)
@@ -120,8 +120,46 @@ def test_intake_stream(spark, tmp_path):
     events, observations = maintain.open_dataset(spark, home)
     assert events.count() == 2 and observations.count() == 3
     assert spark.read.parquet(rejects + "/*").count() == 3
-    intake.intake_batch(small_table(spark, [(b,) for b in bodies], "value string"), 0, home, rejects)
+    again = json.loads((tmp_path / "progress" / "metadata").read_text())["id"]
+    intake.intake_batch(small_table(spark, [(b,) for b in bodies], "value string"), 0, home, rejects, stream=again)
     assert maintain.open_dataset(spark, home)[1].count() == 3
+    third = EXACT.replace('"1"', '"3"')
+    small_table(spark, [(third,)], "value string").coalesce(1).write.mode("append").text(source + "2")
+    stream = intake.start_intake(spark.readStream.text(source + "2"), home, rejects, str(tmp_path / "other"), availableNow=True)
+    stream.awaitTermination(120)  # a second stream begins at batch 0 as well
+    events, observations = maintain.open_dataset(spark, home)
+    assert events.count() == 3 and observations.count() == 4 == observations.select("observationId").distinct().count()
+    assert {r.rejects for r in intake.reject_counts(spark, rejects).collect()} == {3}
+
+
+def test_a_second_writer_is_refused(spark, tmp_path):
+    (tmp_path / "a.json").write_text(f"[{EXACT}]")
+    home = str(tmp_path / "data")
+    maintain.import_dataset(readers.read_records(spark, str(tmp_path / "a.json")), home)
+    begun = maintain._state(spark, home)
+    maintain.import_dataset(readers.read_records(spark, str(tmp_path / "a.json")), home)
+    with pytest.raises(RuntimeError):
+        maintain._commit(spark, home, {**begun, "max_seq": 9}, begun)
+
+
+@pytest.mark.parametrize("line", [f"{EXACT} {OTHER}", f"{EXACT} trailing", f"{EXACT},{OTHER}"])
+def test_lines_with_more_than_one_value_are_refused(spark, tmp_path, line):
+    (tmp_path / "x.ndjson").write_text(OTHER + "\n" + line + "\n")
+    with pytest.raises(ValueError):
+        maintain.import_dataset(readers.read_lines(spark, str(tmp_path / "x.ndjson")), str(tmp_path / "out"))
+
+
+def test_export_gives_records_back(spark, tmp_path):
+    texts = [EXACT, OTHER.replace(",", ",\r\n", 1)]
+    events = small_table(spark, [(k, t) for k, t in enumerate(texts)], "seq bigint, raw string")
+    sinks.export_matches(events, None, Snapshot("g", 5), str(tmp_path / "out"))
+    assert sorted(r.raw for r in sinks.exported(spark, str(tmp_path / "out")).collect()) == sorted(texts)
+
+
+def test_long_values_that_differ_late(spark):
+    left, right = (json.dumps({"a": "x" * 600 + end}) for end in "pq")
+    changes = diff.diff_versions(small_table(spark, [(1, left, right)], "pair bigint, left string, right string"))
+    assert changes.filter("left <> right").count() == 1 and diff.previewed(changes).filter("leftTruncated").count() == 1
 
 
 def test_differences(spark):
