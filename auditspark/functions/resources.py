@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 COMPLETE_ARN = r"(?d)\Aarn:[^:]+:[^:]+:[^:]*:[^:]*:.+\z"
 
-# One parse per record.  Elements stay text: one odd element must not lose the
-# others, and no number, list or object can be mistaken for a resource name.
-CONTEXT = "sharedEventID string, requestID string, resources array<string>, requestParameters map<string,string>"
 _REF = "struct<arn:string,kind:string,source:string>"
 
 
@@ -25,14 +22,7 @@ def reference_array(resources: Column, parameters: Column) -> Column:
     return F.filter(both, lambda r: F.coalesce(r["arn"].rlike(COMPLETE_ARN), F.lit(False)))
 
 
-def with_references(events: DataFrame, name: str = "refs", ids: bool = False) -> DataFrame:
-    """Add the references and, with ``ids``, the recorded sharedID and requestID."""
-    parsed = events.withColumn("_context", F.from_json("raw", CONTEXT))
-    if ids:
-        parsed = parsed.withColumns({"sharedID": F.col("_context.sharedEventID"), "requestID": F.col("_context.requestID")})
-    return parsed.withColumn(name, reference_array(F.col("_context.resources"), F.col("_context.requestParameters"))).drop("_context")
-
-
 def resource_refs(events: DataFrame) -> DataFrame:
     """One row per recorded reference: seq, arn, kind, source."""
-    return with_references(events.select("seq", "raw")).select("seq", F.inline_outer("refs")).filter("arn IS NOT NULL")
+    from .facts import with_facts
+    return with_facts(events).select("seq", F.inline_outer("facts.refs")).filter("arn IS NOT NULL")

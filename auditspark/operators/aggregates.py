@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.records import has_error, recorded_read_only
+from ..functions.facts import with_facts
+from ..functions.records import has_error
 from ..functions.times import BUCKET_ORIGIN_S
 from ..model import Filter
 from .search import FACET_FIELDS, apply_filter, field_column
@@ -119,7 +120,7 @@ def dense_histogram(events: DataFrame, now_ms: int | None = None, f: Filter | No
 
 
 def _scoped(events: DataFrame, f: Filter | None) -> DataFrame:
-    return apply_filter(events, f).withColumn("hasError", has_error()).withColumn("recordedReadOnly", recorded_read_only())
+    return with_facts(apply_filter(events, f)).withColumn("hasError", has_error()).withColumn("recordedReadOnly", F.col("facts.recordedReadOnly"))
 
 
 def _activity() -> list[Column]:

@@ -9,7 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.network import canonical_network, network_key, with_ip_hex
-from ..functions.resources import COMPLETE_ARN, with_references
+from ..functions.facts import with_facts
+from ..functions.resources import COMPLETE_ARN
 from ..model import Filter
 from ..plans.slices import with_slices
 from .search import apply_filter, expr_column
@@ -61,10 +62,10 @@ def _address_keys(events: DataFrame, prefix_bits: Column) -> DataFrame:
 def _identifier_keys(events: DataFrame) -> DataFrame:
     """Credential, event id and resource names of every event, each once."""
     typed = lambda kind, key: F.struct(F.lit(kind).alias("keyKind"), key.alias("key"))
-    keyed = with_references(events.select("seq", "accessKeyId", "eventID", "identityArn", "roleArn", "raw"))
+    keyed = with_facts(events)
     own = F.array(typed("key", F.col("accessKeyId")), typed("event", F.col("eventID")), typed("arn", F.col("identityArn")),
                   typed("arn", F.col("roleArn")))
-    keys = F.concat(own, F.transform("refs", lambda r: typed("arn", r["arn"])))
+    keys = F.concat(own, F.transform("facts.refs", lambda r: typed("arn", r["arn"])))
     return keyed.select("seq", F.inline_outer(F.array_distinct(keys))).filter(_filled("key"))
 
 

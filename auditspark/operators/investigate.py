@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.facts import with_facts
 from ..functions.labels import with_target
 from ..functions.network import ip_hex
-from ..functions.resources import resource_refs, with_references
+from ..functions.resources import resource_refs
 from ..session import checkpoint
 from .aggregates import top_rows
 
@@ -22,7 +23,8 @@ _TICKS = 64  # ticks per half window
 
 def with_context_columns(events: DataFrame) -> DataFrame:
     """Columns the relations compare: recorded ids and the distinct resource names."""
-    return with_references(events, ids=True).withColumn("arns", F.array_distinct(F.transform("refs", lambda r: r["arn"]))).drop("refs")
+    return with_facts(events).withColumns({
+        "sharedID": F.col("facts.sharedID"), "requestID": F.col("facts.requestID"), "arns": F.array_distinct(F.col("facts.refs.arn"))}).drop("facts")
 
 
 def _key(*names: str) -> Column:

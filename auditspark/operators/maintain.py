@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.facts import facts_column
 from ..functions.labels import content_key
 from ..functions.records import EVENT_COLUMNS, extract_events
 from ..model import Snapshot
@@ -56,7 +57,7 @@ def new_events(observations: DataFrame, stored: DataFrame | None = None, offset:
     if stored is not None:
         first = first.join(stored.select("eventKey"), "eventKey", "left_anti")
     return assign_seq(extract_events(first.drop("position")), offset) \
-        .select("seq", *EVENT_COLUMNS, "raw", "eventKey", "evidenceHash")
+        .select("seq", *EVENT_COLUMNS, "raw", "eventKey", "evidenceHash", facts_column().alias("facts"))
 
 
 # --- dataset on storage ---------------------------------------------------------

@@ -14,6 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.facts import facts_column
 from ..session import shared_folder
 from .files import spread
 
@@ -204,7 +205,7 @@ def audit_events(spark: SparkSession, sf_dir: str, tick_ms: int = 1) -> DataFram
     key = (spark.sparkContext.applicationId, sf_dir, tick_ms)
     if key not in _stored:
         path = f"{shared_folder(spark)}/audit-events-{uuid.uuid4().hex}"
-        project_events(spark, sf_dir, tick_ms).write.parquet(path)
+        project_events(spark, sf_dir, tick_ms).withColumn("facts", facts_column()).write.parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
 
