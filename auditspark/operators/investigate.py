@@ -8,6 +8,7 @@ from ..functions.facts import with_facts
 from ..functions.labels import with_target
 from ..functions.network import ip_hex
 from ..functions.resources import resource_refs
+from ..plans.numbering import number_rows
 from ..session import checkpoint
 from .aggregates import top_rows
 
@@ -88,32 +89,36 @@ def _rings(anchor_keys: DataFrame, low: Column, high: Column, tick: int) -> Data
 
 def near_pairs(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation: str = "all",
                cap: int = CONTEXT_LIMIT) -> DataFrame:
-    """(anchor, seq, eventMs, deltaMs): the ``cap`` closest linked events of every anchor, exactly.
+    """(anchor, seq, eventMs, deltaMs, rank): the ``cap`` closest linked events of every anchor, exactly.
 
-    A dense window is never expanded to all its pairs: events are first counted
-    per (link key, tick), the counts give each anchor the radius that surely
-    holds its ``cap`` closest events, and only events within it are joined.
+    Linked events are numbered twice: by (link key, time, seq) and by (link key, time backwards, seq).  From the number
+    at which an anchor's own millisecond begins in the first order, and ends in the second, the next ``cap`` numbers
+    hold everything that can be among the closest on that side.  So an anchor meets at most 2 * ``cap`` events per
+    key, however many share its window or millisecond, and the join runs on blocks of numbers, which are all one size.
     """
-    delta, kinds, tick = _check(minutes, relation)
-    probes, linked = _linked(events, anchors, kinds, tick)
+    delta, kinds, _ = _check(minutes, relation)
+    keyed = link_keys(with_context_columns(events), kinds)
+    wanted = anchors.select("seq").distinct()
+    probes = keyed.join(wanted, "seq", "left_semi")
+    if kinds != ("time",):  # only keys of some anchor matter; every event has the time key
+        keyed = keyed.join(probes.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    keyed = checkpoint(keyed)
+    probes = keyed.join(wanted, "seq", "left_semi").select(F.col("seq").alias("anchor"), "kind", "key", F.col("eventMs").alias("anchorMs"))
+
+    def one_side(forwards: bool) -> DataFrame:
+        ms = F.col("eventMs").asc() if forwards else F.col("eventMs").desc()
+        rows = number_rows(keyed, [F.col("kind"), F.col("key"), ms, F.col("seq")], "_n")
+        moments = rows.groupBy("kind", "key", F.col("eventMs").alias("anchorMs")).agg(
+            (F.min("_n") if forwards else F.max("_n") + 1).alias("_from"))
+        asked = probes.join(moments, ["kind", "key", "anchorMs"]).withColumn("_block", F.explode(F.array_distinct(F.array(
+            F.floor(F.col("_from") / cap), F.floor((F.col("_from") + cap - 1) / cap)))))
+        rows = rows.withColumn("_block", F.floor(F.col("_n") / cap)).withColumnsRenamed({"kind": "_kind", "key": "_key"})
+        inside = (F.col("_n") >= F.col("_from")) & (F.col("_n") < F.col("_from") + cap) & (F.col("kind") == F.col("_kind")) \
+            & (F.col("key") == F.col("_key")) & (F.abs(F.col("eventMs") - F.col("anchorMs")) <= delta)
+        return asked.join(rows, "_block").filter(inside).select("anchor", "anchorMs", "seq", "eventMs")
 
-    own = F.floor(F.col("anchorMs") / tick)
-    counts = linked.groupBy("kind", "key", "tick").agg(F.count(F.lit(1)).alias("n"))
-    rings = _rings(probes, own - _TICKS - 1, own + _TICKS + 1, tick).join(counts, ["kind", "key", "tick"]) \
-        .groupBy("anchor", "anchorMs", "kind", "key", F.abs(F.col("tick") - own).alias("ring")).agg(F.sum("n").alias("n"))
-    outward = Window.partitionBy("anchor", "kind", "key").orderBy("ring").rowsBetween(Window.unboundedPreceding, 0)
-    enough = F.when(F.sum("n").over(outward) >= cap, F.col("ring"))
-    radius = rings.withColumn("full", enough).groupBy("anchor", "anchorMs", "kind", "key").agg(
-        F.coalesce(F.min("full"), F.lit(_TICKS)).alias("rings"))
-    # events of rings 0..r are closer than (r + 1) ticks; anything beyond cannot be among the closest
-    reach = F.least(F.lit(delta), (F.col("rings") + 1) * tick)
-    wanted = _rings(radius.withColumn("reach", reach), F.floor((F.col("anchorMs") - F.col("reach")) / tick),
-                    F.floor((F.col("anchorMs") + F.col("reach")) / tick), tick)
-    pairs = wanted.join(linked, ["kind", "key", "tick"]) \
-        .filter(F.abs(F.col("eventMs") - F.col("anchorMs")) <= F.col("reach")) \
-        .select("anchor", "anchorMs", "seq", "eventMs")
     selves = _selves(events, anchors).select("anchor", "anchorMs", F.col("anchor").alias("seq"), F.col("anchorMs").alias("eventMs"))
-    unique = pairs.unionByName(selves).dropDuplicates(["anchor", "seq"])
+    unique = one_side(True).unionByName(one_side(False)).unionByName(selves).dropDuplicates(["anchor", "seq"])
     gap = F.abs(F.col("eventMs") - F.col("anchorMs"))
     closest = top_rows(unique, ["anchor"], [(F.col("anchor") == F.col("seq")).desc(), gap.asc(), F.col("eventMs").asc(), F.col("seq").asc()], cap)
     return closest.withColumn("deltaMs", F.col("eventMs") - F.col("anchorMs")).drop("anchorMs")
@@ -149,16 +154,19 @@ def surrounding(events: DataFrame, anchors: DataFrame, minutes: int = 5, relatio
     """Closest linked events of every anchor with the reasons they are linked.
 
     ``reasons`` is array<struct<kind, value>>: 'anchor', or the recorded links in
-    fixed order, or 'time' when nothing but proximity holds.
+    fixed order, or 'time' when nothing but proximity holds; ``truncated`` tells
+    that the window holds more than ``cap``.
     """
-    pairs = checkpoint(near_pairs(events, anchors, minutes, relation, cap))  # at most ``cap`` rows per anchor
+    pairs = checkpoint(near_pairs(events, anchors, minutes, relation, cap + 1))  # one row more per anchor shows that there are more
+    more = pairs.groupBy("anchor").agg((F.max("rank") > cap).alias("truncated"))
+    pairs = pairs.filter(F.col("rank") <= cap)
     compared = ("accessKeyId", "identityArn", "sourceIPAddress", "sharedID", "requestID", "eventSource", "eventName",
                 "recipientAccountId", "awsRegion", "arns")
     # every anchor is in its own context, so these seqs cover both sides; texts are parsed for them only
     shown = events.join(pairs.select("seq").distinct(), "seq", "left_semi")
     narrow = with_context_columns(shown).select("seq", *compared)
     left = narrow.select(F.col("seq").alias("anchor"), *[F.col(c).alias("a_" + c) for c in compared])
-    rows = pairs.join(narrow, "seq").join(left, "anchor")
+    rows = pairs.join(narrow, "seq").join(left, "anchor").join(more, "anchor")
 
     def same(*names: str) -> Column:
         parts = [(F.coalesce("a_" + n, F.lit("")) != "") & (F.col("a_" + n) == F.col(n)) for n in names]
@@ -181,7 +189,7 @@ def surrounding(events: DataFrame, anchors: DataFrame, minutes: int = 5, relatio
         when(literal_ip & same("sourceIPAddress"), "ip", F.col("a_sourceIPAddress")))
     reasons = F.when(F.col("seq") == F.col("anchor"), reason("anchor", F.lit(""))) \
         .when(F.size(found) == 0, reason("time", F.lit(""))).otherwise(found)
-    return rows.withColumn("reasons", reasons).select("anchor", "seq", "eventMs", "deltaMs", "rank", "reasons")
+    return rows.withColumn("reasons", reasons).select("anchor", "seq", "eventMs", "deltaMs", "rank", "reasons", "truncated")
 
 
 def anchor_resources(events: DataFrame, anchors: DataFrame, limit: int = RESOURCE_LIMIT) -> DataFrame:

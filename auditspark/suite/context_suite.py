@@ -44,7 +44,7 @@ pairs AS (SELECT a.seq AS anchor, e.seq AS seq, e.eventMs, e.eventMs - a.eventMs
   FROM ctx a JOIN ctx e ON a.isAnchor AND e.eventMs BETWEEN a.eventMs - {{d}} AND a.eventMs + {{d}})"""
 _REASONS = """CASE WHEN seq = anchor THEN 'anchor=' ELSE coalesce(nullif(concat_ws(';', CASE WHEN shared THEN 'shared=' || aShared END,
   CASE WHEN request THEN 'request=' || aRequest END, CASE WHEN credential THEN 'credential=' || aKey WHEN principal THEN 'principal=' || aArn END,
-  CASE WHEN len(common) > 0 THEN array_to_string([ 'resource=' || x for x in common[1:5]], ';') END, CASE WHEN ip THEN 'ip=' || aIp END), ''), 'time=') END"""
+  CASE WHEN len(common) > 0 THEN array_to_string([ 'resource=' || x for x in common], ';') END, CASE WHEN ip THEN 'ip=' || aIp END), ''), 'time=') END"""
 _WHERE = {"all": "true", "related": "shared OR request OR credential OR principal OR ip OR len(common) > 0", "principal": "principal",
           "credential": "credential", "ip": "ip", "request": "request", "shared": "shared", "resources": "len(common) > 0"}
 
@@ -52,7 +52,7 @@ _WHERE = {"all": "true", "related": "shared OR request OR credential OR principa
 def _sql(minutes: int, relation: str, cap: int) -> str:
     ctes = _CTX.replace("{d}", str(minutes * 60000))
     return with_ev(f"""SELECT * FROM (SELECT anchor, seq, eventMs, deltaMs, row_number() OVER (PARTITION BY anchor
-  ORDER BY seq = anchor DESC, abs(deltaMs), eventMs, seq) AS rank, {_REASONS} AS reasons
+  ORDER BY seq = anchor DESC, abs(deltaMs), eventMs, seq) AS rank, {_REASONS} AS reasons, count(*) OVER (PARTITION BY anchor) > {cap} AS truncated
 FROM pairs WHERE seq = anchor OR ({_WHERE[relation]})) WHERE rank <= {cap}""", ctes=ctes)
 
 
@@ -74,6 +74,19 @@ _around("context_resources", 60, "resources", 500)
 _around("context_request", 60, "request", 500)
 
 
+# Every event of one type is an anchor, on a clock of days: a few milliseconds hold all events.
+_DENSE_DAY = 86_400_000
+
+
+@_register("context_dense", with_ev("""SELECT anchor, seq, rank, n > 6 AS truncated FROM (SELECT a.seq AS anchor, e.seq, count(*) OVER (PARTITION BY a.seq) AS n,
+  row_number() OVER (PARTITION BY a.seq ORDER BY a.seq = e.seq DESC, abs(a.eventMs - e.eventMs), e.eventMs, e.seq) AS rank
+FROM ev a JOIN ev e ON a.eventName = 'ListBuckets' AND a.eventMs = e.eventMs) WHERE rank <= 6""", _DENSE_DAY))
+def context_dense(spark, sf):
+    events = ev(spark, sf, _DENSE_DAY)
+    anchors = events.filter("eventName = 'ListBuckets'").select("seq")
+    return investigate.surrounding(events, anchors, 60, "all", 6).select("anchor", "seq", "rank", "truncated")
+
+
 def _totals(name, minutes, relation):
     sql = with_ev(f"SELECT anchor, count(*) AS total FROM pairs WHERE seq = anchor OR ({_WHERE[relation]}) GROUP BY 1",
                   ctes=_CTX.replace("{d}", str(minutes * 60000)))
