@@ -369,6 +369,16 @@ def sensitive_filter(spark, sf):
     return tags.sensitive_only(ev(spark, sf), catalog, chosen=["GetSecretValue", "DeleteTrail", "GetObject"]).select("seq")
 
 
+_SEVERITY = {"high": ("StopLogging", "DeleteTrail", "CreateAccessKey", "GetSecretValue"), "low": ("AssumeRole", "GetSessionToken", "GetFederationToken", "AssumeRoot", "RunInstances", "ConsoleLogin")}
+
+
+@_register("shipped_catalog", with_ev("SELECT eventName, coalesce(severity, '') AS severity, coalesce(severity = 'high', false) AS sensitive, count(*) AS events FROM ev LEFT JOIN (VALUES "
+  + ", ".join(f"('{n}', '{s}')" for s, names in _SEVERITY.items() for n in names) + ") c(name, severity) ON name = eventName GROUP BY ALL"))
+def shipped_catalog(spark, sf):
+    tagged = tags.tag_sensitive(ev(spark, sf), tags.default_catalog(spark))
+    return tagged.groupBy("eventName", F.coalesce("severity", F.lit("")).alias("severity"), "sensitive").agg(F.count(F.lit(1)).alias("events"))
+
+
 @_register("label_annotation", with_ev("""SELECT seq, accountId, label FROM ev JOIN (SELECT lpad(CAST(n_nationkey AS VARCHAR), 12, '0') AS value,
   n_name || '/' || r_name AS label FROM nation JOIN region ON n_regionkey = r_regionkey) l ON l.value = ev.accountId"""))
 def label_annotation(spark, sf):

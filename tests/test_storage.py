@@ -185,3 +185,12 @@ def test_dense_context_keeps_the_closest(spark):
         assert sorted(r.seq - 1 for r in rows) == sorted(want)
     with pytest.raises(ValueError):
         investigate.surrounding(events, anchors, 61)
+
+
+def test_every_view_can_be_read(spark, tmp_path):
+    from auditspark.plans.views import register_views
+    (tmp_path / "a.json").write_text(f"[{OTHER},{EXACT},{OTHER}]")
+    maintain.import_dataset(readers.read_records(spark, str(tmp_path / "a.json")), str(tmp_path / "data"))
+    names = register_views(spark, *maintain.open_dataset(spark, str(tmp_path / "data")), prefix="t_")
+    counts = {name: spark.sql(f"SELECT * FROM {name}").count() for name in names}
+    assert counts["t_events"] == 2 and counts["t_observations"] == 3 and counts["t_search_stats"] == 1
