@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -86,33 +87,41 @@ def federated_identities(events: DataFrame, mappings: DataFrame, directory: Data
                      detail=F.concat(F.lit("mapping "), F.col("mapping_id").cast("string")))
 
 
+#: What an entry of the broker's log must say, and the texts that stand for nothing.
+_SAYS = {"type": ("response",), "request.mount_type": ("", "aws"), "response.mount_type": ("", "aws"), "request.operation": ("read", "update")}
+_SILENT = ("error", "response.data.error", "response.data.errors")
+_NEEDED = ("auth.entity_id", "request.id", "response.data.access_key")
+_NOTHING = ("", "null", '""', "[]")
+
+
 def broker_responses(audit: DataFrame, column: str = "value") -> DataFrame:
     """Successful credential responses in a broker audit log (one JSON text per row)."""
-    a = audit.select(F.from_json(F.col(column), _AUDIT).alias("a")).select("a.*")
-    quiet = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))).isin("", "null", '""', "[]")
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    mounts = [text("request.mount_type"), text("response.mount_type")]
-    parts = F.split(text("request.path"), "/", -1)
-    ok = (text("type") == "response") & quiet("error") & quiet("response.data.error") & quiet("response.data.errors") \
-        & _given(F.col("auth.entity_id")) & _given(F.col("request.id")) & _given(F.col("response.data.access_key")) \
-        & ((mounts[0] == "aws") | (mounts[1] == "aws")) & mounts[0].isin("", "aws") & mounts[1].isin("", "aws") \
-        & text("request.operation").isin("read", "update") & (F.size(parts) >= 3) \
-        & (F.try_element_at(parts, F.lit(-1)) != "") & F.coalesce(F.try_element_at(parts, F.lit(-2)).isin("sts", "creds"), F.lit(False))
-    return a.filter(ok).select(
+    # a generator keeps the one parse apart from the conditions on its result
+    entries = audit.select(F.inline(F.array(F.from_json(F.col(column), _AUDIT))))
+    said = lambda name: F.coalesce(F.col(name), F.lit(""))
+    path = F.reverse(F.split(said("request.path"), "/", -1))  # <mount>/.../(sts|creds)/<role>
+    tests = [said(name).isin(*words) for name, words in _SAYS.items()] + [F.trim(said(name)).isin(*_NOTHING) for name in _SILENT]
+    tests += [said(name) != "" for name in _NEEDED]
+    tests += [F.concat(said("request.mount_type"), said("response.mount_type")) != "",
+              (F.size(path) > 2) & (F.get(path, F.lit(0)) != "") & F.get(path, F.lit(1)).isin("sts", "creds")]
+    kept = entries.filter(reduce(and_, [F.coalesce(test, F.lit(False)) for test in tests]))
+    return kept.select(
         F.col("request.id").alias("requestId"), F.col("auth.entity_id").alias("entity"), F.col("response.data.access_key").alias("issued"),
         event_ms(F.col("time")).alias("issuedMs"), F.col("time").alias("issuedAt"), F.col("request.path").alias("path"),
         F.col("request.remote_address").alias("remote")).filter(F.col("issuedMs").isNotNull())
 
 
 def broker_identities(events: DataFrame, audit: DataFrame, digests: DataFrame | None = None) -> DataFrame:
-    """Broker entities that received a key seen in the events, plain or as a digest."""
-    responses = broker_responses(audit)
-    hashed = F.col("issued").rlike(DIGEST)
-    plain = responses.filter(~hashed).select("*", F.col("issued").alias("key"), F.lit("exact-issued-access-key").alias("method"))
-    if digests is not None:
-        via = responses.filter(hashed).join(digests, F.col("issued") == F.col("digest")) \
-            .select(*responses.columns, F.col("access_key").alias("key"), F.lit("audit-hmac-issued-access-key").alias("method"))
-        plain = plain.unionByName(via)
+    """Broker entities that received a key seen in the events, plain or as a digest; the log is read once."""
+    plain = broker_responses(audit).withColumn("hashed", F.col("issued").rlike(DIGEST))
+    if digests is None:
+        plain = plain.withColumn("key", F.when(~F.col("hashed"), F.col("issued")))
+    else:
+        known = digests.select("digest", "access_key")
+        plain = plain.join(known, F.col("hashed") & (F.col("issued") == F.col("digest")), "left") \
+            .withColumn("key", F.when(F.col("hashed"), F.col("access_key")).otherwise(F.col("issued")))
+    plain = plain.filter(F.col("key").isNotNull()).withColumn(
+        "method", F.when(F.col("hashed"), "audit-hmac-issued-access-key").otherwise("exact-issued-access-key"))
     last_seen = events.filter(_given(F.col("accessKeyId"))).groupBy("accessKeyId").agg(F.max("eventMs").alias("lastMs"))
     hit = plain.join(last_seen, F.col("key") == F.col("accessKeyId")).filter(F.col("issuedMs") <= F.col("lastMs"))
     kept = hit.groupBy("requestId", "key", "entity").agg(F.min(F.struct("issuedMs", "issuedAt", "method", "path", "remote")).alias("f"))

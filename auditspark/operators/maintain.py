@@ -52,11 +52,18 @@ def assign_seq(first: DataFrame, offset: int = 0) -> DataFrame:
 
 
 def new_events(observations: DataFrame, stored: DataFrame | None = None, offset: int = 0) -> DataFrame:
-    """Event rows a batch adds: first copies of keys not stored yet, extracted and numbered."""
-    first = first_copies(observations)
+    """Event rows a batch adds: first copies of keys not stored yet, extracted and numbered.
+
+    Only (eventKey, eventTime) is sorted and numbered; the records join their numbers by key.  Of the stored table the
+    keys of the batch alone are looked for, so a small batch is sent to the stored keys and not the other way round.
+    """
+    time = F.from_json("raw", "eventTime string")["eventTime"]
+    keys = observations.select("eventKey", "position", time.alias("eventTime")).groupBy("eventKey").agg(F.min_by("eventTime", "position").alias("eventTime"))
     if stored is not None:
-        first = first.join(stored.select("eventKey"), "eventKey", "left_anti")
-    return assign_seq(extract_events(first.drop("position")), offset) \
+        known = stored.select("eventKey").join(observations.select("eventKey"), "eventKey", "left_semi")
+        keys = keys.join(known, "eventKey", "left_anti")
+    numbered = assign_seq(keys, offset).select("eventKey", "seq")
+    return extract_events(first_copies(observations).drop("position")).join(numbered, "eventKey") \
         .select("seq", *EVENT_COLUMNS, "raw", "eventKey", "evidenceHash", facts_column().alias("facts"))
 
 
