@@ -48,3 +48,31 @@ def flatten_records(records: DataFrame, keys: list[str], raw: str = "raw") -> Da
                 yield pd.DataFrame(rows, columns=schema.fieldNames())
 
     return records.select(*keys, raw).mapInPandas(split, schema)
+
+
+def _shown(value) -> str:
+    kind = _kind(value)
+    if kind in ("array", "object"):
+        return f"{kind.capitalize()} · {len(value)} {'items' if kind == 'array' else 'fields'}"
+    return str(value) if kind == "number" else json.dumps(value, ensure_ascii=False)
+
+
+def changed_members(left: str, right: str) -> Iterator[tuple[str, str, str, str, str, str]]:
+    """(path, change, left kind, left, right kind, right) of the highest members that differ."""
+    pending = [("", *(json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_Number) for text in (left, right)))]
+    while pending:
+        path, a, b = pending.pop()
+        kinds = _kind(a), _kind(b)
+        if kinds[0] != kinds[1] or kinds[0] not in ("array", "object"):
+            if kinds[0] != kinds[1] or a != b:
+                yield path or "(root)", "changed", kinds[0], _shown(a), kinds[1], _shown(b)
+            continue
+        sides = [dict(enumerate(x)) if kinds[0] == "array" else x for x in (a, b)]
+        for name in {**sides[0], **sides[1]}:
+            below = f"{path}/{str(name).replace('~', '~0').replace('/', '~1')}"
+            if name not in sides[1]:
+                yield below, "removed", _kind(sides[0][name]), _shown(sides[0][name]), "missing", "Not present"
+            elif name not in sides[0]:
+                yield below, "added", "missing", "Not present", _kind(sides[1][name]), _shown(sides[1][name])
+            else:
+                pending.append((below, sides[0][name], sides[1][name]))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
 
-from ..functions.flatten import flatten_records
-from ..session import checkpoint
-from .aggregates import top_rows
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from ..functions.flatten import changed_members, flatten_records
 
 PREVIEW, CHANGE_LIMIT = 512, 500
-_CONTAINERS = ("array", "object")
 
 
 def display_fields(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,7 +31,9 @@ def version_pairs(observations: DataFrame) -> DataFrame:
     Each distinct text is paired once with the first copy, so a key with many
     copies yields as many pairs as it has versions.
     """
-    texts = observations.groupBy("eventKey", "sha256").agg(F.min("position").alias("position"), F.min_by("raw", "position").alias("raw"))
+    differing = observations.groupBy("eventKey").agg((F.min("sha256") != F.max("sha256")).alias("differs")).filter("differs")
+    copies = observations.join(differing.select("eventKey"), "eventKey", "left_semi")
+    texts = copies.groupBy("eventKey", "sha256").agg(F.min("position").alias("position"), F.min_by("raw", "position").alias("raw"))
     first = texts.groupBy("eventKey").agg(F.min_by(F.struct("sha256", "raw"), "position").alias("f"))
     return texts.join(first, "eventKey").filter(F.col("sha256") != F.col("f.sha256")).select(
         F.concat_ws("#", "eventKey", "sha256").alias("pair"), F.col("f.raw").alias("left"), F.col("raw").alias("right"))
@@ -40,41 +42,26 @@ def version_pairs(observations: DataFrame) -> DataFrame:
 def diff_versions(pairs: DataFrame, limit: int | None = CHANGE_LIMIT) -> DataFrame:
     """Added, removed and changed paths of every pair; array positions count, member order does not.
 
-    Both sides are flattened and met by one grouping on (pair, path).  A change is
-    listed at the highest differing member: below a member whose kind differs or
-    that exists on one side only, nothing is listed.  Values are whole; a page may cut them with ``previewed``.
+    Both texts lie on one row, so they are compared there and only the changes leave it.  A change is listed at the
+    highest differing member: below a member whose kind differs or that exists on one side only, nothing is listed.
+    With ``limit`` the first paths of each pair are given, ``rank`` numbers them and ``complete`` tells whether these
+    are all; without it all are given.  Values are whole; a page may cut them with ``previewed``.
     """
-    sides = pairs.select("pair", F.inline(F.array(
-        F.struct(F.lit("l").alias("side"), F.col("left").alias("raw")), F.struct(F.lit("r").alias("side"), F.col("right").alias("raw")))))
-    rows = flatten_records(sides, ["pair", "side"])
-    side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    met = rows.groupBy("pair", "path").agg(F.first("parent").alias("parent"), *[
-        side(s, c).alias(f"{s}_{c}") for s in ("l", "r") for c in ("kind", "value", "children")])
-    alike = (F.col("l_kind") == F.col("r_kind")) & F.col("l_kind").isin(*_CONTAINERS)
-    unlike = ~(F.col("l_kind").eqNullSafe(F.col("r_kind")) & F.col("l_value").eqNullSafe(F.col("r_value")))
-    # Equal scalars are done here; what remains is read twice, so it is kept.
-    met = checkpoint(met.withColumn("_alike", F.coalesce(alike, F.lit(False))).filter(F.col("_alike") | unlike))
-    open_members = met.filter("_alike").select("pair", F.col("path").alias("parent"))
-    top = met.filter(~F.col("_alike") & F.col("parent").isNull())
-    inner = met.filter(~F.col("_alike")).join(open_members, ["pair", "parent"], "left_semi")
-
-    def shown(s: str) -> Column:
-        kind, value, n = (F.col(f"{s}_{c}") for c in ("kind", "value", "children"))
-        text = F.when(kind.isNull(), "Not present").when(kind == "array", F.concat(F.lit("Array · "), n.cast("string"), F.lit(" items"))) \
-            .when(kind == "object", F.concat(F.lit("Object · "), n.cast("string"), F.lit(" fields"))) \
-            .when(kind == "string", F.expr(f"substring(to_json(array({s}_value)), 2, length(to_json(array({s}_value))) - 2)")).otherwise(value)
-        return text
-
-    change = F.when(F.col("l_kind").isNull(), "added").when(F.col("r_kind").isNull(), "removed").otherwise("changed")
-    changes = inner.unionByName(top).select(
-        "pair", F.when(F.col("path") == "", "(root)").otherwise(F.col("path")).alias("path"), change.alias("change"),
-        F.coalesce("l_kind", F.lit("missing")).alias("leftKind"), shown("l").alias("left"),
-        F.coalesce("r_kind", F.lit("missing")).alias("rightKind"), shown("r").alias("right"))
-    if limit is None:
-        return changes
-    ranked = top_rows(changes, ["pair"], [F.col("path").asc()], limit + 1)
-    complete = ranked.groupBy("pair").agg((F.max("rank") <= limit).alias("complete"))
-    return ranked.filter(F.col("rank") <= limit).join(complete, "pair")
+    columns = ("path", "change", "leftKind", "left", "rightKind", "right")
+    schema = T.StructType([pairs.schema["pair"], *[T.StructField(c, T.StringType()) for c in columns],
+                           T.StructField("rank", T.IntegerType()), T.StructField("complete", T.BooleanType())])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for pair, left, right in zip(batch["pair"], batch["left"], batch["right"]):
+                found = sorted(changed_members(left, right))
+                most = len(found) if limit is None else limit
+                rows.extend((pair, *change, rank, len(found) <= most) for rank, change in enumerate(found[:most], 1))
+            yield pd.DataFrame(rows, columns=schema.fieldNames())
+
+    changes = pairs.select("pair", "left", "right").mapInPandas(compare, schema)
+    return changes.drop("rank", "complete") if limit is None else changes
 
 
 def previewed(changes: DataFrame, length: int = PREVIEW) -> DataFrame:
