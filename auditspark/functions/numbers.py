@@ -123,14 +123,17 @@ def number_doubt(raw: str = "raw") -> Column:
     return doubt(F.when(variant(raw).isNull() | (F.octet_length(raw) > 2 * MAX_NODES), F.col(raw)))
 
 
-def number_matches(field: str, op: str, literal: str, raw: str = "raw") -> Column:
-    """Boolean column for ``field op literal``; ``resources.x`` means any element.  Records in doubt match nothing."""
+def number_matches(field: str, op: str, literal: str, raw: str = "raw", parsed: Column | None = None) -> Column:
+    """Boolean column for ``field op literal``; ``resources.x`` means any element.  Records in doubt match nothing.
+
+    ``parsed`` is the record as a variant, where a caller has parsed it for several predicates.
+    """
     limit = parse_exact(literal)
     if limit is None:
         raise ValueError(f"numeric comparison needs a finite decimal, got {literal!r}")
     if op not in _OPS:
         raise ValueError(f"unknown numeric comparison {op!r}")
-    v, parts = variant(raw), field.split(".")
+    v, parts = variant(raw) if parsed is None else parsed, field.split(".")
     slow = _slow_match(field, literal, op)
     if not re.fullmatch(_NARROW[2:-2], literal):
         return F.coalesce(slow(F.col(raw)), F.lit(False))
