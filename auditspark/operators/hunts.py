@@ -13,6 +13,7 @@ from ..functions.facts import with_facts
 from ..functions.resources import COMPLETE_ARN
 from ..model import Filter
 from ..plans.slices import with_slices
+from ..session import checkpoint
 from .search import apply_filter, expr_column
 
 RESULT_LIMIT = 500
@@ -53,10 +54,10 @@ def indicator_keys(indicators: DataFrame) -> DataFrame:
 
 
 def _address_keys(events: DataFrame, prefix_bits: Column) -> DataFrame:
-    """Network keys of every event address, one per wanted prefix length."""
-    hexed = with_ip_hex(events.select("seq", "sourceIPAddress"), "sourceIPAddress", "_hex").filter(F.col("_hex").isNotNull())
-    sized = hexed.select("seq", "_hex", F.explode(prefix_bits).alias("_bits")).filter(F.col("_bits") <= F.length("_hex") * 4)
-    return sized.select("seq", F.lit("net").alias("keyKind"), network_key(F.col("_hex"), F.col("_bits")).alias("key"))
+    """Network keys of every distinct event address, one per wanted prefix length."""
+    hexed = with_ip_hex(events.select("sourceIPAddress").distinct(), "sourceIPAddress", "_hex").filter(F.col("_hex").isNotNull())
+    sized = hexed.select("sourceIPAddress", "_hex", F.explode(prefix_bits).alias("_bits")).filter(F.col("_bits") <= F.length("_hex") * 4)
+    return sized.select("sourceIPAddress", F.lit("net").alias("keyKind"), network_key(F.col("_hex"), F.col("_bits")).alias("key"))
 
 
 def _identifier_keys(events: DataFrame) -> DataFrame:
@@ -70,17 +71,20 @@ def _identifier_keys(events: DataFrame) -> DataFrame:
 
 
 def indicator_hits(events: DataFrame, indicators: DataFrame, f: Filter | None = None) -> DataFrame:
-    """(seq, indicator_id) pairs from one equi join.
+    """(seq, indicator_id) pairs from equi joins.
 
-    Events are expanded map-side to their typed lookup keys; a network match is
+    Events are expanded map-side to their typed lookup keys.  A network match is
     an equality of masked addresses, for the at most 162 prefix lengths that
-    occur in the indicator table.
+    occur in the indicator table; it is found for each distinct address, and
+    events join the addresses that are in some network.
     """
-    keys = indicator_keys(indicators)
+    keys = checkpoint(indicator_keys(indicators))  # read three times; one row per indicator
     bits = keys.agg(F.array_sort(F.collect_set("netBits"))).scalar()
     scoped = apply_filter(events, f)
-    probes = _address_keys(scoped, bits).unionByName(_identifier_keys(scoped))
-    return probes.join(keys.select("indicator_id", "keyKind", "key"), ["keyKind", "key"]).select("seq", "indicator_id")
+    wanted = keys.select("indicator_id", "keyKind", "key")
+    inside = _address_keys(scoped, bits).join(wanted, ["keyKind", "key"]).select("sourceIPAddress", "indicator_id")
+    named = _identifier_keys(scoped).join(wanted, ["keyKind", "key"]).select("seq", "indicator_id")
+    return scoped.select("seq", "sourceIPAddress").join(inside, "sourceIPAddress").select("seq", "indicator_id").unionByName(named)
 
 
 def indicator_totals(hits: DataFrame) -> DataFrame:
