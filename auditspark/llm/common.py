@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import shared_folder
 
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Most bytes and rows of an Arrow batch.
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 2_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -28,6 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python workers by bytes: texts can be long, and Spark's default counts rows.
+
+    The settings stay for the session, because Spark reads them when a lazy result is computed; they change no result.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends there, and Spark knows its size."""
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
@@ -52,6 +63,7 @@ def label_sample(labels: DataFrame, column: str, most: int, modulus: int = 5) ->
 
 def labelled_shards(docs: DataFrame, labels: DataFrame, column: str, most: int, shards: int) -> DataFrame:
     """The sampled rows' texts with label and shard.  The sample has ``most`` rows at most, so it may be broadcast."""
+    bounded_batches(docs.sparkSession)
     sample = F.broadcast(label_sample(labels, column, most))
     return (docs.select("doc_id", "text").join(sample, "doc_id")
             .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label",

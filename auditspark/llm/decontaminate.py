@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, slices, span_hashes, spans, stored, texts_of
+from .common import LOWER, bounded_batches, slices, span_hashes, spans, stored, texts_of
 
 WINDOW = 13
 BLOCK = 200_000
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 19
 _WORD = np.zeros(256, bool)
 _WORD[48:58], _WORD[97:123], _WORD[128:] = True, True, True
 
@@ -46,6 +46,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     counts: words of each document; terms: sorted word hashes; firsts: where a term's positions start; positions:
     ordinal of the word in the segment, sorted for each term.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, SPACE, labelled_shards, mixed, pieces, sigmoid, slices, span_hashes, spans, summed
+from .common import LOWER, SPACE, bounded_batches, labelled_shards, mixed, pieces, sigmoid, slices, span_hashes, spans, summed
 
 BITS = 18
 MOST_LABELS = 16_000
@@ -118,6 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int
 
 def score(model: Model, text: Column, spark) -> Column:
     """Score 0 to 1 of a text column; higher: label 1 is likelier."""
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

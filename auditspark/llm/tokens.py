@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import bounded_batches
+
 FREQUENT = 1 << 16
 SAMPLE_ROWS = 2_000
 SAMPLE_BYTES = 8 << 20
@@ -62,6 +64,7 @@ def frequent_lengths(docs: DataFrame, path: str, frequent: int = FREQUENT, rows:
 
 def token_counts(docs: DataFrame, path: str, text: Column | None = None, cache: int = CACHE, **table) -> Column:
     """Column with the number of tokens of each text, by the tokenizer file at ``path`` (present on every machine)."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, **table))
 
     @F.arrow_udf("bigint")

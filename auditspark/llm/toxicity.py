@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, SPACE, labelled_shards, pieces, sigmoid, slices, summed
+from .common import LOWER, SPACE, bounded_batches, labelled_shards, pieces, sigmoid, slices, summed
 
 SIZES = (4, 6)
 BITS = 18
@@ -66,21 +66,29 @@ class Model:
     bias: float
 
 
-def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    rows, columns, stamp = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], np.zeros(DIMS, np.int32)
+def _found(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, features that occur in it), once for each size."""
+    stamp = np.zeros(DIMS, np.int32)
     for first, _, data, bounds in slices(pa.array(texts, pa.large_string())):
         for k, found in present(data, bounds, stamp):
-            rows.append(np.full(len(found), first + k, np.int32))
-            columns.append(found)
+            yield first + k, found
+
+
+def _matrix(texts: list[str], used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every occurrence of a used feature."""
+    rows, columns = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for row, found in _found(texts):
+        columns.append(found[used[found]])
+        rows.append(np.full(len(columns[-1]), row, np.int32))
     return np.concatenate(rows), np.concatenate(columns)
 
 
 def _counts(pdf):
     import pandas as pd
-    rows, columns = _matrix(pdf["text"].tolist())
-    toxic = pdf["label"].to_numpy()[rows] == 1
-    both = np.concatenate([np.bincount(columns[toxic], minlength=DIMS), np.bincount(columns[~toxic], minlength=DIMS),
-                           [(pdf["label"] == 1).sum(), (pdf["label"] == 0).sum()]])
+    labels, both = pdf["label"].tolist(), np.zeros(2 * DIMS + 2)
+    for row, found in _found(pdf["text"].tolist()):
+        both[found + (0 if labels[row] else DIMS)] += 1
+    both[-2:] = sum(labels), len(labels) - sum(labels)
     parts = pieces(both)
     return pd.DataFrame({"piece": [p for p, _ in parts], "values": [v for _, v in parts]})
 
@@ -93,8 +101,6 @@ def log_ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: fl
 
 def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     """Weights on the present features (ratio times coefficient) and the bias, by accelerated full-batch steps."""
-    used = ratios[columns] != 0
-    rows, columns = rows[used], columns[used]
     names, column = np.unique(columns, return_inverse=True)  # only what the ratios left
     value = ratios[names]
     n = len(labels)
@@ -123,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
 
     def run(pdf):
         import pandas as pd
-        rows, columns = _matrix(pdf["text"].tolist())
+        rows, columns = _matrix(pdf["text"].tolist(), held.value != 0)
         parts = pieces(np.append(fit(rows, columns, pdf["label"].to_numpy(), held.value), 1.0))
         return pd.DataFrame({"piece": [p for p, _ in parts], "values": [v for _, v in parts]})
 
@@ -134,6 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
 
 def score(model: Model, text: Column, spark) -> Column:
     """Score 0 to 1 of a text column; higher: toxic is likelier."""
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
