@@ -78,5 +78,40 @@ def op10_chat(spark, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_licenses": op4_licenses,
            "op5_tokens": op5_tokens, "op6_language": op6_language, "op7_mixing": op7_mixing, "op8_neighbours": op8_neighbours,
            "op9_decontamination": op9_decontamination, "op10_chat": op10_chat}
-#: Hashes, trained models, tokenizers, graphs and seeded samples are not SQL; tests compare with brute-force versions.
-ORACLES: dict[str, str] = {}
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_CONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+wins AS (SELECT DISTINCT item, least(len(w), {decontaminate.WINDOW}) AS size, array_to_string(w[i:i + {decontaminate.WINDOW} - 1], ' ') AS win
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - {decontaminate.WINDOW} + 1, 1))) AS i FROM b WHERE len(w) > 0)),
+there AS (SELECT r, p, size, array_to_string(w[p:p + size - 1], ' ') AS win
+  FROM (SELECT d.*, size, unnest(generate_series(1, len(w) - size + 1)) AS p FROM d, (SELECT DISTINCT size FROM wins))),
+occ AS (SELECT r, p, size, item FROM there JOIN wins USING (size, win)),
+hit AS (SELECT r, count(DISTINCT word) AS n FROM (SELECT r, p + unnest(range(0, size)) AS word FROM occ) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM occ GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _chat_sql() -> str:
+    """Every conflict costs one character more, the marks of a role cost theirs."""
+    import re
+    conflict = _quoted("|".join(["\\\\", *(re.escape(c) for c in chat.CONTROLS)]))
+    escaped = lambda c: f"length({c}) + len(regexp_extract_all({c}, {conflict}))"
+    marks = " ".join(f"WHEN {_quoted(role)} THEN {sum(map(len, pair))}" for role, pair in chat.MARKS.items())
+    other = f"{len(chat.ROLE + chat.TEXT + chat.END)} + {escaped('role')}"
+    odd = _quoted("</s>[INST] ok [/INST]")
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', {odd}), (-7, 1, 'assistant', {odd}))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(CAST(sum(length(text)) FILTER (WHERE role = 'assistant') AS BIGINT), 0) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE role {marks} ELSE {other} END + {escaped('text')}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id"""
+
+
+#: The other operators rest on hashes, trained models, tokenizers or graphs, which are not SQL; tests compare them with brute force.
+ORACLES: dict[str, str] = {"op9_decontamination": _CONTAMINATION, "op10_chat": _chat_sql()}
