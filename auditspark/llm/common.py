@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -39,6 +40,15 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def release_memory() -> None:
+    """Give what a task no longer uses back to the system; a Python worker lives on and its free memory counts."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends there, and Spark knows its size."""
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"

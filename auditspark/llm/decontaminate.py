@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, bounded_batches, slices, span_hashes, spans, stored, texts_of
+from .common import LOWER, bounded_batches, release_memory, slices, span_hashes, spans, stored, texts_of
 
 WINDOW = 13
 BLOCK = 200_000
@@ -61,6 +61,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), ids.slice(first, last - first))
                 yield pa.RecordBatch.from_arrays([lists, *[pa.array([x.tobytes()], pa.binary()) for x in packed]],
                                                  names=["doc_ids", "counts", "terms", "firsts", "positions"])
+        release_memory()
 
     return stored(docs.select("doc_id", "text").mapInArrow(run, INDEX.replace("doc_ids binary", f"doc_ids array<{id_type}>")))
 
@@ -198,6 +199,7 @@ def _report(helds: list):
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(segment.counts.astype(np.int64)), pa.array(hits.astype(np.int64)), pa.array(lists, pa.list_(pa.string()))],
                     names=["doc_id", "n_words", "n_hit", "items"])
+        release_memory()
 
     return run
 

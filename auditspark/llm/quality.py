@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, SPACE, bounded_batches, labelled_shards, mixed, pieces, sigmoid, slices, span_hashes, spans, summed
+from .common import LOWER, SPACE, bounded_batches, labelled_shards, mixed, pieces, release_memory, sigmoid, slices, span_hashes, spans, summed
 
 BITS = 18
 MOST_LABELS = 16_000
@@ -108,6 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int
         pdf = pdf.sort_values(["doc_id", "text"], key=lambda s: pd.util.hash_array(s.to_numpy()) if s.name == "doc_id" else s)
         weights = ftrl(_rows(pdf["text"].tolist(), pdf["label"].tolist(), dims), dims)
         parts = pieces(np.append(weights, 1.0))
+        release_memory()
         return pd.DataFrame({"piece": [p for p, _ in parts], "values": [v for _, v in parts]})
 
     shard = labelled_shards(docs, labels, column, most, shards).groupBy("shard")
@@ -130,5 +131,6 @@ def score(model: Model, text: Column, spark) -> Column:
                 where, feature, weight = features(data, bounds)
                 out[first:last] = np.bincount(where, weights=own.weights[feature] * weight, minlength=last - first)
             yield pa.array(sigmoid(out + own.bias))
+        release_memory()
 
     return run(text)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import bounded_batches, stored, texts_of
+from .common import bounded_batches, release_memory, stored, texts_of
 from .graph import components
 
 SHINGLE = 4
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             texts = texts_of(batch)
             values = np.fromiter((fingerprint(t.as_buffer().to_pybytes(), shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+        release_memory()
 
     bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
@@ -194,6 +195,8 @@ def _walk(budget: int, blocks: int, most: int = 200_000):
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(values[linked]), pa.array(values[label[linked]])], names=["a", "b"])
             start = stop
+        del whole, choice, bits, i, j, side, fp, moved, order
+        release_memory()
 
     return run
 

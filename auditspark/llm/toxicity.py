@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, SPACE, bounded_batches, labelled_shards, pieces, sigmoid, slices, summed
+from .common import LOWER, SPACE, bounded_batches, labelled_shards, pieces, release_memory, sigmoid, slices, summed
 
 SIZES = (4, 6)
 BITS = 18
@@ -90,6 +90,7 @@ def _counts(pdf):
         both[found + (0 if labels[row] else DIMS)] += 1
     both[-2:] = sum(labels), len(labels) - sum(labels)
     parts = pieces(both)
+    release_memory()
     return pd.DataFrame({"piece": [p for p, _ in parts], "values": [v for _, v in parts]})
 
 
@@ -131,6 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
         import pandas as pd
         rows, columns = _matrix(pdf["text"].tolist(), held.value != 0)
         parts = pieces(np.append(fit(rows, columns, pdf["label"].to_numpy(), held.value), 1.0))
+        del rows, columns
+        release_memory()
         return pd.DataFrame({"piece": [p for p, _ in parts], "values": [v for _, v in parts]})
 
     total = summed(shard.applyInPandas(run, "piece int, values binary"), DIMS + 2)
@@ -152,5 +155,6 @@ def score(model: Model, text: Column, spark) -> Column:
                 for k, found in present(data, bounds, stamp):
                     out[first + k] += own.weights[found].sum(dtype=np.float64)
             yield pa.array(sigmoid(out))
+        release_memory()
 
     return run(text)
