@@ -78,10 +78,5 @@ def extract_events(records: DataFrame, raw: str = "raw") -> DataFrame:
     return parsed.withColumns({name: columns[name] for name in EVENT_COLUMNS}).drop("_r")
 
 
-def recorded_read_only(raw: str = "raw") -> Column:
-    """Three-valued: only a JSON boolean counts, anything else is unknown."""
-    return F.from_json(F.col(raw), "readOnly boolean")["readOnly"]
-
-
 def has_error() -> Column:
     return (F.coalesce("errorCode", F.lit("")) != "") | (F.coalesce("errorMessage", F.lit("")) != "")

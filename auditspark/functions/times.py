@@ -31,8 +31,3 @@ def evidence_ms(text: Column) -> Column:
 
 # DuckDB-compatible origin for bucket edges: Monday 2000-01-03.
 BUCKET_ORIGIN_S = 946857600
-
-
-def time_bucket_ms(ms: Column, step_s: int) -> Column:
-    step, origin = step_s * 1000, BUCKET_ORIGIN_S * 1000
-    return F.floor((ms - F.lit(origin)) / F.lit(step)) * F.lit(step) + F.lit(origin)

@@ -74,7 +74,7 @@ _ACTED_SQL = f"""CASE split_part(eventSource, '.', 1) WHEN 's3' THEN CASE eventN
 def display_labels(spark, sf):
     return labels.with_target(ev(spark, sf)).select(
         "seq", labels.user_label().alias("userLabel"), labels.result_label().alias("resultLabel"),
-        records.has_error().alias("hasError"), records.recorded_read_only().alias("recordedReadOnly"),
+        records.has_error().alias("hasError"), F.col("facts.recordedReadOnly").alias("recordedReadOnly"),
         "target", labels.acted_on().alias("actedOn"))
 
 
