@@ -187,3 +187,8 @@ def require_all(found: DataFrame) -> DataFrame:
 def by_parsed_time(events: DataFrame, position: Column | str = "position") -> DataFrame:
     """Text-dump order: parsed time, unusable times last, input order among equals."""
     return events.orderBy(F.col("ts").asc_nulls_last(), position)
+
+
+def dump_places(events: DataFrame, position: str = "position", name: str = "place") -> DataFrame:
+    """Text-dump order as numbers from 1, for dumps too large to be sorted as a whole: (position, place)."""
+    return number_rows(events.select("ts", position), [F.col("ts").asc_nulls_last(), F.col(position).asc()], name).select(position, name)

@@ -135,3 +135,8 @@ def issuer_with_variants(spark, sf):
     copies = events.select("eventKey", "raw").unionByName(
         events.filter("eventNo % 5 = 1 AND copy = 0").select("eventKey", F.concat("raw", F.lit(" ")).alias("raw")))
     return lineage.resolve_issuers(events, copies).select("seq", "status", F.col("reasonCode").alias("code"), "parentSeq")
+
+
+@_register("dump_places", with_ev("SELECT seq, row_number() OVER (ORDER BY ts NULLS LAST, seq) AS place FROM ev"))
+def dump_places(spark, sf):
+    return maintain.dump_places(ev(spark, sf), "seq")

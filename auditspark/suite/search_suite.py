@@ -369,6 +369,20 @@ def sensitive_filter(spark, sf):
     return tags.sensitive_only(ev(spark, sf), catalog, chosen=["GetSecretValue", "DeleteTrail", "GetObject"]).select("seq")
 
 
+# Roles that the fixture lacks: reserved single-sign-on roles and service-linked ones, by the user's number.
+_SPECIAL_ARN = """CASE userNo % 3 WHEN 0 THEN concat('arn:aws:iam::', accountId, ':role/aws-reserved/sso.amazonaws.com/eu-west-1/AWSReservedSSO_Team_', CAST(userNo % 7 AS {0}), '_abc123')
+  WHEN 1 THEN concat('arn:aws:iam::', accountId, ':role/aws-service-role/x.amazonaws.com/AWSServiceRoleForX', CAST(userNo % 4 AS {0})) ELSE roleArn END"""
+
+
+@_register("special_roles", with_ev(f"""SELECT seq, {_SPECIAL_ARN.format('VARCHAR')} AS arn, CASE WHEN userNo % 3 = 0 THEN 'Team_' || userNo % 7 ELSE '' END AS permissionSet,
+  CASE userNo % 3 WHEN 0 THEN 'Team_' || userNo % 7 WHEN 1 THEN 'AWSServiceRoleForX' || userNo % 4 ELSE coalesce('role-' || CASE WHEN roleArn <> '' THEN userNo % 7 END, '') END AS roleName,
+  CASE WHEN userNo % 3 = 0 THEN 'sso' WHEN userNo % 3 = 1 THEN 'service-linked' WHEN identityType = 'AWSService' THEN 'service' ELSE '' END AS originKind FROM ev"""))
+def special_roles(spark, sf):
+    arn = F.expr(_SPECIAL_ARN.format("string"))
+    return ev(spark, sf).select("seq", arn.alias("arn"), labels.permission_set(arn).alias("permissionSet"), labels.role_name(arn).alias("roleName"),
+                                labels.origin_kind(F.col("identityType"), arn).alias("originKind"))
+
+
 _SEVERITY = {"high": ("StopLogging", "DeleteTrail", "CreateAccessKey", "GetSecretValue"), "low": ("AssumeRole", "GetSessionToken", "GetFederationToken", "AssumeRoot", "RunInstances", "ConsoleLogin")}
 
 
