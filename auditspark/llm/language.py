@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import LOWER, fold, pieces, slices, stored, summed, texts_of
+from .common import LOWER, bounded_batches, fold, pieces, slices, stored, summed, texts_of
 
 BITS = 13
 DIMS = 1 << BITS
@@ -104,11 +104,15 @@ class Model:
 
 def train(docs: DataFrame, modulus: int = 3, held: int = 1, most: int = MOST, centroids: int = CENTROIDS) -> Model:
     """Learns from the rows with a language and a text whose id's fold is not ``held``."""
+    bounded_batches(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", modulus) != held))
     total = summed(known.select("text").mapInArrow(_frequencies, "piece int, values binary"), DIMS + 1)
     idf = (np.log((1 + total[-1]) / (1 + total[:-1])) + 1).astype(np.float32)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = stored(known.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= most).select("doc_id", "lang").distinct())
+    sizes = stored(known.groupBy("lang").agg(F.count("*").alias("rows")))
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    few = known.select("doc_id", "lang").join(sizes, "lang").filter(lot <= F.least(F.lit(1.0), 2 * most / F.col("rows")) * (1 << 30))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(lot, "doc_id"))  # over about 2 * most rows a language
+    sample = stored(few.withColumn("rank", rank).filter(F.col("rank") <= most).select("doc_id", "lang").distinct())
     texts = known.select("doc_id", "lang", "text").join(sample, ["doc_id", "lang"])
     held_idf = docs.sparkSession.sparkContext.broadcast(idf)
 
@@ -128,6 +132,7 @@ def train(docs: DataFrame, modulus: int = 3, held: int = 1, most: int = MOST, ce
 
 def identify(model: Model, text: Column, spark) -> Column:
     """Struct column (lang, score, rejected) for a text column; score is the winner's cosine, 0 to 1."""
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang: string, score: double, rejected: boolean>")
