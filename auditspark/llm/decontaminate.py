@@ -6,7 +6,8 @@ the item windows; in each segment it starts from a window's rarest word, shifts
 keeps the starts that the offset-adjusted lists of the next rarest words have too, until all words agree (phrase
 matches).  With ``slop`` every word may stand up to that far from its place (proximity matches).
 
-Windows are given to the tasks in blocks of ``block`` windows, so what a task holds does not grow with the item table.
+Windows are given to the tasks as broadcasts of at most ``block`` windows (about 100 bytes each).  A task opens one block
+after another and lets go of each before the next, so what it holds does not grow with the item table.
 
 Rows: NULL, empty and wordless texts have no words and never match; repeated rows are answered each; items without
 words are skipped, repeated items count once for each item_id; item ids are compared as text; an empty table gives an
@@ -193,6 +194,8 @@ def _report(helds: list):
                         np.add.at(edge, starts + size, -1)
                         for text in np.unique(np.searchsorted(segment.ends, starts, "right")).tolist():
                             seen.setdefault(text, set()).add(names[item])
+                    if len(helds) > 1:
+                        held.__dict__.pop("_value", None)  # the worker's copy; it is read again when needed
                 hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
                 hits = hit[segment.ends] - hit[segment.ends - segment.counts]
                 lists = [sorted(seen.get(t, ())) for t in range(len(ids))]
