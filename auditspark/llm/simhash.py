@@ -119,7 +119,7 @@ class _Forest:
                 & (self.label[la] == self.label[lb]))
 
 
-def trie_links(keys: np.ndarray, roots: np.ndarray, budget: int, chunk: int = 1 << 18) -> np.ndarray:
+def trie_links(keys: np.ndarray, roots: np.ndarray, budget: int, chunk: int = 1 << 16) -> np.ndarray:
     """Component label of each key after walking the root pairs.
 
     ``keys`` are sorted within each root; a node is a range of them, its children are the keys with a 0 and with a 1
@@ -145,7 +145,7 @@ def trie_links(keys: np.ndarray, roots: np.ndarray, budget: int, chunk: int = 1
         la, ha, lb, hb, spent, same = (x[open_] for x in (la, ha, lb, hb, spent, same))
         if depth not in zeros:
             zero = (keys >> np.uint64(63 - depth)) & np.uint64(1) == 0
-            zeros[depth] = np.concatenate([[0], np.cumsum(zero, dtype=np.int64)])
+            zeros[depth] = np.concatenate([[0], np.cumsum(zero, dtype=np.int32)]).astype(np.int32)
         z = zeros[depth]
         ma, mb = la + z[ha] - z[la], lb + z[hb] - z[lb]
         once = ~same
@@ -159,7 +159,7 @@ def trie_links(keys: np.ndarray, roots: np.ndarray, budget: int, chunk: int = 1
     return forest.label
 
 
-def _walk(budget: int, blocks: int, most: int = 200_000):
+def _walk(budget: int, blocks: int, most: int = 50_000):
     """Task: rows (choice, bits, i, j, side, fp), whole groups together; emits links (a, b) that span what is near."""
     cut = _bounds(blocks)
     chosen = list(combinations(range(blocks), blocks - budget))
