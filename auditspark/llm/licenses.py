@@ -1,10 +1,15 @@
 """Licence scan: a trained paragraph classifier in DataFrame functions only.
 
-Paragraphs are the lines of a text.  A line that holds an anchor word of licensing is classified by a softmax
-regression over its words and word pairs into licence families and ``unknown``; the predicted family must reach the
-calibrated probability and is confirmed only if one of its templates is contained in the line (share of the template's
-words at least CONFIRM).  Everything else with an anchor counts as unknown.  Per row work stays in array functions, so
-texts are read once and nothing is exchanged.
+A paragraph is a run of lines with words; lines without any end it.  Its anchored lines, and its windows of neighbouring
+lines with an anchor in them, are classified by a softmax regression over their words and word pairs into licence families
+and ``unknown``; the predicted family must reach the calibrated probability and is confirmed only if one of its templates
+is contained in them (share of the template's words at least CONFIRM).  So a notice is found however it is wrapped: a
+window starts at any line and grows line by line until it has the words of the longest template.  Where confirmed windows
+overlap, the first one with the greatest share stays; a line that holds a whole template is not looked at further.  An
+anchored line in no confirmed window counts as unknown.  Per row work stays in array functions, so texts are read once
+and nothing is exchanged.
+
+The BSD redistribution sentence is the same with two and three clauses: it names two, unless the text also has the third.
 
 Training rows are the templates below with words left out, and sentences about licences that grant none: a fixed, small
 set, fitted on the driver.  The probability threshold is calibrated on variants that the fit did not see: the least
@@ -20,6 +25,7 @@ import json
 import math
 import random
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,14 +34,22 @@ CONFIRM = 0.7
 ROUNDS = 30
 RATE, L2 = 0.4, 1e-4
 SEED = 11
+LOTS = 1024
 
 #: Common notice lines of public licences.
+REDISTRIBUTION = ("Redistribution and use in source and binary forms, with or without modification, are permitted "
+                  "provided that the following conditions are met")
+_GNU = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} License "
+_LATER = _GNU + "as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+_ONLY = _GNU + "version {} as published by the Free Software Foundation."
 TEMPLATES = {
     "agpl-3.0": ["This program is licensed under the GNU Affero General Public License, version 3.",
-                 "You can redistribute it under the terms of the GNU Affero General Public License"],
+                 "You can redistribute it under the terms of the GNU Affero General Public License",
+                 _LATER.format("program", "Affero General Public", "3"), _ONLY.format("program", "Affero General Public", "3")],
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0",
                    "You may obtain a copy of the License at http www.apache.org licenses LICENSE-2.0"],
-    "bsd-2-clause": ["Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", "Licensed under the Simplified BSD License"],
+    "bsd-2-clause": ["Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", "Licensed under the Simplified BSD License",
+                     REDISTRIBUTION],
     "bsd-3-clause": ["Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Licensed under the New BSD License",
                      "Neither the name of the copyright holder nor the names of its contributors may be used to endorse products"],
     "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
@@ -43,14 +57,20 @@ TEMPLATES = {
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"],
     "cc0-1.0": ["Released into the public domain under CC0 1.0.", "CC0 1.0 Universal public domain dedication"],
     "gpl-2.0": ["This program is licensed under the GNU General Public License, version 2.", "Released under the GPL v2 license",
-                "SPDX-License-Identifier: GPL-2.0-only"],
+                "SPDX-License-Identifier: GPL-2.0-only", _LATER.format("program", "General Public", "2"), _ONLY.format("program", "General Public", "2")],
     "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Released under the GPL v3 license",
-                "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "isc": ["Released under the ISC License.", "SPDX-License-Identifier: ISC"],
-    "lgpl-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
+                "SPDX-License-Identifier: GPL-3.0-or-later", _LATER.format("program", "General Public", "3"), _ONLY.format("program", "General Public", "3")],
+    "isc": ["Released under the ISC License.", "SPDX-License-Identifier: ISC",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "lgpl-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only",
+                 _LATER.format("library", "Lesser General Public", "2.1"), _ONLY.format("library", "Lesser General Public", "2.1")],
+    "lgpl-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only",
+                 _LATER.format("library", "Lesser General Public", "3"), _ONLY.format("library", "Lesser General Public", "3")],
     "mit": ["Released under the MIT License.", "Licensed under the MIT license", "SPDX-License-Identifier: MIT",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0",
+                "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. "
+                "If a copy of the MPL was not distributed with this file, You can obtain one at https mozilla.org MPL 2.0"],
     "proprietary": ["Copyright. All rights reserved.", "All rights reserved. No part may be reproduced without permission."],
     "unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
 }
@@ -68,7 +88,9 @@ OTHERS = [
     "The film was released under another title.", "The apache helicopter crew kept its general warranty license.",
 ]
 #: Anchors: every template holds one of them.
-ANCHORS = ["licen", "copyright", "public domain", "cc0", "permission", "reserved"]
+ANCHORS = ["licen", "copyright", "public domain", "cc0", "permission", "reserved", "redistribut"]
+#: The anchors in text with line breaks: the words of one may stand on two lines.
+_ANCHORED = "|".join(a.replace(" ", "[^a-z0-9]+") for a in ANCHORS)
 _WORD = r"[a-z0-9][a-z0-9.]*[a-z0-9]|[a-z0-9]"
 
 
@@ -148,28 +170,55 @@ def train() -> tuple[list[str], dict[str, list[float]], list[float], float]:
     return _fitted[0]
 
 
-def candidates(text: Column) -> Column:
-    """The lines of a text that hold an anchor, lower-cased; an empty list for most texts."""
+def paragraphs_of(text: Column) -> Column:
+    """The lines with words of an anchored text, lower-cased, with their number; an empty list for most texts."""
     low = F.lower(text)
-    def anchored(x: Column) -> Column:
-        found = x.contains(ANCHORS[0])
-        for anchor in ANCHORS[1:]:
-            found = found | x.contains(anchor)
-        return found
-    none = F.array().cast("array<string>")
-    return F.coalesce(F.when(anchored(low), F.filter(F.split(low, "\n"), anchored)), none)
+    lines = F.transform(F.split(low, "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"), F.regexp_count(x, F.lit(_WORD)).alias("n")))
+    none = F.array().cast("array<struct<at:int,line:string,n:int>>")
+    return F.coalesce(F.when(low.rlike(_ANCHORED), F.filter(lines, lambda x: x["n"] > 0)), none)
+
+
+def anchored(line: Column) -> Column:
+    found = line.contains(ANCHORS[0])
+    for anchor in ANCHORS[1:]:
+        found = found | line.contains(anchor)
+    return found
+
+
+def windows(lines: Column) -> Column:
+    """(first, last, line) of the anchored windows of two and more neighbouring lines: those that start at one line end
+    with the first that reaches the longest template's words."""
+    longest = max(len(words_of(t)) for own in TEMPLATES.values() for t in own)
+
+    def grown(x: Column, i: Column) -> Column:
+        near = F.slice(lines, i + 1, longest)
+        size = F.size(F.filter(F.transform(near, lambda y, k: F.struct(y["at"].alias("at"), k.alias("k"))), lambda y: y["at"] == x["at"] + y["k"]))
+        return F.struct(x["at"].alias("first"), F.slice(near, 1, size).alias("near"))
+
+    def cut(start: Column) -> Column:
+        near = start["near"]
+        ends = F.filter(F.sequence(F.lit(1), F.size(near)), lambda k: (k > 1) & (F.aggregate(
+            F.slice(near, 1, k - 1), F.lit(0), lambda acc, y: acc + y["n"]) < longest))
+        return F.transform(ends, lambda k: F.struct(start["first"].alias("first"), (start["first"] + k - 1).alias("last"), F.array_join(
+            F.transform(F.slice(near, 1, k), lambda y: y["line"]), " ").alias("line")))
+
+    starts = F.filter(F.transform(lines, grown), lambda x: F.array_join(F.transform(x["near"], lambda y: y["line"]), " ").rlike(_ANCHORED))
+    return F.filter(F.flatten(F.transform(starts, cut)), lambda x: x["line"].rlike(_ANCHORED))
 
 
 def judged(line: Column) -> Column:
     """Struct (family, probability, likeness, confirmed) of one lower-cased line."""
     families, weights, bias, least = train()
-    table = F.from_json(F.lit(json.dumps(weights)), "map<string, array<double>>")
+    lots: list[dict] = [{} for _ in range(LOTS)]  # a map is read from its first key on, so each is kept short
+    for gram, own in weights.items():
+        lots[zlib.crc32(gram.encode()) % LOTS][gram] = own
+    table = F.from_json(F.lit(json.dumps(lots)), "array<map<string, array<double>>>")
     start = F.array(*[F.lit(b) for b in bias])
     words = F.regexp_extract_all(line, F.lit(f"({_WORD})"), F.lit(1))
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
                        lambda a, b: F.concat(a, F.lit(" "), b))
     grams = F.array_distinct(F.concat(words, pairs))
-    logits = F.aggregate(grams, start, lambda acc, g: F.coalesce(F.zip_with(acc, F.try_element_at(table, g), lambda a, b: a + b), acc))
+    logits = F.aggregate(grams, start, lambda acc, g: F.coalesce(F.zip_with(acc, F.try_element_at(F.get(table, (F.crc32(g) % LOTS).cast("int")), g), lambda a, b: a + b), acc))
     top = F.array_max(logits)
     share = 1 / F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
     family = F.element_at(F.array(*map(F.lit, families)), F.array_position(logits, top).cast("int"))
@@ -181,13 +230,45 @@ def judged(line: Column) -> Column:
                     ((family != UNKNOWN) & (share >= least) & (likeness >= CONFIRM)).alias("confirmed"))
 
 
+def _taken(found: Column) -> Column:
+    """Confirmed windows that do not overlap: the first of the greatest likeness among those that do."""
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        return (F.when(last.isNull() | (x["first"] > last["last"]), F.concat(acc, F.array(x)))
+                .when(x["found"]["likeness"] > last["found"]["likeness"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))).otherwise(acc))
+
+    return F.aggregate(F.array_sort(F.filter(found, lambda x: x["found"]["confirmed"])), F.slice(found, 1, 0), step)
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with paragraphs (line, family, probability, likeness, confirmed), licences (confirmed families in
-    order) and unknown_paragraphs (anchored lines without a confirmed family)."""
-    lines = F.transform(candidates(F.col(text)), lambda x: F.struct(x.alias("line"), judged(x).alias("found")))
-    found = docs.withColumn("paragraphs", F.transform(lines, lambda x: F.struct(
-        x["line"].alias("line"), x["found"]["family"].alias("family"), x["found"]["probability"].alias("probability"),
+    order) and unknown_paragraphs (anchored lines in no confirmed one); the line of a wrapped notice is its lines joined."""
+    def judge(x: Column) -> Column:
+        return F.struct(x["first"].alias("first"), x["last"].alias("last"), x["line"].alias("line"), judged(x["line"]).alias("found"))
+
+    def whole(x: Column) -> Column:
+        return x["found"]["confirmed"] & (x["found"]["likeness"] == 1)
+
+    singles = F.transform(F.filter("_licence_lines", lambda x: anchored(x["line"])),
+                          lambda x: F.struct(x["at"].alias("first"), x["at"].alias("last"), x["line"].alias("line")))
+    found = docs.withColumn("_licence_lines", paragraphs_of(F.col(text))).withColumn("_licence_singles", F.transform(singles, judge))
+    ended = F.transform(F.filter("_licence_singles", whole), lambda x: x["first"])
+    found = found.withColumn("_licence_lines", F.filter("_licence_lines", lambda x: ~F.array_contains(ended, x["at"])))
+    found = found.withColumn("_licence_windows", F.transform(windows(F.col("_licence_lines")), judge))
+    found = found.withColumn("_licence_taken", _taken(F.concat("_licence_singles", "_licence_windows")))
+    rest = F.filter("_licence_singles", lambda x: ~F.exists("_licence_taken", lambda y: (y["first"] <= x["first"]) & (x["first"] <= y["last"])))
+    found = found.withColumn("_licence_taken", F.array_sort(F.concat("_licence_taken", rest)))
+    third = F.exists("_licence_taken", lambda x: x["found"]["confirmed"] & (x["found"]["family"] == "bsd-3-clause"))
+    shared = sorted(set(words_of(REDISTRIBUTION)))
+
+    def named(x: Column) -> Column:
+        both = F.size(F.array_intersect(F.lit(shared), F.regexp_extract_all(x["line"], F.lit(f"({_WORD})"), F.lit(1)))) >= CONFIRM * len(shared)
+        return F.when((x["found"]["family"] == "bsd-2-clause") & third & both, "bsd-3-clause").otherwise(x["found"]["family"])
+
+    found = found.withColumn("paragraphs", F.transform("_licence_taken", lambda x: F.struct(
+        x["line"].alias("line"), named(x).alias("family"), x["found"]["probability"].alias("probability"),
         x["found"]["likeness"].alias("likeness"), x["found"]["confirmed"].alias("confirmed"))))
+    found = found.drop("_licence_lines", "_licence_singles", "_licence_windows", "_licence_taken")
     sure = F.filter("paragraphs", lambda x: x["confirmed"])
     return (found.withColumn("licences", F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))))
             .withColumn("unknown_paragraphs", F.size("paragraphs") - F.size(sure)))

@@ -146,6 +146,49 @@ def test_licences_match_plain_python(odd_docs, no_docs, spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+GNU_HEADER = """This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} License as published by the
+Free Software Foundation, either version {2} of the License, or (at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} License for more details."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
+THIRD_CLAUSE = """
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission."""
+HEADERS = {
+    "gpl-2.0": GNU_HEADER.format("program", "General Public", "2"), "gpl-3.0": GNU_HEADER.format("program", "General Public", "3"),
+    "agpl-3.0": GNU_HEADER.format("program", "Affero General Public", "3"), "lgpl-2.1": GNU_HEADER.format("library", "Lesser General Public", "2.1"),
+    "lgpl-3.0": GNU_HEADER.format("library", "Lesser General Public", "3"), "bsd-2-clause": BSD_TEXT, "bsd-3-clause": BSD_TEXT + THIRD_CLAUSE,
+    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0""",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+}
+
+
+def test_licences_of_wrapped_headers(spark):
+    """The standard headers, wrapped, as comments, and between lines of prose without a blank line."""
+    import textwrap
+    rows = []
+    for family, header in HEADERS.items():
+        for width in (30, 50, 70, 72, 78, 100):
+            for mark, before, after in (("", "", ""), ("# ", "", ""), (" * ", "A tool of two parts.\nIt reads and writes.\n", "\nimport os\nThe rest is code.")):
+                lines = "\n\n".join("\n".join(textwrap.wrap(part, width)) for part in header.split("\n\n"))
+                rows.append((family, before + "\n".join(mark + line for line in lines.split("\n")) + after))
+    got = licenses.scan(spark.createDataFrame(rows, "family string, text string").repartition(8)).collect()
+    assert [(r.family, r.text, r.licences) for r in got if r.licences != [r.family]] == []
+    both = "\n".join(textwrap.wrap(HEADERS["mpl-2.0"], 70) + textwrap.wrap(GNU_HEADER.format("program", "General Public", "2").split("\n\n")[0], 70))
+    prose = "\n".join(textwrap.wrap(" ".join(licenses.OTHERS), 40))
+    got = licenses.scan(spark.createDataFrame([(both,), (prose,)], "text string")).collect()
+    assert {r.text: r.licences for r in got} == {both: ["gpl-2.0", "mpl-2.0"], prose: []}
+
+
 def test_token_counts_match_the_library(spark, odd_docs, no_docs):
     import public_tokenizers
     from tokenizers import Tokenizer
