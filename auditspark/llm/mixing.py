@@ -105,15 +105,20 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     return both.select("doc_id", F.col("_key").alias("key"), F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
-def repeated(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+def repeated(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED,
+             whole: bool = False) -> DataFrame:
     """``docs`` as the mix takes them: a row for each repetition, with ``repetition`` (from 1) and ``words_taken``.
 
     A repetition in part carries the words taken, space-joined.  Texts are not exchanged: only the few rows in an edge
     bucket are looked up by id; rows there that share id, source and size are taken alike.
+
+    With ``whole`` no text is cut: such rows are taken as many whole times as comes nearest to what the mix takes of them.
     """
     marked = _marked(docs, seed)
     plan, edge = _plan(stored(marked.select("doc_id", "_key", "_size", "_lot", "_bucket")), weights, share, most)
-    edge = edge.groupBy("_key", "doc_id", "_size").agg(F.max("taken").alias("_taken")).select("_key", "_size", F.col("doc_id").alias("_id"), "_taken")
+    nearest = F.when(F.col("_size") > 0, F.round(F.try_divide(F.sum("taken"), F.count("*") * F.col("_size"))).cast("bigint") * F.col("_size")).otherwise(0)
+    taken = nearest if whole else F.max("taken")
+    edge = edge.groupBy("_key", "doc_id", "_size").agg(taken.alias("_taken")).select("_key", "_size", F.col("doc_id").alias("_id"), "_taken")
     plan = plan.select("_key", F.col("whole").alias("_whole"), F.col("edge").alias("_edge"))
     rows = marked.join(plan, "_key")
     above = F.when(F.col("_bucket") < F.col("_edge"), F.col("_size")).otherwise(0)

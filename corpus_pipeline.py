@@ -40,8 +40,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.repeated(docs)
+    """Documents as often as the mix takes them, each whole: a source comes as near to its target as whole documents allow."""
+    return mixing.repeated(docs, whole=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", keep_good), ("near_copies", drop_near_copies),

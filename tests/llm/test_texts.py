@@ -257,6 +257,20 @@ def test_mixing(spark, odd_rows, odd_docs, no_docs):
     assert mixing.repeated(odd_docs).columns == [*odd_docs.columns, "repetition", "words_taken"]
 
 
+def test_pipeline_mixes_whole_texts(spark):
+    rows = [(k, f"Line {k}\n" + "one  two\tthree\n" * (k % 7 + 3), "en", f"s{k % 3}", 0) for k in range(60)]
+    rows += [(1000, "", "en", "s0", 0), (1001, None, "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    texts, taken = {r[0]: r[1] for r in rows}, Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, SF).collect():
+        assert r.text == texts[r.doc_id] and r.words_taken == len(WORD.findall(r.text))
+        taken[r.source] += r.words_taken
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    assert all(abs(taken[s] - want) <= (2 + 3 * 9) / 2 + 1 for s, want in plain_targets(sizes).items())
+
+
 def plain_contamination(rows, items, length=13):
     word = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     seen = {}
