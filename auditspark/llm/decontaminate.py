@@ -4,7 +4,8 @@ The index holds every word of every document: its rows are segments of whole doc
 word, the positions at which it stands.  It is written once to the shared folder and needs no exchange.  A search takes
 the item windows; in each segment it starts from a window's rarest word, shifts its positions by the word's offset, and
 keeps the starts that the offset-adjusted lists of the next rarest words have too, until all words agree (phrase
-matches).  With ``slop`` every word may stand up to that far from its place (proximity matches).
+matches).  With ``slop`` every word, the rarest too, may stand up to that far from its place, inside one document
+(proximity matches); all starts that allow this are given, moved into the document where they lie outside.
 
 Windows are given to the tasks as broadcasts of at most ``block`` windows (about 100 bytes each).  A task opens one block
 after another and lets go of each before the next, so what it holds does not grow with the item table.
@@ -106,19 +107,36 @@ class _Segment:
     def starts(self, first: np.ndarray, length: np.ndarray, slop: int) -> np.ndarray:
         """Where a window starts, given its words' lists: intersection from the rarest list on."""
         order = np.argsort(length, kind="stable")
+        if slop:
+            return self._near(first, length, slop, order)
         lead = order[0]
         found = self.positions[first[lead]: first[lead] + length[lead]].astype(np.int64) - lead
         for k in order[1:]:
             own = self.positions[first[k]: first[k] + length[k]]
-            at = np.searchsorted(own, found + k - slop)
-            found = found[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] <= found + k + slop)]
+            at = np.searchsorted(own, found + k)
+            found = found[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] == found + k)]
             if not len(found):
                 return found
         size = len(length)
-        found = found[found >= 0] if not slop else np.maximum(found, 0)
+        found = found[found >= 0]
         text = np.searchsorted(self.ends, found, "right")
         return found[found + size <= np.append(self.ends, 0)[text]]  # inside one document
 
+    def _near(self, first: np.ndarray, length: np.ndarray, slop: int, order: np.ndarray) -> np.ndarray:
+        """The starts around which every word stands up to ``slop`` from its place, in the document of the rarest one."""
+        places = self.positions[first[order[0]]: first[order[0]] + length[order[0]]].astype(np.int64)
+        text = np.searchsorted(self.ends, places, "right")
+        shifts = np.arange(-slop, slop + 1)
+        found = (places[:, None] - order[0] + shifts).ravel()
+        low, high = np.repeat(self.ends[text] - self.counts[text], len(shifts)), np.repeat(self.ends[text], len(shifts))
+        for k in order[1:]:
+            own = self.positions[first[k]: first[k] + length[k]]
+            at = np.searchsorted(own, np.maximum(found + k - slop, low))
+            fits = (at < len(own)) & (own[np.minimum(at, len(own) - 1)] <= np.minimum(found + k + slop, high - 1))
+            found, low, high = found[fits], low[fits], high[fits]
+        fits = high - low >= len(length)
+        return np.unique(np.clip(found[fits], low[fits], high[fits] - len(length)))
+
 
 def _found(segment: _Segment, blocks: list[tuple[np.ndarray, np.ndarray]], slop: int) -> Iterator[tuple[int, np.ndarray, int]]:
     """(item number, starts, window size) of every window that occurs in the segment."""

@@ -315,6 +315,24 @@ def test_proximity(spark):
     assert {r.doc_id for r in decontaminate.occurrences(index, items, slop=1).collect()} == {1, 2}
 
 
+def test_proximity_of_displaced_words(spark):
+    """Any word may be displaced, the rarest too, and none is taken from a neighbouring document."""
+    import random
+    rng = random.Random(4)
+    texts = ["b a c d", "a b c d", "a b", "c d", "d c b a"] + [" ".join(rng.choice("aabbcdx") for _ in range(rng.randrange(1, 12))) for _ in range(150)]
+    item = "a b c d".split()
+    index = decontaminate.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1))
+    items = spark.createDataFrame([(7, "a b c d")], "item_id bigint, text string")
+    for slop in (0, 1, 2):
+        want = set()
+        for k, own in enumerate(t.split() for t in texts):
+            for start in range(-slop, len(own) + slop if len(own) >= 4 else -slop):
+                if all(any(0 <= p < len(own) and own[p] == w for p in range(start + j - slop, start + j + slop + 1)) for j, w in enumerate(item)):
+                    want.add((k, min(max(start, 0), len(own) - 4)))
+        got = [(r.doc_id, r.start) for r in decontaminate.occurrences(index, items, slop=slop).collect()]
+        assert sorted(got) == sorted(want) and (slop == 0 or 0 in {k for k, _ in got})
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SF, "documents")
     for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
