@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from auditspark.operators import hunts
 from auditspark.session import small_table
-from conftest import make_events
+from made_events import make_events
 
 SCHEMA = "seq bigint, identityArn string, accessKeyId string, eventMs bigint, eventName string"
 

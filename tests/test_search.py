@@ -3,7 +3,7 @@ import pytest
 from auditspark.functions.text import java_regex
 from auditspark.model import Filter
 from auditspark.operators.search import apply_filter, expr_column
-from conftest import make_events
+from made_events import make_events
 
 RECORDS = [
     {"eventID": "a", "eventName": "GetObject", "awsRegion": "eu-west-1", "eventTime": "2024-01-01T00:00:00Z", "readOnly": True,

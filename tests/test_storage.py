@@ -10,7 +10,7 @@ from auditspark.plans.numbering import number_rows
 from auditspark.session import small_table
 from auditspark.sources import readers, sinks
 from auditspark.streaming import intake
-from conftest import make_events
+from made_events import make_events
 
 EXACT = '{"eventName":"A","eventID":"1","recipientAccountId":"9","eventTime":"2024-01-01T00:00:00Z","x":1.10,"y":1e400,"z":[ 1 , 2 ]}'
 OTHER = '{"eventName":"B","eventID":"2","recipientAccountId":"9","eventTime":"2024-01-02T00:00:00Z"}'
