@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import chat, decontaminate, language, licenses, mixing, neighbours, quality, simhash, tokens, toxicity
+from . import chat, decontaminate, language, licenses, mixing, neighbours, quality, simhash, tokens, toxicity, urls
 from .common import fold, table
+from ..session import small_table
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
@@ -75,9 +76,20 @@ def op10_chat(spark, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.unionAll(more)))
 
 
+#: Entries of the url filter: fixed values.
+URL_ENTRIES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+               ("net", "/fr/", "block")]
+
+
+def op11_urls(spark, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    entries = small_table(spark, URL_ENTRIES, "host string, path string, action string")
+    return urls.judge(pages, entries).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_licenses": op4_licenses,
            "op5_tokens": op5_tokens, "op6_language": op6_language, "op7_mixing": op7_mixing, "op8_neighbours": op8_neighbours,
-           "op9_decontamination": op9_decontamination, "op10_chat": op10_chat}
+           "op9_decontamination": op9_decontamination, "op10_chat": op10_chat, "op11_urls": op11_urls}
 _SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _CONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -113,5 +125,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(CASE role {marks} ELSE {other} END + {escaped('text')}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id"""
 
 
+def _url_sql() -> str:
+    entries = ", ".join(f"({_quoted(h)}, {_quoted(p)}, {_quoted(a)})" for h, p, a in URL_ENTRIES)
+    return rf"""WITH e(h, p, action) AS (VALUES {entries}),
+rest AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cut AS (SELECT r, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM rest),
+a AS (SELECT r, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM cut),
+fit AS (SELECT r, arg_max(h || p, (length(h), length(p))) AS rule, arg_max(action, (length(h), length(p))) AS action
+  FROM a JOIN e ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM a LEFT JOIN fit USING (r)"""
+
+
 #: The other operators rest on hashes, trained models, tokenizers or graphs, which are not SQL; tests compare them with brute force.
-ORACLES: dict[str, str] = {"op9_decontamination": _CONTAMINATION, "op10_chat": _chat_sql()}
+ORACLES: dict[str, str] = {"op9_decontamination": _CONTAMINATION, "op10_chat": _chat_sql(), "op11_urls": _url_sql()}
