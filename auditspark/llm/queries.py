@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import chat, decontaminate, language, licenses, mixing, neighbours, quality, simhash, tokens, toxicity, urls
+from . import chat, decontaminate, language, licenses, mixing, negatives, neighbours, quality, simhash, tokens, toxicity, urls
 from .common import fold, table
 from ..session import small_table
 
@@ -87,9 +87,17 @@ def op11_urls(spark, sf_dir: str) -> DataFrame:
     return urls.judge(pages, entries).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_negatives(spark, sf_dir: str) -> DataFrame:
+    """Hard negatives of every row whose id is divisible by 50, against all rows; every seventh label is moved by one."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("id") % 50 == 0)
+
+
 QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_licenses": op4_licenses,
            "op5_tokens": op5_tokens, "op6_language": op6_language, "op7_mixing": op7_mixing, "op8_neighbours": op8_neighbours,
-           "op9_decontamination": op9_decontamination, "op10_chat": op10_chat, "op11_urls": op11_urls}
+           "op9_decontamination": op9_decontamination, "op10_chat": op10_chat, "op11_urls": op11_urls,
+           "op13_negatives": op13_negatives}
 _SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _CONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -137,5 +145,18 @@ fit AS (SELECT r, arg_max(h || p, (length(h), length(p))) AS rule, arg_max(actio
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM a LEFT JOIN fit USING (r)"""
 
 
+_NEGATIVES = """WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM r AS a JOIN r AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
+
 #: The other operators rest on hashes, trained models, tokenizers or graphs, which are not SQL; tests compare them with brute force.
-ORACLES: dict[str, str] = {"op9_decontamination": _CONTAMINATION, "op10_chat": _chat_sql(), "op11_urls": _url_sql()}
+ORACLES: dict[str, str] = {"op9_decontamination": _CONTAMINATION, "op10_chat": _chat_sql(), "op11_urls": _url_sql(), "op13_negatives": _NEGATIVES}
