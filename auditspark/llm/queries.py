@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import chat, decontaminate, language, licenses, mixing, negatives, neighbours, quality, simhash, tokens, toxicity, urls
-from .common import fold, table
+from . import alignment, chat, decontaminate, language, licenses, mixing, negatives, neighbours, quality, simhash, tokens, toxicity, urls
+from .common import fold, stored, table
 from ..session import small_table
 
 
@@ -87,6 +87,16 @@ def op11_urls(spark, sf_dir: str) -> DataFrame:
     return urls.judge(pages, entries).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_alignment(spark, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    a, b = (str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.align(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint"), "text"), a, b)
+    digest = F.when(F.col("alignment.groups") == "", "").otherwise(F.sha2("alignment.groups", 256)).alias("groups_sha256")
+    found = stored(found.select("doc_id", digest, F.col("alignment").dropFields("groups").alias("alignment")))
+    return alignment.counted(found, a, b).select("doc_id", "alignment.n_a", "alignment.n_b", "alignment.n_groups", "alignment.n_links", "n_best", "count_sum",
+                                                 "groups_sha256")
+
+
 def op13_negatives(spark, sf_dir: str) -> DataFrame:
     """Hard negatives of every row whose id is divisible by 50, against all rows; every seventh label is moved by one."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
@@ -97,7 +107,7 @@ def op13_negatives(spark, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_licenses": op4_licenses,
            "op5_tokens": op5_tokens, "op6_language": op6_language, "op7_mixing": op7_mixing, "op8_neighbours": op8_neighbours,
            "op9_decontamination": op9_decontamination, "op10_chat": op10_chat, "op11_urls": op11_urls,
-           "op13_negatives": op13_negatives}
+           "op12_alignment": op12_alignment, "op13_negatives": op13_negatives}
 _SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _CONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
