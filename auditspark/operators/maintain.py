@@ -6,17 +6,21 @@ import datetime
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.facts import facts_column
 from ..functions.labels import content_key
 from ..functions.records import EVENT_COLUMNS, extract_events
 from ..model import Snapshot
+from ..plans import keyindex
 from ..plans.numbering import number_rows
-from ..sources.pointer import read_text, write_text
+from ..session import small_table
+from ..sources.pointer import create_text, names_in, read_text
 from .aggregates import top_rows
 
 EVIDENCE_PAGE = 25
+#: Number of a written observation, and what stands before a batch name in the key index (event keys begin otherwise).
+_ROW, _BATCH_KEY = "_written", "batch:"
 OBSERVATION_COLUMNS = ("observationId", "position", "eventKey", "sha256", "raw", "original", "source", "ordinal", "format", "lossy", "observedAt")
 
 
@@ -51,69 +55,122 @@ def assign_seq(first: DataFrame, offset: int = 0) -> DataFrame:
     return number_rows(first, [F.col("eventTime").asc_nulls_last(), F.col("eventKey").asc()], "seq", offset)
 
 
-def new_events(observations: DataFrame, stored: DataFrame | None = None, offset: int = 0) -> DataFrame:
+def _first_places(observations: DataFrame) -> DataFrame:
+    """Where the first copy of every key lies, and its time: narrow rows, collapsed map-side."""
+    time = F.from_json("raw", "eventTime string")["eventTime"].alias("eventTime")
+    place = ["position", "sha256", *([_ROW] if _ROW in observations.columns else [])]
+    return observations.groupBy("eventKey").agg(F.min(F.struct(*place, time)).alias("_first")).select("eventKey", "_first.*")
+
+
+def new_events(observations: DataFrame, stored: DataFrame | None = None, offset: int = 0, known: DataFrame | None = None) -> DataFrame:
     """Event rows a batch adds: first copies of keys not stored yet, extracted and numbered.
 
-    Only (eventKey, eventTime) is sorted and numbered; the records join their numbers by key.  Of the stored table the
-    keys of the batch alone are looked for, so a small batch is sent to the stored keys and not the other way round.
+    Known keys (``known``, or those of the batch that ``stored`` holds) fall out first.  Only narrow rows are collapsed,
+    sorted and numbered; the text of a record moves once, to meet the number of its place, and only new events are
+    parsed.  The join is by place, not by key, so the copies of one key do not meet.
     """
-    time = F.from_json("raw", "eventTime string")["eventTime"]
-    keys = observations.select("eventKey", "position", time.alias("eventTime")).groupBy("eventKey").agg(F.min_by("eventTime", "position").alias("eventTime"))
+    firsts = _first_places(observations)
     if stored is not None:
         known = stored.select("eventKey").join(observations.select("eventKey"), "eventKey", "left_semi")
-        keys = keys.join(known, "eventKey", "left_anti")
-    numbered = assign_seq(keys, offset).select("eventKey", "seq")
-    return extract_events(first_copies(observations).drop("position")).join(numbered, "eventKey") \
+    if known is not None:
+        firsts = firsts.join(known, "eventKey", "left_anti")
+    place = [c for c in firsts.columns if c != "eventTime"]
+    rows = observations.select(*place, "raw").join(assign_seq(firsts, offset).select(*place, "seq"), place)
+    if _ROW not in place:  # the same record may be listed twice at one place
+        rows = rows.dropDuplicates(place)
+    return extract_events(rows.withColumnRenamed("sha256", "evidenceHash")) \
         .select("seq", *EVENT_COLUMNS, "raw", "eventKey", "evidenceHash", facts_column().alias("facts"))
 
 
 # --- dataset on storage ---------------------------------------------------------
-# <dir>/CURRENT names the generation and its committed batches; everything else is
-# immutable Parquet, so readers never see half an import.
+# <dir>/state/<version> describes a commit: generation, parts of the tables, runs of the key index.  A version is created
+# once and everything it names is immutable Parquet, so readers never see half an import, and of two writers that started
+# from the same version one is refused.
+
+#: Names of batches kept in the state; when there are more, they move into the key index.
+NAMES = 1000
+#: Parts with fewer events than this are joined by ``compact_dataset``.
+SMALL_PART = 1 << 20
+
+
+def state_folder(out_dir: str) -> str:
+    return f"{out_dir}/state"
+
 
 def _state(spark: SparkSession, out_dir: str) -> dict | None:
-    text = read_text(spark, f"{out_dir}/CURRENT")
-    return json.loads(text) if text else None
+    versions = names_in(spark, state_folder(out_dir))
+    return json.loads(read_text(spark, f"{state_folder(out_dir)}/{versions[-1]}")) if versions else None
 
 
 def _commit(spark: SparkSession, out_dir: str, state: dict, begun: dict | None) -> Snapshot:
-    """Publish ``state``, which was made from ``begun``.  A dataset has one writer at a time; a second one is refused."""
-    if _state(spark, out_dir) != begun:
-        raise RuntimeError(f"{out_dir} was changed by another writer meanwhile; nothing was published")
-    write_text(spark, f"{out_dir}/CURRENT", json.dumps(state))
+    """Publish ``state``, which was made from ``begun``, as the next version.  Whoever comes second is refused."""
+    state = {**state, "version": (begun or {"version": 0})["version"] + 1}
+    if not create_text(spark, f"{state_folder(out_dir)}/{state['version']:012d}", json.dumps(state)):
+        raise RuntimeError(f"another writer has published version {state['version']} of {out_dir}; nothing was changed")
     return Snapshot(state["generation"], state["max_seq"], datetime.datetime.now(datetime.timezone.utc).isoformat())
 
 
-def _write_batch(records: DataFrame, out_dir: str, state: dict, batch: str, stored: DataFrame | None) -> bool:
-    """Write a batch beside the committed ones; False when it has no records.
+def _empty_state() -> dict:
+    return {"generation": f"gen-{uuid.uuid4().hex}", "parts": [], "names": [], "folded": False, "keys": [], "max_seq": 0}
+
+
+def _part_paths(home: str, table: str, parts: list[dict]) -> list[str]:
+    return [f"{home}/{table}/part={p['dir']}" for p in parts if p[table]]
+
+
+def _read_parts(spark: SparkSession, home: str, table: str, parts: list[dict]) -> DataFrame:
+    """One scan over all parts; the date folders are a column, as they are in each part."""
+    return spark.read.option("basePath", f"{home}/{table}").parquet(*_part_paths(home, table, parts)).drop("part")
+
+
+def _write_batch(records: DataFrame, out_dir: str, state: dict, batch: str) -> bool:
+    """Write a batch beside the committed ones and note it in ``state``; False when it has no records.
 
     The records are read once, into the batch's observations; what was written is then checked and published.
     """
-    home = f"{out_dir}/{state['generation']}"
+    spark, home, part = records.sparkSession, f"{out_dir}/{state['generation']}", {"dir": f"p-{uuid.uuid4().hex}"}
     identity = F.sha2(F.concat_ws("\u0001", F.lit(state["generation"]), F.lit(batch), "source", F.col("ordinal").cast("string")), 256)
-    observed = observations_of(records).withColumn("observationId", identity)
-    observed.withColumn("eventDate", F.to_date("observedAt")).write.mode("overwrite").parquet(f"{home}/observations/{batch}")
-    saved = observed.sparkSession.read.schema(observed.schema).parquet(f"{home}/observations/{batch}")
+    observed = observations_of(records).withColumns({"observationId": identity, _ROW: F.monotonically_increasing_id()})
+    path = f"{home}/observations/part={part['dir']}"
+    observed.withColumn("eventDate", F.to_date("observedAt")).write.parquet(path)
+    saved = spark.read.schema(observed.schema).parquet(path)
     first = invalid_records(saved).select("source", "ordinal").first()
     if first is not None:
         raise ValueError(f"invalid audit record from {first['source']} at {first['ordinal']}; nothing was published")
-    if saved.isEmpty():
+    part["observations"] = saved.count()
+    if not part["observations"]:
         return False
-    events = new_events(saved, stored, state["max_seq"]).withColumn("eventDate", F.to_date("ts"))
-    events.write.mode("overwrite").partitionBy("eventDate").parquet(f"{home}/events/{batch}")
-    written = observed.sparkSession.read.parquet(f"{home}/events/{batch}")
-    top = written.agg(F.max("seq")).first()[0]
-    state["batches"].append(batch)
-    state["max_seq"] = max(state["max_seq"], top or 0)
+    known = keyindex.known(saved, home, state["keys"])
+    events = new_events(saved, None, state["max_seq"], known).withColumn("eventDate", F.to_date("ts"))
+    events.write.partitionBy("eventDate").parquet(f"{home}/events/part={part['dir']}")
+    fields = T.StructType([f for f in events.schema if f.name != "eventDate"])
+    written = spark.read.schema(fields).option("recursiveFileLookup", "true").parquet(f"{home}/events/part={part['dir']}")
+    part["events"], top = written.agg(F.count(F.lit(1)), F.max("seq")).first()
+    if part["events"]:
+        state["keys"] = keyindex.merged(spark, home, [*state["keys"], keyindex.write_run(written, home, part["events"])])
+        state["max_seq"] = top
+    part["last_seq"] = state["max_seq"]
+    state["parts"].append(part)
+    state["names"].append(batch)
+    if len(state["names"]) > NAMES:
+        names = small_table(spark, [(_BATCH_KEY + n,) for n in state["names"]], "eventKey string")
+        state["keys"] = keyindex.merged(spark, home, [*state["keys"], keyindex.write_run(names, home, len(state["names"]))])
+        state["names"], state["folded"] = [], True
     return True
 
 
+def _is_written(spark: SparkSession, out_dir: str, state: dict, batch: str) -> bool:
+    if batch in state["names"] or not state["folded"]:
+        return batch in state["names"]
+    found = keyindex.known(small_table(spark, [(_BATCH_KEY + batch,)], "eventKey string"), f"{out_dir}/{state['generation']}", state["keys"])
+    return not found.isEmpty()
+
+
 def import_dataset(records: DataFrame, out_dir: str) -> Snapshot:
     """Replace the dataset: all records or none.  An input without records is an error."""
     spark = records.sparkSession
-    begun = _state(spark, out_dir)
-    state = {"generation": f"gen-{uuid.uuid4().hex}", "batches": [], "max_seq": 0}
-    if not _write_batch(records, out_dir, state, "batch-0", None):
+    begun, state = _state(spark, out_dir), _empty_state()
+    if not _write_batch(records, out_dir, state, "batch-0"):
         raise ValueError("the input holds no audit records")
     return _commit(spark, out_dir, state, begun)
 
@@ -122,15 +179,30 @@ def append_events(records: DataFrame, out_dir: str, batch: str | None = None) ->
     """Add a batch; known event keys only add observations.  A batch name makes retries harmless."""
     spark = records.sparkSession
     begun = _state(spark, out_dir)
-    state = json.loads(json.dumps(begun)) or {"generation": f"gen-{uuid.uuid4().hex}", "batches": [], "max_seq": 0}
+    state = json.loads(json.dumps(begun)) or _empty_state()
     batch = batch or f"batch-{uuid.uuid4().hex}"
-    if batch not in state["batches"]:
-        stored = open_dataset(spark, out_dir)[0] if state["batches"] else None
-        if _write_batch(records, out_dir, state, batch, stored):
-            return _commit(spark, out_dir, state, begun)
+    if not _is_written(spark, out_dir, state, batch) and _write_batch(records, out_dir, state, batch):
+        return _commit(spark, out_dir, state, begun)
     return Snapshot(state["generation"], state["max_seq"])
 
 
+def compact_dataset(spark: SparkSession, out_dir: str, small: int = SMALL_PART) -> int:
+    """Write the parts with fewer than ``small`` events as one; returns how many there were.  Numbers and rows stay."""
+    begun = _state(spark, out_dir)
+    if begun is None:
+        raise ValueError(f"no dataset at {out_dir}")
+    few = [p for p in begun["parts"] if p["events"] < small]
+    if len(few) < 2:
+        return 0
+    home, part = f"{out_dir}/{begun['generation']}", {"dir": f"p-{uuid.uuid4().hex}", "last_seq": max(p["last_seq"] for p in few)}
+    for table, dates in (("events", ["eventDate"]), ("observations", [])):
+        part[table] = sum(p[table] for p in few)
+        if part[table]:
+            _read_parts(spark, home, table, few).write.partitionBy(*dates).parquet(f"{home}/{table}/part={part['dir']}")
+    _commit(spark, out_dir, {**begun, "parts": [*[p for p in begun["parts"] if p not in few], part]}, begun)
+    return len(few)
+
+
 def open_dataset(spark: SparkSession, out_dir: str, snapshot: Snapshot | None = None) -> tuple[DataFrame, DataFrame]:
     """(events, observations) of the committed batches; a snapshot of a replaced generation is refused."""
     state = _state(spark, out_dir)
@@ -138,17 +210,15 @@ def open_dataset(spark: SparkSession, out_dir: str, snapshot: Snapshot | None =
         raise ValueError(f"no dataset at {out_dir}")
     if snapshot is not None and snapshot.generation != state["generation"]:
         raise ValueError("the dataset was replaced; start a new search")
-    home = f"{out_dir}/{state['generation']}"
-    read = lambda table, n: spark.read.option("basePath", f"{home}/{table}/{n}").parquet(f"{home}/{table}/{n}")
-    frames = []
-    for table in ("events", "observations"):
-        parts = [read(table, n) for n in state["batches"]]
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part, allowMissingColumns=True)
-        frames.append(whole)
-    events = snapshot.of(frames[0]) if snapshot is not None else frames[0]
-    return events, frames[1]
+    events, observations = (_read_parts(spark, f"{out_dir}/{state['generation']}", table, state["parts"]) for table in ("events", "observations"))
+    return (events if snapshot is None else snapshot.of(events)), observations.drop(_ROW)
+
+
+def committed_after(spark: SparkSession, out_dir: str, version: int, seq: int) -> tuple[DataFrame | None, dict]:
+    """Events of a committed version that were numbered after ``seq`` (None: none), and its state; older parts are not opened."""
+    state = json.loads(read_text(spark, f"{state_folder(out_dir)}/{version:012d}"))
+    parts = [p for p in state["parts"] if p["events"] and p["last_seq"] > seq]
+    return (_read_parts(spark, f"{out_dir}/{state['generation']}", "events", parts).filter(F.col("seq") > seq) if parts else None), state
 
 
 # --- evidence ---------------------------------------------------------------------

@@ -7,17 +7,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import checkpoint
 
 
+ROWS_PER_PARTITION = 1 << 20
+SMALL_PARTITION = 1 << 13
+
+
+def _partitions(spark, rows: int) -> int:
+    """As many as the rows need, and enough for all cores as long as they are worth a task."""
+    return max(1, -(-rows // ROWS_PER_PARTITION), min(spark.sparkContext.defaultParallelism, rows // SMALL_PARTITION))
+
+
 def number_rows(df: DataFrame, order: list[Column], name: str = "seq", offset: int = 0, partitions: int | None = None) -> DataFrame:
     """Add ``offset + row_number() over (order by ...)``.
 
-    Rows are range-partitioned and sorted; each task numbers its own rows and the
-    sizes of the earlier partitions are added by a join with one row per
-    partition.  The sorted rows are checkpointed, so sizes and numbers come from
-    one and the same partitioning.
+    Rows are range-partitioned and sorted; each task numbers its own rows and the sizes of the earlier partitions are
+    added by a join with one row per partition.  The rows are checkpointed before, so that they are counted and sampled
+    without being made again and the number of partitions follows their number, and after, so that sizes and numbers
+    come from one and the same partitioning.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        df = checkpoint(df)
+        partitions = _partitions(df.sparkSession, df.count())
     local = F.monotonically_increasing_id()  # partition number in the upper bits, row number in the lower 33
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order) \
+    ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order) \
         .withColumn("_part", F.shiftright(local, 33)).withColumn("_row", local.bitwiseAND((1 << 33) - 1))
     ranged = checkpoint(ranged)
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))  # one row per partition

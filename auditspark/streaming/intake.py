@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from ..functions.labels import content_key
 from ..operators.hunts import match_sequence
-from ..operators.maintain import append_events
+from ..operators.maintain import append_events, committed_after, state_folder
 from ..session import checkpoint
 from ..sources.pointer import read_text
 from ..sources.readers import open_envelopes
@@ -42,46 +44,114 @@ def batch_records(records: DataFrame, source: str) -> DataFrame:
         F.lit("live").alias("format"), F.lit(False).alias("lossy"), F.lit(None).cast("string").alias("error"))
 
 
+def _batch_name(source: str, stream: str, batch_id: int) -> str:
+    return f"live-{source}-{stream}-{batch_id}"
+
+
 def intake_batch(messages: DataFrame, batch_id: int, out_dir: str, rejects_dir: str, source: str = "live", stream: str = "") -> None:
     """Body of ``foreachBatch``: commit the records, set other messages aside; repeating it changes nothing.
 
     ``stream`` is the query's id: batches of another query, or of one whose progress was lost, have other names.
     """
-    opened = checkpoint(open_envelopes(messages))
-    name = f"live-{source}-{stream}-{batch_id}"
-    opened.filter("raw IS NULL").drop("raw").write.mode("overwrite").parquet(f"{rejects_dir}/{name}")
+    opened = checkpoint(messages if "raw" in messages.columns else open_envelopes(messages))
+    name = _batch_name(source, stream, batch_id)
+    opened.filter("raw IS NULL").select("value").write.mode("overwrite").parquet(f"{rejects_dir}/{name}")
     append_events(batch_records(opened.filter("raw IS NOT NULL"), source), out_dir, name)
 
 
 def reject_counts(spark, rejects_dir: str) -> DataFrame:
-    """(batch, rejects): how many messages of each batch were set aside."""
+    """(batch, rejects): how many messages of each batch were set aside, counted from the stored ones."""
     batch = F.regexp_extract(F.input_file_name(), "/([^/]+)/[^/]+$", 1)
     return spark.read.parquet(f"{rejects_dir}/*").groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("rejects"))
 
 
+class IntakeCounts(StreamingQueryListener):
+    """Messages and rejects of every batch, taken from the metrics that the batch observed while it ran.
+
+    ``counts`` maps (query id, batch) to (messages, rejects).  Register it with ``spark.streams.addListener``.
+    """
+
+    NAME = "intake"
+
+    def __init__(self) -> None:
+        self.counts: dict[tuple[str, int], tuple[int, int]] = {}
+        self.state_rows: dict[tuple[str, int], int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        seen = progress.observedMetrics.get(self.NAME)
+        if seen is not None and seen["messages"]:
+            self.counts[str(progress.id), progress.batchId] = (seen["messages"], seen["rejects"])
+        if progress.stateOperators:
+            self.state_rows[str(progress.id), progress.batchId] = sum(o.numRowsTotal for o in progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def _query_id(spark, checkpoint_dir: str) -> str:
     """Id of the query whose progress is kept in a folder."""
     return json.loads(read_text(spark, f"{checkpoint_dir}/metadata"))["id"]
 
 
-def start_intake(messages: DataFrame, out_dir: str, rejects_dir: str, checkpoint_dir: str, source: str = "live",
-                 **trigger: Any) -> StreamingQuery:
+def without_redelivered(opened: DataFrame, within: str, arrival: Column | None = None) -> DataFrame:
+    """Opened messages without those delivered again inside a span: keyed state, bounded by a watermark over the arrival.
+
+    A message that comes later than ``within`` behind the newest arrival is dropped as late, as its key is forgotten; so
+    the span has to cover the delays of the queue.  The key is the event key, for rejects the message text.
+    """
+    key = F.coalesce(content_key(F.get_json_object("raw", "$.recipientAccountId"), F.get_json_object("raw", "$.eventID"), F.col("raw")), F.sha2("value", 256))
+    keyed = opened.withColumns({"_arrival": F.current_timestamp() if arrival is None else arrival, "_key": key})
+    return keyed.withWatermark("_arrival", within).dropDuplicatesWithinWatermark(["_key"]).drop("_key", "_arrival")
+
+
+def start_intake(messages: DataFrame, out_dir: str, rejects_dir: str, checkpoint_dir: str, source: str = "live", within: str | None = None,
+                 arrival: Column | None = None, write_only: bool | None = None, **trigger: Any) -> StreamingQuery:
     """Run the intake of a streaming frame with a ``value`` column.
 
-    Progress is recorded after the dataset commit; a batch that is repeated after
-    a failure is recognised by its name.
+    Progress is recorded after the dataset commit; a batch that is repeated after a failure is recognised by its name.
+    ``within`` drops messages delivered again in that span before the batch looks its keys up (no observation is added
+    for them); ``write_only`` restricts the intake to a capture scope.  An ``IntakeCounts`` listener gets the counts.
     """
     def each(df: DataFrame, n: int) -> None:
         intake_batch(df, n, out_dir, rejects_dir, source, _query_id(df.sparkSession, checkpoint_dir))
 
-    writer = messages.writeStream.foreachBatch(each) \
-        .option("checkpointLocation", checkpoint_dir)
+    opened = open_envelopes(messages if write_only is None else capture_scope(messages, write_only))
+    opened = opened.observe(IntakeCounts.NAME, F.count(F.lit(1)).alias("messages"), F.count_if(F.col("raw").isNull()).alias("rejects"))
+    if within is not None:
+        opened = without_redelivered(opened, within, arrival)
+    writer = opened.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_dir)
     return writer.trigger(**trigger).start() if trigger else writer.start()
 
 
-def tail_stream(spark, events_dir: str, schema, matches: Column) -> DataFrame:
-    """New rows of a stored event table that match a filter, in append mode."""
-    return spark.readStream.schema(schema).parquet(events_dir).filter(matches)
+def follow_dataset(spark, out_dir: str, each: Callable[[DataFrame, int], None], checkpoint_dir: str, matches: Column | None = None,
+                   **trigger: Any) -> StreamingQuery:
+    """Give ``each`` the committed events that match, once per commit: (new events, version).
+
+    The stream reads the folder of commits, where a version appears in one step, so a batch that failed or is still
+    being written is never seen; events are told apart by their numbers, so neither is one given twice when parts are
+    compacted.  A replaced dataset starts from its first event.  The place reached is the stream's progress: after a
+    restart the commits go on where they stopped, and a batch cut off in between is given again.
+    """
+    def given(commits: DataFrame, _: int) -> None:
+        session = commits.sparkSession
+        states = sorted((json.loads(r["value"]) for r in commits.collect()), key=lambda s: s["version"])  # some commits, a line each
+        for state in states:
+            version = state["version"]
+            before = json.loads(read_text(session, f"{state_folder(out_dir)}/{version - 1:012d}")) if version > 1 else {"generation": None, "max_seq": 0}
+            reached = before["max_seq"] if before["generation"] == state["generation"] else 0
+            events, _state = committed_after(session, out_dir, version, reached)
+            if events is not None:
+                each(events if matches is None else events.filter(matches), version)
+
+    writer = spark.readStream.text(state_folder(out_dir)).writeStream.foreachBatch(given).option("checkpointLocation", checkpoint_dir)
+    return writer.trigger(**trigger).start() if trigger else writer.start()
 
 
 def affected_sequences(events: DataFrame, batch: DataFrame, steps: list, group: str = "principal", minutes: int = 60) -> DataFrame:

@@ -1,5 +1,6 @@
 import gzip
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from auditspark.operators import diff, investigate, maintain
 from auditspark.plans.numbering import number_rows
 from auditspark.session import small_table
 from auditspark.sources import readers, sinks
+from auditspark.sources.pointer import names_in
 from auditspark.streaming import intake
 from made_events import make_events
 
@@ -140,6 +142,60 @@ def test_a_second_writer_is_refused(spark, tmp_path):
     maintain.import_dataset(readers.read_records(spark, str(tmp_path / "a.json")), home)
     with pytest.raises(RuntimeError):
         maintain._commit(spark, home, {**begun, "max_seq": 9}, begun)
+    assert maintain._state(spark, home)["version"] == 2 and maintain.open_dataset(spark, home)[0].count() == 1
+
+
+def test_of_writers_at_the_same_time_one_succeeds(spark, tmp_path):
+    """All start from the same version and none looks again before it publishes."""
+    home = str(tmp_path / "data")
+    outcomes = []
+
+    def write(n):
+        try:
+            outcomes.append(maintain._commit(spark, home, {**maintain._empty_state(), "max_seq": n}, None).max_seq)
+        except RuntimeError:
+            outcomes.append(None)
+
+    writers = [threading.Thread(target=write, args=(n,)) for n in range(1, 9)]
+    [w.start() for w in writers], [w.join() for w in writers]
+    assert len(outcomes) == 8 and sum(o is not None for o in outcomes) == 1
+    assert maintain._state(spark, home)["max_seq"] == next(o for o in outcomes if o)
+    assert names_in(spark, maintain.state_folder(home)) == ["000000000001"]
+
+
+def lines_of(first, last):
+    return [('{"eventName":"N","eventID":"n%d","recipientAccountId":"9","eventTime":"2024-01-%02dT00:00:00Z"}' % (k, 1 + k % 28),) for k in range(first, last)]
+
+
+def as_records(spark, lines, source):
+    return intake.batch_records(small_table(spark, lines, "raw string"), source)
+
+
+def test_compaction_keeps_rows_and_numbers(spark, tmp_path, monkeypatch):
+    home = str(tmp_path / "data")
+    maintain.import_dataset(as_records(spark, lines_of(0, 40), "a"), home)
+    monkeypatch.setattr(maintain, "NAMES", 3)
+    for k in range(5):
+        maintain.append_events(as_records(spark, lines_of(30 + 5 * k, 45 + 5 * k), f"b{k}"), home, f"b{k}")
+    state = maintain._state(spark, home)
+    assert state["folded"] and len(state["names"]) < 4  # names moved into the key index, and are still known
+    again = maintain.append_events(as_records(spark, lines_of(30, 45), "b0"), home, "b0")
+    assert again.max_seq == 65 and maintain._state(spark, home)["version"] == state["version"]
+    before = [sorted(map(tuple, t.drop("observedAt").select(*sorted(set(t.columns) - {"observedAt"})).collect()), key=repr) for t in maintain.open_dataset(spark, home)]
+    assert len(before[0]) == 65 and len(before[1]) == 115
+    assert maintain.compact_dataset(spark, home) == 6 and maintain.compact_dataset(spark, home) == 0
+    events, observations = maintain.open_dataset(spark, home)
+    after = [sorted(map(tuple, t.select(*sorted(set(t.columns) - {"observedAt"})).collect()), key=repr) for t in (events, observations)]
+    assert after == before and sorted(r.seq for r in events.collect()) == list(range(1, 66))
+    assert len({f.rsplit("/part=", 1)[1].split("/")[0] for f in events.inputFiles()}) == 1
+    assert maintain.append_events(as_records(spark, lines_of(60, 70), "c"), home).max_seq == 70
+
+
+def test_copies_of_a_known_key_are_not_parsed_and_ties_give_one_event(spark):
+    text = '{"eventName":"N","eventID":"1","recipientAccountId":"9"}'
+    rows = maintain.observations_of(small_table(spark, [(text, text, "s", 1)] * 3 + [(text + " ", text + " ", "s", 2)], "raw string, original string, source string, ordinal bigint"))
+    assert [(r.seq, r.raw) for r in maintain.new_events(rows, None, 5).collect()] == [(6, text)]
+    assert maintain.new_events(rows, None, 5, rows.select("eventKey")).count() == 0
 
 
 @pytest.mark.parametrize("line", [f"{EXACT} {OTHER}", f"{EXACT} trailing", f"{EXACT},{OTHER}"])
