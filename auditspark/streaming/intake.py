@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable
 from typing import Any
 
@@ -68,7 +69,8 @@ def reject_counts(spark, rejects_dir: str) -> DataFrame:
 class IntakeCounts(StreamingQueryListener):
     """Messages and rejects of every batch, taken from the metrics that the batch observed while it ran.
 
-    ``counts`` maps (query id, batch) to (messages, rejects).  Register it with ``spark.streams.addListener``.
+    ``counts`` maps (query id, batch) to (messages, rejects), ``state_rows`` to the keys that the state held.  Register it
+    with ``spark.streams.addListener``; events come a little after the batch, so ``finished`` waits for the last one.
     """
 
     NAME = "intake"
@@ -76,6 +78,8 @@ class IntakeCounts(StreamingQueryListener):
     def __init__(self) -> None:
         self.counts: dict[tuple[str, int], tuple[int, int]] = {}
         self.state_rows: dict[tuple[str, int], int] = {}
+        self._ended: set[str] = set()
+        self._news = threading.Condition()
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -92,7 +96,16 @@ class IntakeCounts(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        with self._news:
+            self._ended.add(str(event.runId))
+            self._news.notify_all()
+
+    def finished(self, query: StreamingQuery, seconds: float = 60) -> IntakeCounts:
+        """Wait until the events of a stopped query are here."""
+        with self._news:
+            if not self._news.wait_for(lambda: str(query.runId) in self._ended, seconds):
+                raise TimeoutError("the listener got no end of the query")
+        return self
 
 
 def _query_id(spark, checkpoint_dir: str) -> str:

@@ -10,7 +10,7 @@ from ..model import Filter
 from ..operators import lineage, maintain
 from ..session import shared_folder
 from ..sources import readers, sinks
-from .common import ev, with_ev
+from .common import KEY_SQL, ev, with_ev
 from .lineage_suite import resolve_ctes
 
 QUERIES: dict = {}
@@ -100,12 +100,11 @@ def _imported(spark, sf) -> tuple[DataFrame, DataFrame, object]:
     return (*maintain.open_dataset(spark, home), snapshot)
 
 
-_KEY_SQL = """CASE WHEN recipientAccountId IS NOT NULL THEN 'event:["' || recipientAccountId || '","' || eventID || '"]' ELSE 'content:' || sha256(raw) END"""
 _LATER = "coalesce(awsRegion, '') = 'us-west-2'"
 
 
 @_register("imported_files", with_ev(f"""SELECT row_number() OVER (ORDER BY {_LATER}, eventTime NULLS LAST, key) AS seq, eventID, key AS eventKey, sha256(raw) AS evidenceHash
-FROM (SELECT *, {_KEY_SQL} AS key FROM ev)"""))
+FROM (SELECT *, {KEY_SQL} AS key FROM ev)"""))
 def imported_files(spark, sf):
     return _imported(spark, sf)[0].select("seq", "eventID", "eventKey", "evidenceHash")
 
