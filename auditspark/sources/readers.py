@@ -1,8 +1,8 @@
 """Audit exports to records: raw, original, source, ordinal, format, lossy, error.
 
-Line-oriented files are read as splittable text.  Other files are read whole per
-task (exports are many and small) and cut into exact text slices, so spellings
-like 1.10 or 1e400 survive.  A broken file yields a row with ``error``; the
+Line-oriented files are read as splittable text.  Other small files are read whole
+per task, large ones by ranges (``ranges``); both are cut into exact text slices, so
+spellings like 1.10 or 1e400 survive.  A broken file yields a row with ``error``; the
 import then publishes nothing.
 """
 
@@ -17,11 +17,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .ranges import pieces_of
+
 RECORD_SCHEMA = T.StructType([
     T.StructField("raw", T.StringType()), T.StructField("original", T.StringType()), T.StructField("source", T.StringType()),
     T.StructField("ordinal", T.LongType()), T.StructField("format", T.StringType()), T.StructField("lossy", T.BooleanType()),
     T.StructField("error", T.StringType()),
 ])
+#: Files up to this size are read whole.
+WHOLE_BYTES = 32 << 20
 EXTENSIONS = "*.{json,jsonl,ndjson,csv,gz}"
 
 # Accepted console CSV headers per record field.
@@ -187,10 +191,55 @@ def _split_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=names)
 
 
-def read_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Records of files, globs or folders (searched recursively) in any supported shape."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", EXTENSIONS).load(paths)
-    return files.select("path", "content").mapInPandas(_split_files, RECORD_SCHEMA)
+def _piece_records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records of pieces of large files; a value without its lists is read as if it were a file."""
+    for frame in frames:
+        rows = []
+        for source, start, place, kind, text in zip(*(frame[c] for c in ("source", "start", "place", "kind", "text"))):
+            at = start + place
+            try:
+                text = bytes(text).decode("utf-8")
+                if kind == "value":
+                    rows += [(raw, raw, source, at, form, False, None) for raw, form in json_records(text)]
+                elif kind == "row":
+                    rows += [(raw, original, source, at, "event-history-csv", True, None) for raw, original in csv_records(text)]
+                else:
+                    raw = text.strip(_BLANK)
+                    if _scan(raw, 0)[1] != len(raw):
+                        raise ValueError("text behind an element")
+                    form = "cloudtrail-json" if kind == "element" else "event-history-json"
+                    raw = raw if kind == "element" else _unwrap(raw)
+                    rows.append((raw, raw, source, at, form, False, None))
+            except (ValueError, RecursionError, csv.Error) as error:
+                rows.append((None, None, source, at, None, None, f"near byte {start}: {error}"))
+        yield pd.DataFrame(rows, columns=RECORD_SCHEMA.fieldNames())
+
+
+def _split_large(spark: SparkSession, paths: list[str], as_csv: bool) -> DataFrame:
+    pieces, errors = pieces_of(spark, paths, as_csv)
+    broken = {"source": F.col("source"), "ordinal": F.col("start"), "error": F.col("error")}
+    errors = errors.select(*[broken.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORD_SCHEMA])
+    return pieces.mapInPandas(_piece_records, RECORD_SCHEMA).unionByName(errors).withColumn("source", F.regexp_replace("source", "^file:///", "file:/"))
+
+
+def read_records(spark: SparkSession, paths: str | list[str], whole_bytes: int = WHOLE_BYTES, names: str = EXTENSIONS) -> DataFrame:
+    """Records of files, globs or folders (searched recursively for ``names``) in any supported shape.
+
+    Files up to ``whole_bytes`` and compressed ones are read whole by a task; larger ones are cut by ranges, where
+    ordinals keep the order of the records but have gaps.
+    """
+    listing = lambda found: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(found)
+    files = listing(paths)
+    out = files.filter(F.col("length") <= whole_bytes).select("path", "content").mapInPandas(_split_files, RECORD_SCHEMA)
+    large = [r["path"] for r in files.filter(F.col("length") > whole_bytes).select("path").collect()]  # names only, as Spark's own listing has them
+    zipped = [p for p in large if p.endswith(".gz")]
+    if zipped:
+        out = out.unionByName(listing(zipped).select("path", "content").mapInPandas(_split_files, RECORD_SCHEMA))
+    for as_csv in (True, False):
+        some = [p for p in large if p not in zipped and p.endswith(".csv") == as_csv]
+        if some:
+            out = out.unionByName(_split_large(spark, some, as_csv))
+    return out
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -26,15 +26,22 @@ def _register(name, oracle=None):
     return keep
 
 
+#: Records of a written list.
+LISTED = 50
+
+
 def _folder(spark) -> str:
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def _lists(spark, sf, before: str, after: str, item=None) -> str:
-    """Compressed files whose lines list some records each, in a folder below the one returned."""
+    """Compressed files whose lines list some records each, in a folder below the one returned.
+
+    A list has LISTED records at most, so the lists grow in number with the table and not in length.
+    """
     path = _folder(spark)
     texts = F.sort_array(F.collect_list(F.struct("seq", (F.col("raw") if item is None else item).alias("t"))))
-    lines = ev(spark, sf).groupBy((F.col("eventNo") % 50).alias("g"), (F.col("userNo") % 10).alias("h")).agg(
+    lines = ev(spark, sf).groupBy(F.floor(F.col("seq") / LISTED).alias("g")).agg(
         F.concat(F.lit(before), F.array_join(F.transform(texts, lambda x: x["t"]), ",\n "), F.lit(after)).alias("value"))
     lines.select("value").write.option("compression", "gzip").text(f"{path}/deep/er")
     return path
@@ -54,6 +61,21 @@ def read_record_lists(spark, sf):
     return _found(readers.read_records(spark, _lists(spark, sf, '{"note":{"Records":[1]},"Records":[', "]}")))
 
 
+def _large(spark, sf) -> str:
+    """Plain files of many top-level values, each with a list of records."""
+    path = _folder(spark)
+    texts = F.sort_array(F.collect_list(F.struct("seq", F.col("raw").alias("t"))))
+    lists = ev(spark, sf).groupBy(F.floor(F.col("seq") / LISTED).alias("g")).agg(F.array_join(F.transform(texts, lambda x: x["t"]), ",\n ").alias("t"))
+    lists.select(F.concat(F.lit('{"note":{"Records":[1]},"Records":['), "t", F.lit('],"end":"}"}'))).write.text(path)
+    return path
+
+
+@_register("read_large_lists", _found_sql("cloudtrail-json"))
+def read_large_lists(spark, sf):
+    """Files cut by ranges, as every file over a kilobyte is here."""
+    return _found(readers.read_records(spark, _large(spark, sf), whole_bytes=1 << 10, names="*.txt"))
+
+
 @_register("read_history_lists", _found_sql("event-history-json"))
 def read_history_lists(spark, sf):
     quoted = F.to_json(F.array("raw"))
