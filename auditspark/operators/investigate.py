@@ -19,7 +19,6 @@ RELATIONS = {
     "request": ("request",), "resources": ("resource",),
     "related": ("shared", "credential", "principal", "ip", "request", "resource"),
 }
-_TICKS = 64  # ticks per half window
 
 
 def with_context_columns(events: DataFrame) -> DataFrame:
@@ -50,30 +49,25 @@ def link_keys(events: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
         "seq", "eventMs", F.inline_outer(F.concat(*[made[k]() for k in kinds]))).filter(F.coalesce("key", F.lit("")) != "")
 
 
-def _check(minutes: int, relation: str) -> tuple[int, tuple[str, ...], int]:
+def _check(minutes: int, relation: str) -> tuple[int, tuple[str, ...]]:
     if not 1 <= minutes <= 60:
         raise ValueError(f"context reaches from 1 to 60 minutes, not {minutes}")
     if relation not in RELATIONS:
         raise ValueError(f"unknown relation {relation!r}")
-    delta = minutes * 60_000
-    return delta, RELATIONS[relation], delta // _TICKS
+    return minutes * 60_000, RELATIONS[relation]
 
 
-def _linked(events: DataFrame, anchors: DataFrame, kinds: tuple[str, ...], tick: int) -> tuple[DataFrame, DataFrame]:
-    """(anchor keys, event keys with tick) for the wanted kinds.
+def _linked(events: DataFrame, anchors: DataFrame, kinds: tuple[str, ...], delta: int) -> tuple[DataFrame, DataFrame]:
+    """(anchor keys, event keys) for the wanted kinds; of the events only those whose tick an anchor's window touches.
 
-    Keys are read several times; where they need the record text they are
-    checkpointed (narrow rows), so that the text is parsed once.
+    A tick is as long as half a window, so an anchor asks for three ticks of each of its keys.  The distinct ticks are
+    a filter on the scan: whatever lies outside every window is neither stored nor sorted.
     """
     keyed = link_keys(with_context_columns(events), kinds)
-    if set(kinds) & {"shared", "request", "resource"}:
-        keyed = checkpoint(keyed)
-    probes = keyed.join(anchors.select("seq").distinct(), "seq", "left_semi") \
-        .select(F.col("seq").alias("anchor"), F.col("eventMs").alias("anchorMs"), "kind", "key")
-    # Only keys of some anchor matter; the key list is deduplicated before it is joined.
-    linked = keyed.withColumn("tick", F.floor(F.col("eventMs") / tick)) \
-        .join(probes.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
-    return probes, linked
+    probes = checkpoint(keyed.join(anchors.select("seq").distinct(), "seq", "left_semi").select(F.col("seq").alias("anchor"), F.col("eventMs").alias("anchorMs"), "kind", "key"))
+    tick = F.floor(F.col("anchorMs") / delta)
+    asked = probes.select("kind", "key", F.explode(F.sequence(tick - 1, tick + 1)).alias("tick")).distinct()
+    return probes, checkpoint(keyed.withColumn("tick", F.floor(F.col("eventMs") / delta)).join(asked, ["kind", "key", "tick"], "left_semi").drop("tick"))
 
 
 def _selves(events: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -82,11 +76,6 @@ def _selves(events: DataFrame, anchors: DataFrame) -> DataFrame:
         .select(F.col("seq").alias("anchor"), F.col("eventMs").alias("anchorMs"))
 
 
-def _rings(anchor_keys: DataFrame, low: Column, high: Column, tick: int) -> DataFrame:
-    """Anchors repeated for every tick between two tick numbers (at most 2 * _TICKS + 3)."""
-    return anchor_keys.withColumn("tick", F.explode(F.sequence(low, high)))
-
-
 def near_pairs(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation: str = "all",
                cap: int = CONTEXT_LIMIT) -> DataFrame:
     """(anchor, seq, eventMs, deltaMs, rank): the ``cap`` closest linked events of every anchor, exactly.
@@ -96,18 +85,13 @@ def near_pairs(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation
     hold everything that can be among the closest on that side.  So an anchor meets at most 2 * ``cap`` events per
     key, however many share its window or millisecond, and the join runs on blocks of numbers, which are all one size.
     """
-    delta, kinds, _ = _check(minutes, relation)
-    keyed = link_keys(with_context_columns(events), kinds)
-    wanted = anchors.select("seq").distinct()
-    probes = keyed.join(wanted, "seq", "left_semi")
-    if kinds != ("time",):  # only keys of some anchor matter; every event has the time key
-        keyed = keyed.join(probes.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
-    keyed = checkpoint(keyed)
-    probes = keyed.join(wanted, "seq", "left_semi").select(F.col("seq").alias("anchor"), "kind", "key", F.col("eventMs").alias("anchorMs"))
+    delta, kinds = _check(minutes, relation)
+    probes, keyed = _linked(events, anchors, kinds, delta)
+    count = keyed.count()
 
     def one_side(forwards: bool) -> DataFrame:
         ms = F.col("eventMs").asc() if forwards else F.col("eventMs").desc()
-        rows = number_rows(keyed, [F.col("kind"), F.col("key"), ms, F.col("seq")], "_n")
+        rows = number_rows(keyed, [F.col("kind"), F.col("key"), ms, F.col("seq")], "_n", rows=count)
         moments = rows.groupBy("kind", "key", F.col("eventMs").alias("anchorMs")).agg(
             (F.min("_n") if forwards else F.max("_n") + 1).alias("_from"))
         asked = probes.join(moments, ["kind", "key", "anchorMs"]).withColumn("_block", F.explode(F.array_distinct(F.array(
@@ -127,38 +111,48 @@ def near_pairs(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation
 def context_totals(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation: str = "all") -> DataFrame:
     """Number of linked events per anchor (the anchor included) before the closest are chosen.
 
-    A relation with one key per event is counted per tick; only the two ticks at
-    the window's edges are joined row by row.  Where an event can be linked by
-    several keys, distinct events are counted.
+    Events are never paired with anchors.  Events that carry the same keys, of those that any anchor has, form one list;
+    an anchor is paired with every list that shares a key with it, so an event linked by several keys counts once.  In
+    the order (list, time) the events of a window are the difference of two positions: the window's ends are sorted in
+    among the events, and an end's number among all rows less its number among the ends is its position.
     """
-    delta, kinds, tick = _check(minutes, relation)
-    probes, linked = _linked(events, anchors, kinds, tick)
-    low, high = F.floor((F.col("anchorMs") - delta) / tick), F.floor((F.col("anchorMs") + delta) / tick)
-    inside = F.abs(F.col("eventMs") - F.col("anchorMs")) <= delta
-    alone = _selves(events, anchors).select("anchor")
-    if len(kinds) == 1 and kinds[0] != "resource":
-        counts = linked.groupBy("kind", "key", "tick").agg(F.count(F.lit(1)).alias("n"))
-        full = _rings(probes, low + 1, high - 1, tick).join(counts, ["kind", "key", "tick"]).select("anchor", "n")
-        edges = probes.withColumn("tick", F.explode(F.array(low, high))).join(linked, ["kind", "key", "tick"]) \
-            .filter(inside).select("anchor", F.lit(1).cast("long").alias("n"))
-        total = full.unionByName(edges).groupBy("anchor").agg(F.sum("n").alias("total"))
+    delta, kinds = _check(minutes, relation)
+    probes, keyed = _linked(events, anchors, kinds, delta)
+    if len(kinds) == 1 and kinds[0] != "resource":  # one key per event: the key is the list
+        name = F.concat_ws("\x1f", "kind", "key").alias("list")
+        listed, asked = keyed.select(name, "eventMs"), probes.select("anchor", "anchorMs", name)
     else:
-        pairs = _rings(probes, low, high, tick).join(linked, ["kind", "key", "tick"]).filter(inside).select("anchor", "seq")
-        selves = alone.select("anchor", F.col("anchor").alias("seq"))
-        total = pairs.unionByName(selves).groupBy("anchor").agg(F.count_distinct("seq").alias("total"))
-    return alone.join(total, "anchor", "left").select("anchor", F.coalesce("total", F.lit(1)).alias("total"))
+        keys = F.sort_array(F.collect_set(F.struct("kind", "key")))
+        sets = checkpoint(keyed.groupBy("seq", "eventMs").agg(keys.alias("keys")).withColumn("list", F.sha2(F.to_json("keys"), 256)))
+        lists = sets.select("list", "keys").dropDuplicates(["list"]).select("list", F.inline("keys"))
+        listed, asked = sets.select("list", "eventMs"), probes.join(lists, ["kind", "key"]).select("anchor", "anchorMs", "list").distinct()
+    listed = checkpoint(listed)
+    ends = checkpoint(asked.select("anchor", "list", F.inline(F.array(
+        F.struct((F.col("anchorMs") - delta).alias("ms"), F.lit(-1).alias("side")), F.struct((F.col("anchorMs") + delta).alias("ms"), F.lit(1).alias("side"))))))
+    order = [F.col(c) for c in ("list", "ms", "side", "anchor")]
+    none = F.lit(None).cast(anchors.schema["seq"].dataType)
+    merged = listed.select(none.alias("anchor"), "list", F.col("eventMs").alias("ms"), F.lit(0).alias("side")).unionByName(ends)
+    n_ends = ends.count()
+    among_all = number_rows(merged, order, "n", rows=listed.count() + n_ends).filter("side <> 0")
+    among_ends = number_rows(ends, order, "m", rows=n_ends)
+    position = among_all.select("anchor", (F.col("side") * F.col("n")).alias("n")).unionByName(among_ends.select("anchor", (-F.col("side") * F.col("m")).alias("n")))
+    total = position.groupBy("anchor").agg(F.sum("n").alias("total"))
+    return _selves(events, anchors).select("anchor").join(total, "anchor", "left").select("anchor", F.coalesce("total", F.lit(1)).alias("total"))
 
 
 def surrounding(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation: str = "all",
-                cap: int = CONTEXT_LIMIT) -> DataFrame:
+                cap: int = CONTEXT_LIMIT, totals: bool = False) -> DataFrame:
     """Closest linked events of every anchor with the reasons they are linked.
 
     ``reasons`` is array<struct<kind, value>>: 'anchor', or the recorded links in
     fixed order, or 'time' when nothing but proximity holds; ``truncated`` tells
-    that the window holds more than ``cap``.
+    that the window holds more than ``cap``, and with ``totals`` a row has the number of
+    linked events in ``total``.
     """
     pairs = checkpoint(near_pairs(events, anchors, minutes, relation, cap + 1))  # one row more per anchor shows that there are more
     more = pairs.groupBy("anchor").agg((F.max("rank") > cap).alias("truncated"))
+    if totals:
+        more = more.join(context_totals(events, anchors, minutes, relation), "anchor")
     pairs = pairs.filter(F.col("rank") <= cap)
     compared = ("accessKeyId", "identityArn", "sourceIPAddress", "sharedID", "requestID", "eventSource", "eventName",
                 "recipientAccountId", "awsRegion", "arns")
@@ -189,7 +183,7 @@ def surrounding(events: DataFrame, anchors: DataFrame, minutes: int = 5, relatio
         when(literal_ip & same("sourceIPAddress"), "ip", F.col("a_sourceIPAddress")))
     reasons = F.when(F.col("seq") == F.col("anchor"), reason("anchor", F.lit(""))) \
         .when(F.size(found) == 0, reason("time", F.lit(""))).otherwise(found)
-    return rows.withColumn("reasons", reasons).select("anchor", "seq", "eventMs", "deltaMs", "rank", "reasons", "truncated")
+    return rows.withColumn("reasons", reasons).select("anchor", "seq", "eventMs", "deltaMs", "rank", "reasons", "truncated", *(["total"] if totals else []))
 
 
 def anchor_resources(events: DataFrame, anchors: DataFrame, limit: int = RESOURCE_LIMIT) -> DataFrame:

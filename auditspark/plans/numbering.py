@@ -16,17 +16,19 @@ def _partitions(spark, rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_PARTITION), min(spark.sparkContext.defaultParallelism, rows // SMALL_PARTITION))
 
 
-def number_rows(df: DataFrame, order: list[Column], name: str = "seq", offset: int = 0, partitions: int | None = None) -> DataFrame:
+def number_rows(df: DataFrame, order: list[Column], name: str = "seq", offset: int = 0, partitions: int | None = None,
+                rows: int | None = None) -> DataFrame:
     """Add ``offset + row_number() over (order by ...)``.
 
     Rows are range-partitioned and sorted; each task numbers its own rows and the sizes of the earlier partitions are
     added by a join with one row per partition.  The rows are checkpointed before, so that they are counted and sampled
     without being made again and the number of partitions follows their number, and after, so that sizes and numbers
-    come from one and the same partitioning.
+    come from one and the same partitioning.  A caller who has stored ``df`` and knows its number of ``rows`` says so.
     """
-    if partitions is None:
+    if partitions is None and rows is None:
         df = checkpoint(df)
-        partitions = _partitions(df.sparkSession, df.count())
+        rows = df.count()
+    partitions = partitions or _partitions(df.sparkSession, rows)
     local = F.monotonically_increasing_id()  # partition number in the upper bits, row number in the lower 33
     ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order) \
         .withColumn("_part", F.shiftright(local, 33)).withColumn("_row", local.bitwiseAND((1 << 33) - 1))

@@ -102,6 +102,33 @@ _totals("context_totals_all", 60, "all")
 _totals("context_totals_related", 60, "related")
 
 
+# A clock of hours: a window holds a large part of all events, and many share its milliseconds.
+_DENSE_HOUR = 3_600_000
+
+
+def _dense_totals(name, relation):
+    sql = with_ev(f"SELECT anchor, count(*) AS total FROM pairs WHERE seq = anchor OR ({_WHERE[relation]}) GROUP BY 1", _DENSE_HOUR, _CTX.replace("{d}", "3600000"))
+
+    @_register(name, sql)
+    def run(spark, sf):
+        events = ev(spark, sf, _DENSE_HOUR)
+        return investigate.context_totals(events, _anchors(events), 60, relation)
+    return run
+
+
+_dense_totals("context_totals_dense_all", "all")
+_dense_totals("context_totals_dense_related", "related")
+_dense_totals("context_totals_dense_resources", "resources")
+
+
+@_register("context_shown_of_total", with_ev(f"""SELECT anchor, seq, rank, total FROM (SELECT anchor, seq, count(*) OVER (PARTITION BY anchor) AS total,
+  row_number() OVER (PARTITION BY anchor ORDER BY seq = anchor DESC, abs(deltaMs), eventMs, seq) AS rank
+FROM pairs WHERE seq = anchor OR ({_WHERE["related"]})) WHERE rank <= 4""", ctes=_CTX.replace("{d}", "1800000")))
+def context_shown_of_total(spark, sf):
+    events = ev(spark, sf)
+    return investigate.surrounding(events, _anchors(events), 30, "related", 4, totals=True).select("anchor", "seq", "rank", "total")
+
+
 @_register("anchor_resources", with_ev(f"""SELECT * FROM (SELECT seq, arn, kind, source, row_number() OVER (PARTITION BY seq ORDER BY arn, source) AS rank,
   count(*) OVER (PARTITION BY seq) > 100 AS truncated FROM (SELECT DISTINCT refs.seq, arn, kind, source FROM refs JOIN ev ON ev.seq = refs.seq WHERE eventName IN ('PutObject', 'GetSecretValue'))) WHERE rank <= 100""", ctes=_REFS))
 def anchor_resources(spark, sf):
