@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE_BYTES, bounded_batches, pieces, stored, summed
+from .common import SLICE_BYTES, bounded_batches, least_common, pieces, stored, summed
 
 #: A pair of ids is one number: the A id above, the B id in the lower BITS.
 BITS = 20
@@ -265,17 +265,6 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return aligned.select(F.explode("alignment.pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("documents"))
 
 
-def least_common(counts: DataFrame, frequent: int) -> int:
-    """The least power of two that at most ``frequent`` pairs reach."""
-    by_size = {r["k"]: r["n"] for r in counts.groupBy(F.floor(F.log2("documents")).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()}
-    held = 0
-    for k in range(max(by_size, default=-1), -1, -1):
-        held += by_size.get(k, 0)
-        if held > frequent:
-            return 2 << k
-    return 1
-
-
 def counted(aligned: DataFrame, a: str, b: str, frequent: int = FREQUENT) -> DataFrame:
     """``aligned`` (a stored table, as it is read more than once) with ``n_best`` and ``count_sum``.
 
@@ -289,7 +278,7 @@ def counted(aligned: DataFrame, a: str, b: str, frequent: int = FREQUENT) -> Dat
     best = same.copy()
     for r in counts.groupBy(F.shiftright("pair", BITS).alias("id")).agg(F.max("documents").alias("most")).collect():  # a row per A id at most
         best[r["id"]] = max(best[r["id"]], r["most"])
-    least = least_common(counts, frequent)
+    least = least_common(counts, "documents", frequent)
     table = counts.filter(F.col("documents") >= least).toArrow()
     pairs, documents = table.column("pair").to_numpy(), table.column("documents").to_numpy()
     order = np.argsort(pairs)
@@ -301,7 +290,7 @@ def counted(aligned: DataFrame, a: str, b: str, frequent: int = FREQUENT) -> Dat
             yield _looked_up(column, *held.value)
 
     kept = [c for c in aligned.columns if c.lower() not in ("n_best", "count_sum")]
-    if least == 1:
+    if least <= 1:
         found = aligned.select(*kept, run(F.col("alignment")).alias("_found"))
         return found.select(*kept, "_found.n_best", "_found.count_sum")
     # pairs under ``least`` documents: none is common, so the join has no heavy key

@@ -105,6 +105,17 @@ def _sum_piece(pdf):
     return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "values": [total.tobytes()]})
 
 
+def least_common(counts: DataFrame, count: str, most: int) -> int:
+    """The least power of two that at most ``most`` rows reach (1: all do); no sort, no ranking in one task."""
+    by_size = counts.groupBy(F.floor(F.log2(count)).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()  # a row per power
+    held = 0
+    for r in sorted(by_size, key=lambda r: -r["k"]):
+        held += r["n"]
+        if held > most:
+            return 2 << r["k"]
+    return 1
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()).fill_null("")
 

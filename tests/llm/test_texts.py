@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -200,9 +201,33 @@ def test_token_counts_match_the_library(spark, odd_docs, no_docs):
     got = docs.select("text", tokens.token_counts(docs, path, cache=50).alias("n")).collect()
     assert len(got) == docs.count()
     assert all(r.n == len(library.encode(r.text or "", add_special_tokens=False).ids) for r in got)
+    assert all(r.n == len(library.encode(r.text or "", add_special_tokens=False).ids) for r in docs.select("text", tokens.token_counts(docs, path, frequent=3).alias("n")).collect())
     assert no_docs.select(tokens.token_counts(no_docs, path)).count() == 0
 
 
+def test_token_lengths_of_cut_pre_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    library = Tokenizer.from_file(path)
+    rng, lengths = random.Random(6), tokens.Lengths(path, {}, 100)
+    letters = ["a", "B", "the", "'s", "'S", "'re", "'ll", "'", "1", "23", ".", ",", "...", "-", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "é", "İ", "\x1c", "\x7f", "\x00", "_", "\u0301", "J\u030c"]
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(20)) for _ in range(10)]
+        assert lengths.counts([t.encode() for t in texts]) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert lengths.special and tokens.Lengths(str(public_tokenizers.path("byte_bpe_50k.json")), {}, 1).special is None
+
+
+def test_frequent_pre_tokens_are_counted_over_all_texts(spark, monkeypatch):
+    import public_tokenizers
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(" ".join(["the"] * 50 + ["cat"] * 20 + [f"w{k}x{j}" for j in range(30)] + ["y" * 80] * 60),) for k in range(40)]
+    docs = spark.createDataFrame(rows, "text string").repartition(4)
+    monkeypatch.setattr(tokens, "SKETCH", 300)
+    assert set(tokens.frequent_lengths(docs, path, frequent=2)) == {b"the", b"cat"}
+    assert set(tokens.frequent_lengths(docs.limit(0), path)) == set()
+
+
 def test_language_held_out(spark, odd_docs, no_docs):
     sf = "/root/testdata/sf0.01"
     got = queries.op6_language(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
