@@ -1,79 +1,71 @@
-"""Exact comparison of JSON numbers with a decimal constant.
+"""Exact comparison of JSON numbers with a decimal constant, in DataFrame functions only.
 
-Numbers that fit DECIMAL(38, 18) are compared inside the JVM on the VARIANT
-value.  Anything wider (exponents, long digits) and records with duplicate
-members go to one Arrow-batched function working on the source text.
+Spark's JSON functions read an exponent as a double and refuse very long numbers.  Where that would matter the number is
+taken from a copy of the record in which every number outside strings is quoted, so that its spelling survives; most
+records never need the copy.  A number is compared by sign, place of its first digit, and digits, whatever its length.
+
+Undecided, and listed by ``number_doubt``, are records with a member given twice and texts that are no JSON value.
 """
 
 from __future__ import annotations
 
-import json
 import operator
 import re
-from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .records import variant, variant_type
 
 NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-_NARROW = r"\A-?(?:0|[1-9][0-9]{0,18})(?:\.[0-9]{1,18})?\z"
 _OPS = {"eq": operator.eq, "gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
-MAX_CHARS, MAX_EXPONENT, MAX_LEVELS, MAX_NODES, MAX_RECORD = 4096, 4096, 64, 50_000, 8_000_000
-
-
-def parse_exact(text: str) -> Decimal | None:
-    """Exact value; None when the text is no JSON number; ValueError beyond the bounds."""
-    if len(text) > MAX_CHARS:
-        raise ValueError(f"a number of {len(text)} characters")
-    if not re.fullmatch(NUMBER, text):
-        return None
-    exponent = re.search(r"[eE]([+-]?[0-9]+)$", text)
-    if exponent and abs(int(exponent.group(1))) > MAX_EXPONENT:
-        raise ValueError("a power of ten beyond 4096")
-    return Decimal(text)
-
-
-class _Token(str):
-    """Number token kept as source text."""
-
-
-def _members(pairs):
-    found = dict(pairs)
-    if len(found) != len(pairs):
-        raise ValueError("a member is given twice, so its number is not certain")
-    return found
-
-
-def _check_bounds(root):
-    stack, nodes = [(root, 0)], 0
-    while stack:
-        value, level = stack.pop()
-        nodes += 1
-        if level > MAX_LEVELS or nodes > MAX_NODES:
-            raise ValueError("a record too deep or too large to look for numbers")
-        children = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
-        stack.extend((child, level + 1) for child in children)
-
-
-def _at(value, path, in_resources):
-    if not path:
-        return [value]
-    if isinstance(value, list) and in_resources:
-        return [hit for item in value for hit in _at(item, path, False)]
-    return _at(value[path[0]], path[1:], in_resources) if isinstance(value, dict) and path[0] in value else []
-
-
-def match_text(raw: str, field: str, literal: str, op: str) -> bool:
-    """Whether any number (or numeric string) at ``field`` satisfies the comparison."""
-    if len(raw.encode("utf-8")) > MAX_RECORD:
-        raise ValueError("a record too large to look for numbers")
-    root = json.loads(raw, parse_int=_Token, parse_float=_Token, object_pairs_hook=_members)
-    _check_bounds(root)
-    limit, test = parse_exact(literal), _OPS[op]
-    numbers = (parse_exact(v) for v in _at(root, field.split("."), field.startswith("resources.")) if isinstance(v, str))
-    return any(n is not None and test(n, limit) for n in numbers)
+#: Powers of ten beyond this are compared as if they were this, and not accepted in a constant.
+FAR = 1 << 60
+#: Stands before a number in the copy, so that it is told from a string.
+_MARK = "#"
+
+
+def _spelled(text: str) -> tuple[int, int, str]:
+    """(sign, place, digits) of a number: its value is sign * 0.digits * 10**place."""
+    match = re.fullmatch(r"(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?", text)
+    whole, fraction, power = match.group(2), match.group(3) or "", match.group(4) or "0"
+    if len(power) > 18 or abs(int(power)) >= FAR:
+        raise ValueError("a power of ten too large to compare with")
+    led = (whole + fraction).lstrip("0")
+    digits = led.rstrip("0")
+    sign = 0 if not digits else -1 if match.group(1) else 1
+    return sign, len(whole) + int(power) - (len(whole + fraction) - len(led)), digits
+
+
+def _holds(text: Column, op: str, literal: str) -> Column:
+    """Whether a text is a JSON number and ``number op literal``."""
+    sign, place, digits = _spelled(literal)
+    group = lambda pattern: F.regexp_extract(text, pattern, 1)
+    whole, power = group(r"^-?([0-9]+)"), group(r"[eE]([+-]?[0-9]+)$")
+    every = F.concat(whole, group(r"\.([0-9]+)"))
+    led = F.ltrim(every, F.lit("0"))
+    own_digits = F.rtrim(led, F.lit("0"))
+    far = F.when(power.startswith("-"), -FAR).otherwise(FAR)
+    exponent = F.when(power == "", 0).otherwise(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.coalesce(power.try_cast("bigint"), far))))
+    own_place = F.length(whole) + exponent - (F.length(every) - F.length(led))
+    own_sign = F.when(own_digits == "", 0).when(text.startswith("-"), -1).otherwise(1)
+    below = (own_place < place) | ((own_place == place) & (own_digits < digits))
+    equal = (own_place == place) & (own_digits == digits)
+    # -1, 0 or 1: how the text's number lies to the constant
+    size = F.when(equal, 0).when(below, -sign).otherwise(sign)
+    lies = F.when(own_sign < sign, -1).when(own_sign > sign, 1).otherwise(size if sign else F.lit(0))
+    return F.coalesce(text.rlike(r"\A" + NUMBER + r"\z") & _OPS[op](lies, F.lit(0)), F.lit(False))
+
+
+def quoted_numbers(raw: Column) -> Column:
+    """A copy of a JSON text in which numbers are marked strings.
+
+    Escaped quotes and backslashes are blanked, so that every second piece between quotes lies outside strings.  A string
+    that begins with the mark gets another one.
+    """
+    pieces = F.split(F.regexp_replace(raw, r'\\["\\]', "__"), '"')
+    number = F.lit(r"(-?[0-9][-+.0-9eE]*)")
+    return F.array_join(F.transform(pieces, lambda p, k: F.when(k % 2 == 0, F.regexp_replace(p, number, F.lit(f'"{_MARK}$1"')))
+                                    .otherwise(F.regexp_replace(p, F.lit(f"^{_MARK}"), F.lit(_MARK * 2)))), '"')
 
 
 def json_path(parts: list[str]) -> str:
@@ -86,73 +78,44 @@ def json_path(parts: list[str]) -> str:
     return "$" + "".join(quoted)
 
 
-def _match_or_none(text: str | None, field: str, literal: str, op: str) -> bool | None:
-    try:
-        return None if text is None else match_text(text, field, literal, op)
-    except ValueError:
-        return None  # named by ``number_doubt``
-
-
-def _slow_match(field: str, literal: str, op: str):
-    @F.pandas_udf("boolean")
-    def match(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda text: _match_or_none(text, field, literal, op))
-    return match
-
-
-def _doubt(text: str | None) -> str | None:
-    try:
-        if text is not None:
-            if len(text.encode("utf-8")) > MAX_RECORD:
-                raise ValueError("a record too large to look for numbers")
-            _check_bounds(json.loads(text, parse_int=_Token, parse_float=_Token, object_pairs_hook=_members))
-    except ValueError as error:
-        return str(error).splitlines()[0]
-    return None
-
-
 def number_doubt(raw: str = "raw") -> Column:
-    """Why numbers of a record are not compared (they match nothing then), NULL for the other records.
-
-    Only records that Spark's parser refuses or that are long are looked at in Python.
-    """
-    @F.pandas_udf("string")
-    def doubt(texts: pd.Series) -> pd.Series:
-        return texts.map(_doubt)
-
-    return doubt(F.when(variant(raw).isNull() | (F.octet_length(raw) > 2 * MAX_NODES), F.col(raw)))
+    """Why the numbers of a record are not compared (they match nothing then), NULL for the other records."""
+    unread = variant(raw).isNull() & F.try_parse_json(quoted_numbers(F.col(raw))).isNull()
+    twice = F.json_array_length(F.concat(F.lit("["), quoted_numbers(F.col(raw)), F.lit("]"))) == 1
+    return F.when(F.col(raw).isNotNull() & unread, F.when(twice, "a member is given twice, so its number is not certain").otherwise("the text is no JSON value"))
 
 
 def number_matches(field: str, op: str, literal: str, raw: str = "raw", parsed: Column | None = None) -> Column:
     """Boolean column for ``field op literal``; ``resources.x`` means any element.  Records in doubt match nothing.
 
-    ``parsed`` is the record as a variant, where a caller has parsed it for several predicates.
+    Numbers and strings that spell one are compared.  ``parsed`` is the record as a variant, where a caller has parsed it
+    for several predicates.
     """
-    limit = parse_exact(literal)
-    if limit is None:
+    if not re.fullmatch(NUMBER, literal):
         raise ValueError(f"numeric comparison needs a finite decimal, got {literal!r}")
     if op not in _OPS:
         raise ValueError(f"unknown numeric comparison {op!r}")
+    if '"' in field or "\\" in field:
+        raise ValueError(f"numbers are not compared under a name with quotes or backslashes: {field!r}")
     v, parts = variant(raw) if parsed is None else parsed, field.split(".")
-    slow = _slow_match(field, literal, op)
-    if not re.fullmatch(_NARROW[2:-2], literal):
-        return F.coalesce(slow(F.col(raw)), F.lit(False))
-    bound = F.lit(Decimal(literal)).cast("decimal(38,18)")
-
-    def state(value: Column, path: str) -> Column:
-        """1 match, 0 no match, 2 needs the source text."""
-        text = F.try_variant_get(value, path, "string")
-        hit = F.coalesce(_OPS[op](text.try_cast("decimal(38,18)"), bound), F.lit(False))
-        return F.when(variant_type(value, path) == "DOUBLE", 2).when(text.rlike(_NARROW), F.when(hit, 1).otherwise(0)) \
-            .when(text.rlike(r"\A" + NUMBER + r"\z"), 2).otherwise(0)
-
-    if parts[0] == "resources" and len(parts) > 1:
-        items = F.try_variant_get(v, "$.resources", "array<variant>")
-        states = F.coalesce(F.transform(items, lambda x: state(x, json_path(parts[1:]))), F.array(F.lit(0)))
-        single = F.when(F.array_contains(states, 1), 1).when(F.array_contains(states, 2), 2).otherwise(0)
-        # one container object instead of a list
-        decided = F.when(items.isNull(), state(v, json_path(parts))).otherwise(single)
-    else:
-        decided = state(v, json_path(parts))
-    decided = F.when(v.isNull() & F.col(raw).isNotNull(), 2).otherwise(decided)
-    return F.when(decided == 1, True).otherwise(F.coalesce(slow(F.when(decided == 2, F.col(raw))), F.lit(False)))
+    copy = F.try_parse_json(quoted_numbers(F.col(raw)))
+    in_copy = lambda names: json_path([_MARK + n if n.startswith(_MARK) else n for n in names])
+
+    def one(value: Column, path: str) -> Column:
+        return _holds(F.try_variant_get(value, path, "string"), op, literal)
+
+    def marked(value: Column, path: str) -> Column:
+        return _holds(F.regexp_replace(F.try_variant_get(value, path, "string"), f"^{_MARK}", ""), op, literal)
+
+    if parts[0] != "resources" or len(parts) == 1:
+        path = json_path(parts)
+        return F.when(v.isNull() | (variant_type(v, path) == "DOUBLE"), marked(copy, in_copy(parts))).otherwise(one(v, path))
+    path, whole = json_path(parts[1:]), json_path(parts)
+    listed = lambda x: F.try_variant_get(x, "$.resources", "array<variant>")
+
+    def within(x: Column, test, spell) -> Column:
+        """A list, or one object."""
+        return F.coalesce(F.exists(listed(x), lambda item: test(item, spell(parts[1:]))), test(x, spell(parts)))
+
+    doubles = F.coalesce(F.exists(listed(v), lambda item: variant_type(item, path) == "DOUBLE"), variant_type(v, whole) == "DOUBLE", F.lit(False))
+    return F.when(v.isNull() | doubles, within(copy, marked, in_copy)).otherwise(within(v, one, json_path))
