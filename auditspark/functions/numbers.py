@@ -92,7 +92,7 @@ def number_matches(field: str, op: str, literal: str, raw: str = "raw", parsed:
     for several predicates.
     """
     if not re.fullmatch(NUMBER, literal):
-        raise ValueError(f"numeric comparison needs a finite decimal, got {literal!r}")
+        raise ValueError(f"{literal!r} is no number to compare with")
     if op not in _OPS:
         raise ValueError(f"unknown numeric comparison {op!r}")
     if '"' in field or "\\" in field:

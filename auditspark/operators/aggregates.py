@@ -177,7 +177,7 @@ def compare_windows(events: DataFrame, hours: int | None = 24, f: Filter | None
     All dimensions share one scan and one exchange.
     """
     if not set(dimensions) <= set(DIMENSIONS):
-        raise ValueError("unknown analysis dimension")
+        raise ValueError(f"groups can be counted by {', '.join(DIMENSIONS)} only")
     rows = _windowed(events, f, hours, entity).filter(F.col("inCurrent") | F.col("inPrevious")).select(
         "inCurrent", "inPrevious", "hasError", "recordedReadOnly",
         *[F.coalesce(name, F.lit("")).alias(name) for name in dimensions])
@@ -227,21 +227,23 @@ def role_activity(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("events"), F.count_distinct("accessKeyId").alias("sessions"))
 
 
-def key_identities(events: DataFrame) -> DataFrame:
+def key_identities(events: DataFrame, variants: bool = False) -> DataFrame:
     """Representative identity per access key and whether its events disagree.
 
-    The representative is the lowest ``seq`` among rows with a principal name,
-    else the lowest overall: a fixed-width minimum that aggregates map-side; the
-    row itself is then fetched by that unique number.
+    The representative is the lowest ``seq`` among rows with a principal name, else the lowest overall; it travels in the
+    aggregate, so no row is fetched afterwards.  Least and greatest spelling tell whether any part differs; how many
+    spellings the most varied part has (``variants``) is counted only on request, as it expands every row.
     """
     rows = events.filter(F.coalesce("accessKeyId", F.lit("")) != "")
-    named = F.coalesce("identityArn", F.lit("")) != ""
-    per_key = rows.groupBy("accessKeyId").agg(
-        F.coalesce(F.min(F.when(named, F.col("seq"))), F.min("seq")).alias("seq"),
-        F.greatest(*[F.count_distinct(_nz(name)) for name in ("identityArn", "identityType", "roleArn", "accountId")])
-        .alias("variants"))
-    own = rows.select("seq", "identityType", "identityArn", "roleArn", "userName", "sessionName", "accountId", "invokedBy")
-    return per_key.join(own, "seq").withColumn("conflict", F.col("variants") > 1)
+    parts = ("identityArn", "identityType", "roleArn", "accountId")
+    shown = F.struct("seq", "identityType", "identityArn", "roleArn", "userName", "sessionName", "accountId", "invokedBy")
+    place = F.struct(F.coalesce("identityArn", F.lit("")) == "", "seq")
+    differs = F.greatest(*[F.coalesce(F.min(_nz(name)) != F.max(_nz(name)), F.lit(False)) for name in parts])
+    found = rows.groupBy("accessKeyId").agg(F.min_by(shown, place).alias("row"), differs.alias("conflict")).select("accessKeyId", "row.*", "conflict")
+    if not variants:
+        return found
+    ways = rows.groupBy("accessKeyId").agg(F.greatest(*[F.count_distinct(_nz(name)) for name in parts]).alias("variants"))
+    return found.join(ways, "accessKeyId")
 
 
 def hunt_scope(events: DataFrame, f: Filter | None = None) -> DataFrame:

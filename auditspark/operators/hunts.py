@@ -130,9 +130,9 @@ def match_sequence(events: DataFrame, steps: list[Column | dict[str, Any]], grou
     its slices.
     """
     if not 1 <= minutes <= 1440:
-        raise ValueError("sequence interval must be 1 to 1440 minutes")
+        raise ValueError(f"a sequence spans from one minute to a day, not {minutes} minutes")
     if group not in ("principal", "credential"):
-        raise ValueError("choose principal or credential grouping")
+        raise ValueError(f"steps are joined by principal or by credential, not by {group!r}")
     columns, window_ms = _step_columns(steps), minutes * 60_000
     keys = ["identityArn"] + (["accessKeyId"] if group == "credential" else [])
     last = len(columns) - 1

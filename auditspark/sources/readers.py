@@ -139,12 +139,12 @@ def csv_records(text: str) -> Iterator[tuple[str, str]]:
     taken.clear()
     index = {name.strip().lower(): i for i, name in enumerate(header)}
     if not {"event name", "eventname"} & set(index):
-        raise ValueError("CSV is missing the Event name column")
+        raise ValueError("no column of the header names the event")
     for row in rows:
         if not row:
             continue
         if len(row) != len(header):
-            raise ValueError("CSV row has a different number of fields")
+            raise ValueError(f"a row of {len(row)} fields under a header of {len(header)}")
         pick = lambda names: next((row[index[n]].strip() for n in names if n in index), "")
         record = {k: v for k, v in ((k, pick(names)) for k, names in CSV_FIELDS.items()) if v}
         identity = {k: v for k, v in ((k, pick(names)) for k, names in CSV_IDENTITY.items()) if v}

@@ -22,7 +22,7 @@ def export_matches(events: DataFrame, f: Filter | None, snapshot: Snapshot, path
     broken = F.from_json("raw", "_bad string", {"columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull()
     total, bad = rows.agg(F.count(F.lit(1)), F.count_if(F.col("raw").isNull() | F.coalesce(broken, F.lit(False)))).first()
     if bad:
-        raise ValueError(f"{bad} record(s) are not valid JSON; export cancelled")
+        raise ValueError(f"{bad} of the stored records cannot be read as JSON, so nothing is written")
     newest = F.col("seq").desc()
     line = F.when(F.col("raw").rlike(r"[\r\n]|^\s*\["), F.to_json(F.array("raw"))).otherwise(F.col("raw"))
     rows.repartitionByRange(newest).sortWithinPartitions(newest).select(line.alias("value")) \

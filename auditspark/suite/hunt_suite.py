@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numbers import number_matches
+from ..functions.numbers import number_doubt, number_matches
 from ..functions.network import in_network, ip_hex
 from ..functions.resources import resource_refs
 from ..model import Filter
@@ -212,3 +212,15 @@ def exact_numbers(spark, sf):
         number_matches("resources.weight", "gte", "40").alias("e")).agg(
         F.count_if("a").alias("eq_big"), F.count_if("b").alias("gt_big"), F.count_if("c").alias("lte_text"),
         F.count_if("d").alias("lt_small"), F.count_if("e").alias("gte_item"))
+
+
+@_register("exact_numbers_far", with_ev("""SELECT CAST(sum(CASE WHEN eventNo % 3 < 2 THEN 1 ELSE 0 END) AS BIGINT) AS over_five, CAST(sum(CASE WHEN eventNo % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS over_long,
+  CAST(sum(CASE WHEN eventNo % 3 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS same, CAST(sum(CASE WHEN eventNo % 3 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS undecided FROM ev"""))
+def exact_numbers_far(spark, sf):
+    """A power of ten beyond doubles, five thousand digits, and a member given twice, before each record's other members."""
+    long = F.repeat(F.lit("7"), 5000)
+    far = F.when(F.col("eventNo") % 3 == 0, "1e5000").when(F.col("eventNo") % 3 == 1, long).otherwise('5,"far":9')
+    rows = ev(spark, sf).select(F.concat(F.lit('{"far":'), far, F.lit(","), F.substring("raw", F.lit(2), F.length("raw"))).alias("raw"))
+    return rows.select(
+        number_matches("far", "gt", "5").alias("a"), number_matches("far", "gt", "8e4999").alias("b"), number_matches("far", "eq", "7" * 5000).alias("c"),
+        number_doubt().isNotNull().alias("d")).agg(*[F.count_if(c).alias(n) for c, n in (("a", "over_five"), ("b", "over_long"), ("c", "same"), ("d", "undecided"))])
