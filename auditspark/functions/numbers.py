@@ -37,7 +37,11 @@ def _spelled(text: str) -> tuple[int, int, str]:
 
 
 def _holds(text: Column, op: str, literal: str) -> Column:
-    """Whether a text is a JSON number and ``number op literal``."""
+    """Whether a text is a JSON number and ``number op literal``; the text is evaluated once."""
+    return F.get(F.transform(F.array(text), lambda t: _compared(t, op, literal)), F.lit(0))
+
+
+def _compared(text: Column, op: str, literal: str) -> Column:
     sign, place, digits = _spelled(literal)
     group = lambda pattern: F.regexp_extract(text, pattern, 1)
     whole, power = group(r"^-?([0-9]+)"), group(r"[eE]([+-]?[0-9]+)$")
