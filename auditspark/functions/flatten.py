@@ -50,6 +50,63 @@ def flatten_records(records: DataFrame, keys: list[str], raw: str = "raw") -> Da
     return records.select(*keys, raw).mapInPandas(split, schema)
 
 
+class PathTrie:
+    """Paths of many records as one tree: per node how often it occurs, as what, and with how many children."""
+
+    #: A node is [occurrences, nulls, children, kinds, nodes below by name].
+    def __init__(self) -> None:
+        self.root, self.nodes = [0, 0, 0, set(), {}], 1
+
+    def add(self, text: str) -> None:
+        pending = [(self.root, json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_Number))]
+        while pending:
+            node, value = pending.pop()
+            kind = _kind(value)
+            node[0] += 1
+            node[1] += kind == "null"
+            node[3].add(kind)
+            if kind not in ("array", "object"):
+                continue
+            node[2] += len(value)
+            for name, below in enumerate(value) if kind == "array" else value.items():
+                child = node[4].get(str(name))
+                if child is None:
+                    child = node[4][str(name)] = [0, 0, 0, set(), {}]
+                    self.nodes += 1
+                pending.append((child, below))
+
+    def rows(self) -> Iterator[tuple[str, int, int, int, list[str]]]:
+        """(path, occurrences, nulls, children, kinds) of every node."""
+        pending = [("", self.root)]
+        while pending:
+            path, node = pending.pop()
+            if node[0]:
+                yield path, node[0], node[1], node[2], sorted(node[3])
+            pending.extend((f"{path}/{name.replace('~', '~0').replace('/', '~1')}", below) for name, below in node[4].items())
+
+
+def path_counts(records: DataFrame, raw: str = "raw", most: int = 200_000) -> DataFrame:
+    """(path, rows, nulls, children, kinds) as counted by each task: a row per path, whatever the records.
+
+    A tree that grows over ``most`` nodes is given away and begun anew, so records with ever new names need no more memory.
+    """
+    names = ["path", "rows", "nulls", "children", "kinds"]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trie = PathTrie()
+        for batch in batches:
+            for text in batch[raw]:
+                if text is not None:
+                    trie.add(text)
+                if trie.nodes > most:
+                    yield pd.DataFrame(list(trie.rows()), columns=names)
+                    trie = PathTrie()
+        if trie.root[0]:
+            yield pd.DataFrame(list(trie.rows()), columns=names)
+
+    return records.select(raw).mapInPandas(count, "path string, rows bigint, nulls bigint, children bigint, kinds array<string>")
+
+
 def _shown(value) -> str:
     kind = _kind(value)
     if kind in ("array", "object"):

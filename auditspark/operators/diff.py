@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.flatten import changed_members, flatten_records
+from ..functions.flatten import changed_members, flatten_records, path_counts
 
 PREVIEW, CHANGE_LIMIT = 512, 500
 
@@ -18,11 +18,14 @@ def display_fields(records: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumns({"truncated": F.coalesce(F.length("value") > PREVIEW, F.lit(False)), "value": F.left("value", F.lit(PREVIEW))})
 
 
-def field_profile(records: DataFrame, key: str = "seq") -> DataFrame:
-    """Presence of every path: rows, distinct kinds, nulls; array positions are kept apart."""
-    return flatten_records(records, [key]).groupBy("path").agg(
-        F.count(F.lit(1)).alias("rows"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
-        F.count_if(F.col("kind") == "null").alias("nulls"), F.sum("children").alias("children"))
+def field_profile(records: DataFrame) -> DataFrame:
+    """Presence of every path: rows, distinct kinds, nulls, children; array positions are kept apart.
+
+    Tasks count in trees of paths, so what is exchanged are paths and not members.
+    """
+    kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds"))))
+    return path_counts(records).groupBy("path").agg(
+        F.sum("rows").alias("rows"), F.array_join(kinds, ",").alias("kinds"), F.sum("nulls").alias("nulls"), F.sum("children").alias("children"))
 
 
 def version_pairs(observations: DataFrame) -> DataFrame:

@@ -89,10 +89,13 @@ def bundle_manifest(spark, sf):
 _POINTER = r"regexp_replace(replace(replace(regexp_replace(fullkey, '^\$', ''), '[', '/'), ']', ''), '\.', '/', 'g')"
 
 
-@_register("field_profile", with_ev(f"""SELECT path, count(*) AS rows, count(*) FILTER (WHERE type = 'NULL') AS nulls FROM (
-  SELECT {_POINTER} AS path, type FROM ev, json_tree(ev.raw)) GROUP BY 1"""))
+@_register("field_profile", with_ev(f"""SELECT path, count(*) AS rows, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) FILTER (WHERE kind = 'null') AS nulls,
+  CAST(sum(children) AS BIGINT) AS children FROM (SELECT {_POINTER} AS path,
+    CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind,
+    CASE type WHEN 'ARRAY' THEN json_array_length(value) WHEN 'OBJECT' THEN len(json_keys(value)) ELSE 0 END AS children
+  FROM ev, json_tree(ev.raw)) GROUP BY 1"""))
 def field_profile(spark, sf):
-    return diff.field_profile(ev(spark, sf)).select("path", "rows", "nulls")
+    return diff.field_profile(ev(spark, sf)).select("path", "rows", "kinds", "nulls", "children")
 
 
 @_register("version_changes", with_ev("""SELECT eventKey || '#' || sha256 AS pair, path, change FROM obs, (VALUES ('/eventVersion', 'changed'), ('/note', 'added')) c(path, change)

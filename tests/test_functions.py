@@ -113,3 +113,21 @@ def test_times(spark):
     rows = small_table(spark, [(t,) for t in [*texts, *console]], "t string").select("t", event_ms(F.col("t")).alias("e"), evidence_ms(F.col("t")).alias("v")).collect()
     assert {r.t: r.e for r in rows if r.t in texts} == texts
     assert {r.t: r.v for r in rows if r.t in console} == console
+
+
+def test_path_counts_merge_over_tasks_and_trees(spark):
+    from collections import Counter
+    from auditspark.functions.flatten import field_rows, path_counts
+    texts = ['{"a":{"b/c":[1,{"x":null}]},"~":"q"}', '{"a":null,"b":[]}', "[1,2]", '"s"', '{"a":{"b/c":{"0":1.5}}}'] * 20 + [json.dumps({f"k{k}": {"v": k}}) for k in range(50)]
+    frame = small_table(spark, [(t,) for t in texts] + [(None,)], "raw string").repartition(3)
+    want, nulls, children, kinds = Counter(), Counter(), Counter(), {}
+    for t in texts:
+        for path, _, kind, _, n in field_rows(t):
+            want[path] += 1
+            nulls[path] += kind == "null"
+            children[path] += n
+            kinds.setdefault(path, set()).add(kind)
+    for most in (200_000, 5):
+        got = path_counts(frame, most=most).groupBy("path").agg(F.sum("rows").alias("r"), F.sum("nulls").alias("n"), F.sum("children").alias("c"), F.flatten(F.collect_list("kinds")).alias("k")).collect()
+        assert {r.path: (r.r, r.n, r.c, set(r.k)) for r in got} == {p: (want[p], nulls[p], children[p], kinds[p]) for p in want}
+    assert path_counts(frame).count() <= 3 * len(want)
