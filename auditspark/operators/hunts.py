@@ -98,8 +98,10 @@ def match_indicators(events: DataFrame, indicators: DataFrame, f: Filter | None
     return events.join(per_event, "seq")
 
 
-def newest(matches: DataFrame, limit: int = RESULT_LIMIT, ms: str = "eventMs") -> DataFrame:
-    return matches.orderBy(F.col(ms).desc_nulls_last(), F.col("seq").desc()).limit(limit)
+def newest(matches: DataFrame, limit: int = RESULT_LIMIT, ms: str = "eventMs", total: bool = False) -> DataFrame:
+    """The newest matches; with ``total`` each row tells how many there are."""
+    shown = matches.orderBy(F.col(ms).desc_nulls_last(), F.col("seq").desc()).limit(limit)
+    return shown.withColumn("total", matches.agg(F.count(F.lit(1)).alias("total")).scalar()) if total else shown
 
 
 # --- ordered sequences --------------------------------------------------------

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import diff, enrich, lineage, maintain
+from ..session import shared_folder
 from ..sources.files import spread
 from ..sources.readers import unwrap_envelopes
-from ..sources.sinks import bundle_tables
+from ..sources.sinks import bundle_tables, export_bundle
 from ..streaming.intake import affected_sequences, capture_scope
 from .common import ACCOUNT_SQL, ev, with_ev
 from .lineage_suite import EDGES
@@ -86,6 +89,18 @@ def bundle_manifest(spark, sf):
     return bundle_tables(context, events, observations(spark, sf).drop("seq"))["manifest"]
 
 
+@_register("written_bundle", with_ev("""SELECT seq, list_sort(list(DISTINCT sha256))[1] AS least, count(*) AS copies, CAST(sum(octet_length(encode(raw))) AS BIGINT) AS bytes, count(DISTINCT sha256) AS variants
+FROM obs WHERE eventKey IN (SELECT eventKey FROM ev WHERE eventName = 'DeleteTrail') GROUP BY 1""", ctes=_OBS))
+def written_bundle(spark, sf):
+    """A bundle written and read again: originals hashed anew, beside what the manifest says."""
+    path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    events = ev(spark, sf).withColumn("evidenceHash", F.sha2("raw", 256))
+    export_bundle(events.filter(F.col("eventName") == "DeleteTrail").select("seq"), events, observations(spark, sf).drop("seq"), path)
+    sources, manifest, held = (spark.read.parquet(f"{path}/{name}") for name in ("sources", "manifest", "events"))
+    found = sources.groupBy("seq").agg(F.min(F.sha2("original", 256)).alias("least"), F.count(F.lit(1)).alias("copies"), F.sum(F.octet_length("original")).alias("bytes"))
+    return held.select("seq").join(found, "seq").join(manifest.select("seq", "variants"), "seq")
+
+
 _POINTER = r"regexp_replace(replace(replace(regexp_replace(fullkey, '^\$', ''), '[', '/'), ']', ''), '\.', '/', 'g')"
 
 

@@ -129,6 +129,12 @@ def indicator_newest(spark, sf):
     return hunts.newest(hunts.match_indicators(ev(spark, sf), _indicators(spark, sf))).select("seq", "eventMs")
 
 
+@_register("indicator_newest_of_all", with_ev("""SELECT seq, (SELECT count(DISTINCT seq) FROM hits) AS total FROM (SELECT DISTINCT ev.seq, ev.eventMs FROM ev JOIN hits ON hits.seq = ev.seq)
+ORDER BY eventMs DESC NULLS LAST, seq DESC LIMIT 20""", ctes=_REFS + ", " + _IND))
+def indicator_newest_of_all(spark, sf):
+    return hunts.newest(hunts.match_indicators(ev(spark, sf), _indicators(spark, sf)), 20, total=True).select("seq", "total")
+
+
 def _sequence_sql(predicates: list[str], group: str, minutes: int) -> tuple[str, str]:
     """Chains over ``ev`` by a running maximum; returns (ctes, name of the last one).
 
