@@ -2,18 +2,20 @@
 
 A paragraph is a run of lines with words; lines without any end it.  Its anchored lines, and its windows of neighbouring
 lines with an anchor in them, are classified by a softmax regression over their words and word pairs into licence families
-and ``unknown``; the predicted family must reach the calibrated probability and is confirmed only if one of its templates
-is contained in them (share of the template's words at least CONFIRM).  So a notice is found however it is wrapped: a
-window starts at any line and grows line by line until it has the words of the longest template.  Where confirmed windows
-overlap, the first one with the greatest share stays; a line that holds a whole template is not looked at further.  An
+and ``unknown``.  The probability of any family must reach the calibrated least; then the families likelier than
+``unknown``, CANDIDATES at most, are the prediction, and each is confirmed only if one of its templates is contained:
+CONFIRM of its words, and all of what names it, that is its versions with the word before them and the names below, which
+are word pairs where the order matters; beside a denial nothing is.  So one line can grant several licences.  A notice is found however it is
+wrapped: a window starts at any line and ends with the first that reaches one of the LENGTHS in words.  Where confirmed
+windows overlap, the first one with the greatest share stays; a line that holds a whole template is not looked at further.  An
 anchored line in no confirmed window counts as unknown.  Per row work stays in array functions, so texts are read once
 and nothing is exchanged.
 
 The BSD redistribution sentence is the same with two and three clauses: it names two, unless the text also has the third.
 
 Training rows are the templates below with words left out, and sentences about licences that grant none: a fixed, small
-set, fitted on the driver.  The probability threshold is calibrated on variants that the fit did not see: the least
-value at which none of the ``unknown`` ones passes.
+set, fitted on the driver; negated notices count as sentences that grant none.  The probability threshold is calibrated
+on rows that the fit did not see, other sentences among them: the least value at which none of the ``unknown`` ones passes.
 
 Rows: NULL, empty and anchorless texts get no licence; very long texts are split like others; ties go to the first
 family in order; repeated rows are answered each; an empty table gives an empty result; extra columns stay.
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 UNKNOWN = "unknown"
 CONFIRM = 0.7
+CANDIDATES = 3
 ROUNDS = 30
 RATE, L2 = 0.4, 1e-4
 SEED = 11
@@ -84,9 +87,24 @@ OTHERS = [
     "The committee reserved a table for seven.", "Which license should I choose for my project?",
     "The version 2.0 release fixes two bugs in the library.", "The source code form was sent to the public office.",
     "Creative people are rarely common in such an office.", "The license plate was hidden under mud.",
-    "The poet license number 3 is a work of general interest.", "Licensed engineers work under the supervision of the state.",
+    "The authors hold all rights reserved for the table.", "The poet license number 3 is a work of general interest.", "Licensed engineers work under the supervision of the state.",
     "The film was released under another title.", "The apache helicopter crew kept its general warranty license.",
 ]
+#: Sentences that the fit does not see; the threshold is calibrated on them.
+UNSEEN = [
+    "The driver showed an expired licence to the officer.", "A license for the song was never asked for.", "Public domain is a term that few people use.",
+    "This chapter explains how a license differs from a contract.", "All seats are reserved for members of the club.",
+    "The archive gave permission to copy two letters.", "Copyright was the subject of the second lecture.", "The redistribution of land took ten years.",
+    "The code was never released under any license.", "It is not distributed under the terms of that license.", "Nothing here is licensed to anybody.",
+    "Version 3 of the form asks for the license number.",
+]
+#: What is said about a notice to deny it.
+DENIALS = ["this file is not {}", "the code is no longer {}", "it was never {}", "nothing in this folder is {}", "we are not sure that it is {}"]
+#: Words and word pairs that name a licence; a template that holds one is confirmed only where it is found.
+NAMES = ["affero general", "lesser general", "gnu general", "apache", "mit", "isc", "mozilla public", "simplified bsd", "new bsd", "bsd", "unlicense", "unencumbered software",
+         "copyright", "rights reserved", "be reproduced", "and binary", "or promote", "to endorse", "of charge", "without fee", "cc0", "by nc", "by sa", "sharealike", "noncommercial"]
+#: Word pairs that deny a notice; nothing is confirmed beside them.
+DENIED = [f"{a} {b}" for a in ("not", "never", "longer") for b in ("licensed", "released")]
 #: Anchors: every template holds one of them.
 ANCHORS = ["licen", "copyright", "public domain", "cc0", "permission", "reserved", "redistribut"]
 #: The anchors in text with line breaks: the words of one may stand on two lines.
@@ -102,6 +120,17 @@ def grams_of(words: list[str]) -> list[str]:
     return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
+def needed(template: str) -> list[str]:
+    """What a text must hold for a template to be confirmed: names, and versions with the word before them."""
+    words = words_of(template)
+    versions = [f"{a} {b}" for a, b in zip(words, words[1:]) if any(c.isdigit() for c in b)]
+    return sorted({g for g in grams_of(words) if g in NAMES} | set(versions))
+
+
+#: Words at which a window ends.
+LENGTHS = [10, 18, 28, max(len(words_of(t)) for own in TEMPLATES.values() for t in own)]
+
+
 def _variants(rng: random.Random) -> list[tuple[list[str], str]]:
     """Template lines and other sentences, whole and with words left out or words around them."""
     rows = []
@@ -114,6 +143,11 @@ def _variants(rng: random.Random) -> list[tuple[list[str], str]]:
                 extra = [rng.choice(around) for _ in range(rng.randrange(4))]
                 rows.append((kept + extra if rng.random() < 0.5 else extra + kept, family))
             rows.append((words, family))
+    for family, lines in TEMPLATES.items():
+        for line in lines:
+            notice = line[0].lower() + line[1:]
+            if notice.startswith(("licensed", "released")):
+                rows += [(words_of(d.format(notice)), UNKNOWN) for d in DENIALS]
     for _ in range(200):
         rows.append(([rng.choice(around) for _ in range(rng.randrange(3, 15))] + [rng.choice(["license", "licensed", "copyright", "permission"])], UNKNOWN))
     rng.shuffle(rows)
@@ -138,7 +172,7 @@ _fitted: list = []
 
 
 def train() -> tuple[list[str], dict[str, list[float]], list[float], float]:
-    """(families with unknown last, weights by n-gram, bias, least probability); the same each time."""
+    """(families with unknown last, weights by n-gram, bias, least probability of any family); the same each time."""
     if _fitted:
         return _fitted[0]
     rng = random.Random(SEED)
@@ -159,14 +193,12 @@ def train() -> tuple[list[str], dict[str, list[float]], list[float], float]:
                 for k, g in enumerate(p):
                     own[k] -= step * (g + L2 * own[k])
             bias = [b - 0.1 * rate * g for b, g in zip(bias, p)]
-    least = 0.5
-    for words, family in rows[cut:]:
-        p = probabilities(_logits(weights, bias, sorted(set(grams_of(words)))))
-        best = p.index(max(p))
-        if family == UNKNOWN and families[best] != UNKNOWN:
-            least = max(least, p[best] + 1e-6)
     kept = {g: [round(x, 4) for x in w] for g, w in weights.items() if max(map(abs, w)) > 0.02}
-    _fitted.append((families, kept, [round(b, 4) for b in bias], min(least, 0.95)))
+    bias, least = [round(b, 4) for b in bias], 0.5
+    for words in [w for w, family in rows[cut:] if family == UNKNOWN] + [words_of(line) for line in UNSEEN]:
+        p = probabilities(_logits(kept, bias, sorted(set(grams_of(words)))))
+        least = max(least, 1 - p[-1] + 1e-6)
+    _fitted.append((families, kept, bias, least))
     return _fitted[0]
 
 
@@ -187,8 +219,8 @@ def anchored(line: Column) -> Column:
 
 def windows(lines: Column) -> Column:
     """(first, last, line) of the anchored windows of two and more neighbouring lines: those that start at one line end
-    with the first that reaches the longest template's words."""
-    longest = max(len(words_of(t)) for own in TEMPLATES.values() for t in own)
+    where one of the LENGTHS is reached, or the lines end."""
+    longest = LENGTHS[-1]
 
     def grown(x: Column, i: Column) -> Column:
         near = F.slice(lines, i + 1, longest)
@@ -197,8 +229,10 @@ def windows(lines: Column) -> Column:
 
     def cut(start: Column) -> Column:
         near = start["near"]
-        ends = F.filter(F.sequence(F.lit(1), F.size(near)), lambda k: (k > 1) & (F.aggregate(
-            F.slice(near, 1, k - 1), F.lit(0), lambda acc, y: acc + y["n"]) < longest))
+        reached = F.aggregate(near, F.array().cast("array<int>"), lambda acc, y: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + y["n"])))
+        before = lambda n: F.size(F.filter(reached, lambda r: r < n))
+        ends = F.array_distinct(F.array(*[F.least(F.size(near), 1 + before(n)) for n in LENGTHS]))
+        ends = F.filter(ends, lambda k: k > 1)
         return F.transform(ends, lambda k: F.struct(start["first"].alias("first"), (start["first"] + k - 1).alias("last"), F.array_join(
             F.transform(F.slice(near, 1, k), lambda y: y["line"]), " ").alias("line")))
 
@@ -207,7 +241,8 @@ def windows(lines: Column) -> Column:
 
 
 def judged(line: Column) -> Column:
-    """Struct (family, probability, likeness, confirmed) of one lower-cased line."""
+    """Struct (family, probability, likeness, confirmed, families) of one lower-cased line; the probability is that of any
+    family, ``families`` are the confirmed ones, ``family`` is the first of them, or else the likeliest."""
     families, weights, bias, least = train()
     lots: list[dict] = [{} for _ in range(LOTS)]  # a map is read from its first key on, so each is kept short
     for gram, own in weights.items():
@@ -218,16 +253,37 @@ def judged(line: Column) -> Column:
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
                        lambda a, b: F.concat(a, F.lit(" "), b))
     grams = F.array_distinct(F.concat(words, pairs))
-    logits = F.aggregate(grams, start, lambda acc, g: F.coalesce(F.zip_with(acc, F.try_element_at(F.get(table, (F.crc32(g) % LOTS).cast("int")), g), lambda a, b: a + b), acc))
-    top = F.array_max(logits)
-    share = 1 / F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    family = F.element_at(F.array(*map(F.lit, families)), F.array_position(logits, top).cast("int"))
-    templates = F.from_json(F.lit(json.dumps({f: [sorted(set(words_of(t))) for t in lines] for f, lines in TEMPLATES.items()})),
-                            "map<string, array<array<string>>>")
-    own = F.coalesce(F.try_element_at(templates, family), F.array().cast("array<array<string>>"))
-    likeness = F.coalesce(F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(t, words)) / F.size(t))), F.lit(0.0))
-    return F.struct(family.alias("family"), share.alias("probability"), likeness.alias("likeness"),
-                    ((family != UNKNOWN) & (share >= least) & (likeness >= CONFIRM)).alias("confirmed"))
+    summed = lambda grams: F.aggregate(grams, start, lambda acc, g: F.coalesce(F.zip_with(
+        acc, F.try_element_at(F.get(table, (F.crc32(g) % LOTS).cast("int")), g), lambda a, b: a + b), acc))
+    names = F.array(*map(F.lit, families))
+    templates = F.from_json(F.lit(json.dumps({f: [{"words": sorted(set(words_of(t))), "needed": needed(t)} for t in lines] for f, lines in TEMPLATES.items()})),
+                            "map<string, array<struct<words:array<string>,needed:array<string>>>>")
+
+    def weighed(grams: Column, logits: Column) -> Column:
+        top = F.array_max(logits)
+        none = F.element_at(logits, len(families))
+        any_family = 1 - F.exp(none - top) / F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+        ranked = F.reverse(F.array_sort(F.zip_with(logits, names, lambda x, f: F.struct(x.alias("logit"), f.alias("family")))))
+        likely = F.slice(F.filter(ranked, lambda r: r["logit"] > none), 1, CANDIDATES)
+
+        def alike(r: Column) -> Column:
+            own = F.coalesce(F.try_element_at(templates, r["family"]), F.array().cast("array<struct<words:array<string>,needed:array<string>>>"))
+            held = F.filter(own, lambda t: F.size(F.array_except(t["needed"], grams)) == 0)
+            return F.struct(r["family"].alias("family"), F.coalesce(F.array_max(F.transform(held, lambda t: F.size(F.array_intersect(t["words"], grams)) / F.size(t["words"]))), F.lit(0.0)).alias("likeness"))
+
+        return F.struct(any_family.alias("probability"), F.transform(likely, alike).alias("likely"), F.arrays_overlap(grams, F.array(*map(F.lit, DENIED))).alias("denied"), F.element_at(ranked, 1)["family"].alias("top"))
+
+    # each step is evaluated once: its result is bound by a lambda
+    found = F.get(F.transform(F.array(F.struct(grams.alias("grams"))), lambda x: weighed(x["grams"], summed(x["grams"]))), F.lit(0))
+
+    def told(x: Column) -> Column:
+        sure = F.when((x["probability"] >= least) & ~x["denied"], F.filter(x["likely"], lambda c: c["likeness"] >= CONFIRM)).otherwise(F.slice(x["likely"], 1, 0))
+        first = F.try_element_at(sure, F.lit(1))
+        return F.struct(F.coalesce(first["family"], x["top"]).alias("family"), x["probability"].alias("probability"),
+                        F.coalesce(F.array_max(F.transform(F.when(F.size(sure) > 0, sure).otherwise(x["likely"]), lambda c: c["likeness"])), F.lit(0.0)).alias("likeness"),
+                        (F.size(sure) > 0).alias("confirmed"), F.array_sort(F.transform(sure, lambda c: c["family"])).alias("families"))
+
+    return F.get(F.transform(F.array(found), told), F.lit(0))
 
 
 def _taken(found: Column) -> Column:
@@ -241,7 +297,7 @@ def _taken(found: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with paragraphs (line, family, probability, likeness, confirmed), licences (confirmed families in
+    """``docs`` with paragraphs (line, family, families, probability, likeness, confirmed), licences (confirmed families in
     order) and unknown_paragraphs (anchored lines in no confirmed one); the line of a wrapped notice is its lines joined."""
     def judge(x: Column) -> Column:
         return F.struct(x["first"].alias("first"), x["last"].alias("last"), x["line"].alias("line"), judged(x["line"]).alias("found"))
@@ -258,17 +314,18 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     found = found.withColumn("_licence_taken", _taken(F.concat("_licence_singles", "_licence_windows")))
     rest = F.filter("_licence_singles", lambda x: ~F.exists("_licence_taken", lambda y: (y["first"] <= x["first"]) & (x["first"] <= y["last"])))
     found = found.withColumn("_licence_taken", F.array_sort(F.concat("_licence_taken", rest)))
-    third = F.exists("_licence_taken", lambda x: x["found"]["confirmed"] & (x["found"]["family"] == "bsd-3-clause"))
+    third = F.exists("_licence_taken", lambda x: F.array_contains(x["found"]["families"], "bsd-3-clause"))
     shared = sorted(set(words_of(REDISTRIBUTION)))
 
     def named(x: Column) -> Column:
         both = F.size(F.array_intersect(F.lit(shared), F.regexp_extract_all(x["line"], F.lit(f"({_WORD})"), F.lit(1)))) >= CONFIRM * len(shared)
-        return F.when((x["found"]["family"] == "bsd-2-clause") & third & both, "bsd-3-clause").otherwise(x["found"]["family"])
+        three = lambda f: F.when((f == "bsd-2-clause") & third & both, "bsd-3-clause").otherwise(f)
+        return F.struct(three(x["found"]["family"]).alias("family"), F.array_distinct(F.transform(x["found"]["families"], three)).alias("families"))
 
     found = found.withColumn("paragraphs", F.transform("_licence_taken", lambda x: F.struct(
-        x["line"].alias("line"), named(x).alias("family"), x["found"]["probability"].alias("probability"),
+        x["line"].alias("line"), named(x)["family"].alias("family"), named(x)["families"].alias("families"), x["found"]["probability"].alias("probability"),
         x["found"]["likeness"].alias("likeness"), x["found"]["confirmed"].alias("confirmed"))))
     found = found.drop("_licence_lines", "_licence_singles", "_licence_windows", "_licence_taken")
     sure = F.filter("paragraphs", lambda x: x["confirmed"])
-    return (found.withColumn("licences", F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))))
+    return (found.withColumn("licences", F.array_sort(F.array_distinct(F.flatten(F.transform(sure, lambda x: x["families"])))))
             .withColumn("unknown_paragraphs", F.size("paragraphs") - F.size(sure)))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -126,10 +127,12 @@ def test_licences_match_plain_python(odd_docs, no_docs, spark):
                 continue
             words = licenses.words_of(line)
             p = licenses.probabilities(licenses._logits(weights, bias, sorted(set(licenses.grams_of(words)))))
-            best = families[p.index(max(p))]
-            like = max([len(set(licenses.words_of(t)) & set(words)) / len(set(licenses.words_of(t))) for t in licenses.TEMPLATES.get(best, [])], default=0)
-            if best != licenses.UNKNOWN and max(p) >= least and like >= licenses.CONFIRM:
-                out.add(best)
+            grams = set(licenses.grams_of(words))
+            likely = [f for q, f in sorted(zip(p, families), reverse=True) if q > p[-1]][: licenses.CANDIDATES]
+            sure = {f for f in likely for t in licenses.TEMPLATES[f] if set(licenses.needed(t)) <= grams
+                    and len(set(licenses.words_of(t)) & set(words)) / len(set(licenses.words_of(t))) >= licenses.CONFIRM}
+            if sure and 1 - p[-1] >= least and not grams & set(licenses.DENIED):
+                out |= sure
             else:
                 unknown += 1
         return sorted(out), unknown
@@ -147,6 +150,28 @@ def test_licences_match_plain_python(odd_docs, no_docs, spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_licences_of_versions_choices_and_denials(spark):
+    probes = {
+        "SPDX-License-Identifier: GPL-2.0-or-later": ["gpl-2.0"], "SPDX-License-Identifier: LGPL-2.1-or-later": ["lgpl-2.1"], "Released under the Apache License, version 1.1": [],
+        "Dual licensed under the MIT license or the Apache License, Version 2.0.": ["apache-2.0", "mit"], "SPDX-License-Identifier: MIT OR Apache-2.0": ["apache-2.0", "mit"],
+        "This file is not licensed under the MIT license": [], "This program was never released under the GPL v2 license": [], "the authors hold all rights reserved for the table": [],
+        "Licensed under the New BSD License": ["bsd-3-clause"], "Licensed under the Simplified BSD License": ["bsd-2-clause"]}
+    got = {r.text: r.licences for r in licenses.scan(spark.createDataFrame([(t,) for t in probes], "text string")).collect()}
+    assert got == probes
+    families, weights, bias, least = licenses.train()
+    assert 0.5 <= least < 1
+    for line in [*licenses.UNSEEN, *licenses.OTHERS]:
+        p = licenses.probabilities(licenses._logits(weights, bias, sorted(set(licenses.grams_of(licenses.words_of(line))))))
+        assert 1 - p[-1] < least, line
+
+
+def test_licences_of_many_anchored_lines(spark):
+    texts = ["\n".join(["the license"] * 4000), "\n".join(['"license": "MIT",'] * 4000), "\n".join(["Licensed under the MIT license"] * 4000)]
+    start = time.time()
+    got = {r.text: (r.licences, r.unknown_paragraphs) for r in licenses.scan(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()}
+    assert got[texts[0]] == ([], 4000) and got[texts[2]] == (["mit"], 0) and time.time() - start < 120
+
+
 GNU_HEADER = """This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} License as published by the
 Free Software Foundation, either version {2} of the License, or (at your option) any later version.
 
