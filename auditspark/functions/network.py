@@ -79,6 +79,17 @@ def mask_hex(key: Column, bits: Column) -> Column:
     return F.concat(F.left(key, whole), partial)
 
 
+def last_hex(key: Column, bits: Column) -> Column:
+    """Greatest address of the network of ``bits`` leading bits that holds a hex key."""
+    whole = F.floor(bits / 4).cast("int")
+    digit = F.substr(key, whole + 1, F.lit(1))
+    partial = F.lit("")
+    for n in _NIBBLE:
+        filled = "".join(f"{d | (0xF >> n):x}" for d in range(16))
+        partial = F.when(bits % 4 == n, F.translate(digit, "0123456789abcdef", filled)).otherwise(partial)
+    return F.rpad(F.concat(F.left(key, whole), partial), F.length(key), F.lit("f"))
+
+
 def network_key(key: Column, bits: Column) -> Column:
     """Equality key of one network of one family."""
     return F.concat_ws("/", F.length(key).cast("string"), bits.cast("string"), mask_hex(key, bits))

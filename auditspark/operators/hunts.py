@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.facts import with_facts
-from ..functions.network import canonical_network, network_key, with_ip_hex
+from ..functions.network import canonical_network, last_hex, mask_hex, network_key, with_ip_hex
 from ..functions.resources import COMPLETE_ARN
 from ..model import Filter
 from ..plans.slices import with_slices
@@ -50,14 +50,42 @@ def indicator_keys(indicators: DataFrame) -> DataFrame:
     return valid.select(
         "indicator_id", F.when(network, "net").otherwise(F.col("kind")).alias("keyKind"),
         F.when(network, network_key(F.col("netHex"), F.col("netBits"))).otherwise(F.col("canonical")).alias("key"),
-        "netBits")
+        "netHex", "netBits")
 
 
-def _address_keys(events: DataFrame, prefix_bits: Column) -> DataFrame:
-    """Network keys of every distinct event address, one per wanted prefix length."""
-    hexed = with_ip_hex(events.select("sourceIPAddress").distinct(), "sourceIPAddress", "_hex").filter(F.col("_hex").isNotNull())
-    sized = hexed.select("sourceIPAddress", "_hex", F.explode(prefix_bits).alias("_bits")).filter(F.col("_bits") <= F.length("_hex") * 4)
-    return sized.select("sourceIPAddress", F.lit("net").alias("keyKind"), network_key(F.col("_hex"), F.col("_bits")).alias("key"))
+#: Addresses are looked up by blocks of these leading hex digits (IPv4, IPv6).
+_BLOCK = (4, 8)
+
+
+def networks_of(addresses: DataFrame, networks: DataFrame) -> DataFrame:
+    """(sourceIPAddress, indicator_id): the networks (indicator_id, netHex, netBits) that hold each address.
+
+    Networks are nested or apart, so their first and last addresses cut the address line into ranges, and in a range the
+    networks are the same for all addresses.  They are worked out for the cuts, by equality of masked keys for the prefix
+    lengths that occur; an address then takes those of the last cut before it, by one sorted pass over its block.  An
+    address is one row, however many prefix lengths there are.
+    """
+    hexed = with_ip_hex(addresses.select("sourceIPAddress").distinct(), "sourceIPAddress", "hex").filter(F.col("hex").isNotNull())
+    block = F.left("hex", F.when(F.length("hex") == 8, _BLOCK[0]).otherwise(_BLOCK[1]))
+    hexed = checkpoint(hexed.withColumn("block", F.concat_ws("/", F.length("hex").cast("string"), block)))
+    nets = networks.select("indicator_id", F.col("netBits").alias("bits"), mask_hex(F.col("netHex"), F.col("netBits")).alias("_lead"), F.length("netHex").alias("width")) \
+        .select("indicator_id", "bits", F.expr("rpad(_lead, width, '0')").alias("first"))
+    nets = checkpoint(nets.withColumn("last", last_hex(F.col("first"), F.col("bits"))))
+    # sides: a block begins, a network begins, addresses, a network ends
+    cut = lambda rows, column, side: rows.select(F.col(column).alias("hex"), F.lit(side).alias("side"))
+    begun = hexed.select("block", F.length("hex").alias("width")).distinct().select(F.expr("rpad(split_part(block, '/', 2), width, '0')").alias("first"))
+    cuts = cut(begun, "first", -1).unionAll(cut(nets, "first", 0)).unionAll(cut(nets, "last", 2)).distinct()
+    lengths = nets.select("bits").distinct().agg(F.array_sort(F.collect_set("bits"))).scalar()
+    keyed = cuts.withColumn("bits", F.explode(lengths)).filter(F.col("bits") <= F.length("hex") * 4).withColumn("key", network_key(F.col("hex"), F.col("bits")))
+    held = keyed.join(nets.select("indicator_id", "last", network_key(F.col("first"), F.col("bits")).alias("key")), "key") \
+        .filter((F.col("side") < 2) | (F.col("last") > F.col("hex")))  # behind its last address a network holds no more
+    over = cuts.join(held.groupBy("hex", "side").agg(F.collect_list("indicator_id").alias("over")), ["hex", "side"], "left") \
+        .withColumn("over", F.coalesce("over", F.array().cast("array<bigint>")))
+    over = over.withColumn("block", F.concat_ws("/", F.length("hex").cast("string"), block)).select("block", "hex", "side", "over", F.lit(None).cast("string").alias("sourceIPAddress"))
+    line = over.unionByName(hexed.select("block", "hex", F.lit(1).alias("side"), F.lit(None).cast("array<bigint>").alias("over"), "sourceIPAddress"))
+    before = Window.partitionBy("block").orderBy("hex", "side").rowsBetween(Window.unboundedPreceding, 0)
+    found = line.withColumn("over", F.last("over", ignorenulls=True).over(before)).filter("side = 1")
+    return found.select("sourceIPAddress", F.explode("over").alias("indicator_id"))
 
 
 def _identifier_keys(events: DataFrame) -> DataFrame:
@@ -73,16 +101,13 @@ def _identifier_keys(events: DataFrame) -> DataFrame:
 def indicator_hits(events: DataFrame, indicators: DataFrame, f: Filter | None = None) -> DataFrame:
     """(seq, indicator_id) pairs from equi joins.
 
-    Events are expanded map-side to their typed lookup keys.  A network match is
-    an equality of masked addresses, for the at most 162 prefix lengths that
-    occur in the indicator table; it is found for each distinct address, and
-    events join the addresses that are in some network.
+    Events are expanded map-side to their typed lookup keys.  Networks are found
+    for each distinct address, and events join the addresses that are in some.
     """
     keys = checkpoint(indicator_keys(indicators))  # read three times; one row per indicator
-    bits = keys.agg(F.array_sort(F.collect_set("netBits"))).scalar()
     scoped = apply_filter(events, f)
-    wanted = keys.select("indicator_id", "keyKind", "key")
-    inside = _address_keys(scoped, bits).join(wanted, ["keyKind", "key"]).select("sourceIPAddress", "indicator_id")
+    wanted = keys.filter("keyKind <> 'net'").select("indicator_id", "keyKind", "key")
+    inside = networks_of(scoped, keys.filter("keyKind = 'net'").select("indicator_id", "netHex", "netBits"))
     named = _identifier_keys(scoped).join(wanted, ["keyKind", "key"]).select("seq", "indicator_id")
     return scoped.select("seq", "sourceIPAddress").join(inside, "sourceIPAddress").select("seq", "indicator_id").unionByName(named)
 

@@ -1,3 +1,4 @@
+import ipaddress
 import random
 
 import pytest
@@ -90,3 +91,18 @@ def test_indicator_validation_and_match(spark):
         {"eventID": "e3", "sourceIPAddress": "::ffff:10.0.0.1", "userIdentity": {"accessKeyId": "akia1"}}])
     got = {r.eventID: r.indicators for r in hunts.match_indicators(events, indicators).collect()}
     assert got == {"e1": [1, 3, 5], "e2": [2, 4, 5]}
+
+
+def test_nested_networks_of_both_families(spark):
+    """Every address against every network, one by one."""
+    rng = random.Random(9)
+    v4 = [f"10.{rng.randrange(3)}.{rng.randrange(4)}.{rng.randrange(256)}" for _ in range(300)] + ["0.0.0.0", "255.255.255.255", "10.0.255.255", "10.1.0.0", "11.0.0.0"]
+    v6 = [str(ipaddress.ip_address((0x20010DB8 << 96) + (rng.randrange(3) << 64) + rng.randrange(1 << rng.choice([4, 20, 64])))) for _ in range(200)] + ["::", "2001:db9::", "::ffff:10.0.0.1"]
+    nets = {str(ipaddress.ip_network((rng.choice(v4), rng.randrange(8, 33)), strict=False)) for _ in range(80)} | {str(ipaddress.ip_network((rng.choice(v6), rng.randrange(16, 129)), strict=False)) for _ in range(80)}
+    nets = sorted(nets | {"0.0.0.0/0", "::/0", "10.0.0.0/8", "10.0.0.0/16", "10.0.0.0/17", "10.0.128.0/17", "255.255.255.255/32", "2001:db8::/33"})
+    indicators = small_table(spark, [(k, "cidr", n) for k, n in enumerate(nets)], "indicator_id bigint, kind string, value string")
+    keys = hunts.indicator_keys(indicators).select("indicator_id", "netHex", "netBits")
+    addresses = small_table(spark, [(a,) for a in [*v4, *v6, "host.example.com", None, "10.1.2.3"]], "sourceIPAddress string")
+    want = sorted((a, k) for a in {*v4, *v6, "10.1.2.3"} for k, n in enumerate(nets) if ipaddress.ip_address(a) in ipaddress.ip_network(n))
+    assert sorted((r.sourceIPAddress, r.indicator_id) for r in hunts.networks_of(addresses, keys).collect()) == want
+    assert hunts.networks_of(addresses, keys.limit(0)).count() == 0 and hunts.networks_of(addresses.limit(0), keys).count() == 0
