@@ -56,6 +56,13 @@ def test_neighbours_odd_rows(spark):
         assert neighbours.search(few, F.col("vec_id") == 0).count() == max(few.select("vec_id").distinct().count() - 1, 0)
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """An id with two vectors is one candidate, with the smaller one."""
+    data = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (2, [0.9, 0.0]), (2, [0.9, 0.0]), (3, [5.0, 5.0]), (1, [1.0, 0.0])], "vec_id int, embedding array<float>")
+    got = neighbours.search(data, F.col("vec_id") == 1, recall=1.0).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(1, 1, 2), (1, 2, 3)] and abs(got[0].score - 0.1) < 1e-6
+
+
 PIECES = st.sampled_from([*chat.CONTROLS, "\\", "[", "<", "/", "INST]", "s>", "<<", "\n", "é", "文", "a b"])
 
 
