@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .labels import acted_on
+from .labels import acted_on_parsed
 from .resources import reference_array
 
 # Maps and lists stay text inside: one odd member must not lose the others.
@@ -25,7 +25,7 @@ def facts_column(raw: str = "raw") -> Column:
         F.get_json_object(session, "$.attributes.mfaAuthenticated").alias("mfa"),
         r["responseElements"]["credentials"]["expiration"].alias("expiration"), r["responseElements"]["federatedUser"]["arn"].alias("federatedArn"),
         request("roleArn").alias("targetRole"), request("targetPrincipal").alias("targetPrincipal"),
-        reference_array(r["resources"], r["requestParameters"]).alias("refs"), acted_on(raw).alias("actedOn"))
+        reference_array(r["resources"], r["requestParameters"]).alias("refs"), acted_on_parsed(r["resources"], r["requestParameters"]).alias("actedOn"))
 
 
 def with_facts(events: DataFrame) -> DataFrame:
