@@ -159,43 +159,59 @@ def trie_links(keys: np.ndarray, roots: np.ndarray, budget: int, chunk: int = 1
     return forest.label
 
 
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
+    """The columns of some whole groups at a time, about ``most`` rows or one group; rows of a group follow each other."""
+    held, rows, enough = [], 0, most
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < enough:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks()
+        columns = [whole.column(k).to_numpy() for k in range(6)]
+        last = np.flatnonzero(np.any([x[1:] != x[:-1] for x in columns[:4]], axis=0))
+        if len(last):
+            cut = int(last[-1]) + 1
+            yield tuple(x[:cut] for x in columns)
+            held = whole.slice(cut).to_batches()
+        else:
+            held = whole.to_batches()
+        rows = sum(x.num_rows for x in held)
+        enough = max(most, 2 * rows)
+    if rows:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        yield tuple(whole.column(k).to_numpy() for k in range(6))
+
+
 def _walk(budget: int, blocks: int, most: int = 50_000):
-    """Task: rows (choice, bits, i, j, side, fp), whole groups together; emits links (a, b) that span what is near."""
+    """Task: rows (choice, bits, i, j, side, fp), groups in order; emits links (a, b) that span what is near.
+
+    A task holds about ``most`` rows or one group at a time, whatever the size of its partition.
+    """
     cut = _bounds(blocks)
     chosen = list(combinations(range(blocks), blocks - budget))
     orders = [[(cut[k], cut[k + 1]) for k in (*c, *(k for k in range(blocks) if k not in c))] for c in chosen]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        whole = pa.Table.from_batches(parts).combine_chunks()
-        choice, bits, i, j, side, fp = (whole.column(k).to_numpy() for k in range(6))
-        fp = fp.view(np.uint64)
-        moved = np.empty_like(fp)
-        for n, order in enumerate(orders):
-            moved[choice == n] = _moved(fp[choice == n], order)
-        order = np.lexsort((moved, side, j, i, bits, choice))
-        choice, bits, i, j, side, fp, moved = (x[order] for x in (choice, bits, i, j, side, fp, moved))
-        new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in (choice, bits, i, j)], axis=0)]))
-        ends = np.append(new[1:], len(fp))
-        start = 0
-        while start < len(new):  # groups of about ``most`` rows together
-            stop = max(start + 1, int(np.searchsorted(ends, new[start] + most, "right")))
-            first, last = new[start], ends[stop - 1]
-            lows, highs = new[start:stop] - first, ends[start:stop] - first
-            sums = np.concatenate([[0], np.cumsum(side[first:last] == 0)])
+        for choice, bits, i, j, side, fp in _groups(batches, most):
+            fp = fp.view(np.uint64)
+            moved = np.empty_like(fp)
+            for n, order in enumerate(orders):
+                moved[choice == n] = _moved(fp[choice == n], order)
+            order = np.lexsort((moved, side, j, i, bits, choice))
+            choice, bits, i, j, side, fp, moved = (x[order] for x in (choice, bits, i, j, side, fp, moved))
+            lows = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in (choice, bits, i, j)], axis=0)]))
+            highs = np.append(lows[1:], len(fp))
+            sums = np.concatenate([[0], np.cumsum(side == 0)])
             middle = lows + sums[highs] - sums[lows]
-            alone = i[new[start:stop]] == j[new[start:stop]]
+            alone = i[lows] == j[lows]
             roots = np.column_stack([lows, np.where(alone, highs, middle), np.where(alone, lows, middle), highs])
             roots = roots[(roots[:, 0] < roots[:, 1]) & (roots[:, 2] < roots[:, 3]) & (highs - lows > 1)]
-            label = trie_links(moved[first:last], roots, budget)
+            label = trie_links(moved, roots, budget)
             linked = np.flatnonzero(label != np.arange(len(label)))
-            values = fp[first:last].view(np.int64)
+            values = fp.view(np.int64)
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(values[linked]), pa.array(values[label[linked]])], names=["a", "b"])
-            start = stop
-        del whole, choice, bits, i, j, side, fp, moved, order
         release_memory()
 
     return run
@@ -211,7 +227,8 @@ def links(values: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS) -> Data
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .select("choice", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                      (F.col("own") > F.col("other")).cast("int").alias("side"), "fp"))
-    return dealt.repartition("choice", "bits", "i", "j").mapInArrow(_walk(budget, blocks), "a bigint, b bigint")
+    group = ["choice", "bits", "i", "j"]
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_walk(budget, blocks), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, blocks: int = BLOCKS) -> DataFrame:
