@@ -1,7 +1,7 @@
 """Toxicity: linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the byte n-grams (sizes SIZES, A-Z lower-cased, white space as one kind) that occur in it, each
-once.  A feature's value is its log-count ratio: how much likelier it is in toxic than in other texts, from smoothed
+A text's features are the character n-grams (sizes SIZES, A-Z lower-cased, white space as one kind) that occur in it,
+each once; a character of any script counts as one.  A feature's value is its log-count ratio: how much likelier it is in toxic than in other texts, from smoothed
 counts over the labelled sample; a ratio within SURE standard errors of 0 counts as 0.  A logistic regression is
 trained on these values.
 
@@ -33,26 +33,39 @@ SHARDS = 6
 STEPS = 200
 THRESHOLD = 0.5
 RATE, L2 = 2.0, 1e-4
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x9FB21C651E98DF25)
 _PLAIN = np.where(SPACE, 32, LOWER).astype(np.uint8)
 
 
+def characters(plain: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, bounds) of a run of UTF-8 texts: a character is the number its bytes make, bounds count characters."""
+    if not (plain > 127).any():
+        return plain.astype(np.uint64), bounds
+    leads = (plain & 0xC0) != 0x80
+    leads[bounds[bounds < len(plain)]] = True
+    start = np.flatnonzero(leads)
+    size = np.diff(np.append(start, len(plain)))
+    out = plain[start].astype(np.uint64)
+    for k in range(1, 4):
+        more = size > k
+        out[more] = out[more] << np.uint64(8) | plain[start[more] + k]
+    return out, np.concatenate([[0], np.cumsum(leads)])[bounds]
+
+
 def present(data: np.ndarray, bounds: np.ndarray, stamp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(text, features that occur in it) for each size and text of a run; ``stamp`` is scratch space of DIMS numbers."""
-    plain = _PLAIN[data]
+    own, bounds = characters(_PLAIN[data], bounds)
     owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
-    for block, size in enumerate(SIZES):
-        n = len(plain) - size + 1
-        if n <= 0:
+    code = own
+    for size in range(1, min(max(SIZES), len(own)) + 1):
+        if size > 1:
+            code = code[:-1] * _STEP + own[size - 1:]
+        if size not in SIZES:
             continue
-        code = np.zeros(n, np.uint64)
-        for k in range(size):
-            code |= plain[k: k + n].astype(np.uint64) << np.uint64(8 * k)
-        code ^= code >> np.uint64(23)
-        index = ((code * _ODD) >> np.uint64(64 - BITS)).astype(np.int32) + np.int32(block << BITS)
-        inside = owner[:n] == owner[size - 1:]
-        index, own = index[inside], owner[:n][inside]
-        cut = np.searchsorted(own, np.arange(len(bounds)))
+        index = (((code ^ (code >> np.uint64(23))) * _ODD) >> np.uint64(64 - BITS)).astype(np.int32) + np.int32(SIZES.index(size) << BITS)
+        inside = owner[:len(code)] == owner[size - 1:]
+        index, text = index[inside], owner[:len(code)][inside]
+        cut = np.searchsorted(text, np.arange(len(bounds)))
         for k in np.flatnonzero(np.diff(cut)):
             part = index[cut[k]: cut[k + 1]]
             order = np.arange(len(part), dtype=np.int32)
