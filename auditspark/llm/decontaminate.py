@@ -2,12 +2,12 @@
 
 The index holds every word of every document: its rows are segments of whole documents, and a segment lists, for each
 word, the positions at which it stands.  It is written once to the shared folder and needs no exchange.  A search takes
-the item windows; in each segment it starts from a window's rarest word, shifts its positions by the word's offset, and
-keeps the starts that the offset-adjusted lists of the next rarest words have too, until all words agree (phrase
-matches).  With ``slop`` every word, the rarest too, may stand up to that far from its place, inside one document
+the item windows; a segment that lacks a window's lead, the word fewest windows hold, passes it over; else the search
+starts from the window's rarest word in the segment, shifts its positions by the word's offset, and keeps the starts
+that the offset-adjusted lists of the next rarest words have too, until all words agree (phrase matches).  With ``slop`` every word, the rarest too, may stand up to that far from its place, inside one document
 (proximity matches); all starts that allow this are given, moved into the document where they lie outside.
 
-Windows are given to the tasks as broadcasts of at most ``block`` windows (about 100 bytes each).  A task opens one block
+Windows are given to the tasks as broadcasts of at most ``block`` windows (about 60 bytes each).  A task opens one block
 after another and lets go of each before the next, so what it holds does not grow with the item table.
 
 Rows: NULL, empty and wordless texts have no words and never match; repeated rows are answered each; items without
@@ -138,26 +138,46 @@ class _Segment:
         return np.unique(np.clip(found[fits], low[fits], high[fits] - len(length)))
 
 
-def _found(segment: _Segment, blocks: list[tuple[np.ndarray, np.ndarray]], slop: int) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(item number, starts, window size) of every window that occurs in the segment."""
-    for items, words in blocks:  # windows of one size
-        first, length = segment.lists(words)
-        for k in np.flatnonzero(length.min(axis=1) > 0):
-            starts = segment.starts(first[k], length[k], slop)
+class _Windows:
+    """Windows of one size: their items, distinct words, each window's words as numbers, and its lead.
+
+    The lead is the word that fewest windows of the block hold; a segment without it is done with the window.
+    """
+
+    def __init__(self, items: np.ndarray, words: np.ndarray):
+        self.items = items
+        self.terms, places = np.unique(words, return_inverse=True)
+        self.places = places.reshape(words.shape).astype(np.int32)
+        held = np.bincount(self.places.ravel(), minlength=len(self.terms))
+        self.lead = np.take_along_axis(self.places, np.argmin(held[self.places], axis=1)[:, None], axis=1)[:, 0]
+
+    def candidates(self, length: np.ndarray) -> np.ndarray:
+        """Windows of which a segment has every word, given the length of each word's list."""
+        led = np.flatnonzero(length[self.lead] > 0)
+        return led[length[self.places[led]].min(axis=1) > 0]
+
+
+def _found(segment: _Segment, blocks: list[_Windows], slop: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(item number, starts, window size) of every window that occurs in the segment; a word is looked up once a block."""
+    for own in blocks:
+        first, length = segment.lists(own.terms)
+        for k in own.candidates(length):
+            starts = segment.starts(first[own.places[k]], length[own.places[k]], slop)
             if len(starts):
-                yield int(items[k]), starts, words.shape[1]
+                yield int(own.items[k]), starts, own.places.shape[1]
 
 
 def _blocks(spark, wanted: DataFrame, block: int) -> Iterator:
-    """The windows as broadcasts of at most ``block`` windows: (item names, arrays by window size)."""
+    """The windows as broadcasts of at most ``block`` windows: (item names, windows by size)."""
     held: list = []
 
     def packed():
         names = sorted({r["item"] for r in held})
         number = {name: k for k, name in enumerate(names)}
-        sizes = sorted({len(r["words"]) for r in held})
-        by_size = [(np.array([number[r["item"]] for r in held if len(r["words"]) == size]),
-                    np.frombuffer(b"".join(r["words"] for r in held if len(r["words"]) == size), np.uint64).reshape(-1, size // 8)) for size in sizes]
+        by_size = []
+        for size in sorted({len(r["words"]) for r in held}):
+            own = [r for r in held if len(r["words"]) == size]
+            by_size.append(_Windows(np.array([number[r["item"]] for r in own]), np.frombuffer(b"".join(r["words"] for r in own), np.uint64).reshape(-1, size // 8)))
         return spark.sparkContext.broadcast((names, by_size))
 
     for row in wanted.orderBy("item", "words").toLocalIterator():
