@@ -12,13 +12,12 @@ _RECORD = ("sharedEventID string, requestID string, resources array<string>, req
            "responseElements struct<credentials:struct<expiration:string>,federatedUser:struct<arn:string>>")
 
 
-def facts_column(raw: str = "raw") -> Column:
-    """Struct of a record's facts from one parse of its text; readOnly counts only as a JSON boolean."""
-    r = F.from_json(F.col(raw), _RECORD)
+def _facts(r: Column, read_only: Column) -> Column:
+    """Struct of the facts of a parsed record; readOnly counts only as a JSON boolean."""
     session = F.try_element_at(r["userIdentity"], F.lit("sessionContext"))
     request = lambda name: F.try_element_at(r["requestParameters"], F.lit(name))
     return F.struct(
-        F.from_json(F.col(raw), "readOnly boolean")["readOnly"].alias("recordedReadOnly"),
+        read_only["readOnly"].alias("recordedReadOnly"),
         r["sharedEventID"].alias("sharedID"), r["requestID"].alias("requestID"),
         # a member that is present with a null value counts as present
         F.coalesce(F.map_contains_key(r["userIdentity"], "sessionContext"), F.lit(False)).alias("hasContext"),
@@ -29,5 +28,11 @@ def facts_column(raw: str = "raw") -> Column:
 
 
 def with_facts(events: DataFrame) -> DataFrame:
-    """Events with ``facts``: the stored column, or extracted from ``raw`` where none is stored."""
-    return events if "facts" in events.columns else events.withColumn("facts", facts_column())
+    """Events with ``facts``: the stored column, or extracted from ``raw`` where none is stored.
+
+    The parsed record is a column of its own, so that it is made once for all facts taken from it.
+    """
+    if "facts" in events.columns:
+        return events
+    parsed = events.withColumns({"_r": F.from_json("raw", _RECORD), "_readOnly": F.from_json("raw", "readOnly boolean")})
+    return parsed.withColumn("facts", _facts(F.col("_r"), F.col("_readOnly"))).drop("_r", "_readOnly")

@@ -11,15 +11,15 @@ _REF = "struct<arn:string,kind:string,source:string>"
 
 def reference_array(resources: Column, parameters: Column) -> Column:
     """array<struct<arn, kind, source>> from resources[] and top-level request strings."""
+    complete = lambda text: F.coalesce(text.rlike(COMPLETE_ARN), F.lit(False))
     listed = F.transform(resources, lambda x, i: F.struct(
         F.get_json_object(x, "$.ARN").alias("arn"), F.coalesce(F.get_json_object(x, "$.type"), F.lit("")).alias("kind"),
         F.concat(F.lit("resources["), i.cast("string"), F.lit("].ARN")).alias("source")))
-    request = F.transform(F.map_entries(parameters), lambda e: F.struct(
+    request = F.transform(F.filter(F.map_entries(parameters), lambda e: complete(e["value"])), lambda e: F.struct(
         e["value"].alias("arn"), F.lit("Request reference").alias("kind"),
         F.concat(F.lit("requestParameters"), F.to_json(F.array(e["key"]))).alias("source")))
     empty = F.array().cast(f"array<{_REF}>")
-    both = F.concat(F.coalesce(listed, empty), F.coalesce(request, empty))
-    return F.filter(both, lambda r: F.coalesce(r["arn"].rlike(COMPLETE_ARN), F.lit(False)))
+    return F.concat(F.coalesce(F.filter(listed, lambda r: complete(r["arn"])), empty), F.coalesce(request, empty))
 
 
 def resource_refs(events: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.facts import facts_column
+from ..functions.facts import with_facts
 from ..functions.labels import content_key
 from ..functions.records import EVENT_COLUMNS, extract_events
 from ..model import Snapshot
@@ -78,8 +78,8 @@ def new_events(observations: DataFrame, stored: DataFrame | None = None, offset:
     rows = observations.select(*place, "raw").join(assign_seq(firsts, offset).select(*place, "seq"), place)
     if _ROW not in place:  # the same record may be listed twice at one place
         rows = rows.dropDuplicates(place)
-    return extract_events(rows.withColumnRenamed("sha256", "evidenceHash")) \
-        .select("seq", *EVENT_COLUMNS, "raw", "eventKey", "evidenceHash", facts_column().alias("facts"))
+    return with_facts(extract_events(rows.withColumnRenamed("sha256", "evidenceHash"))
+                      .select("seq", *EVENT_COLUMNS, "raw", "eventKey", "evidenceHash"))
 
 
 # --- dataset on storage ---------------------------------------------------------

@@ -14,7 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.facts import facts_column
+from ..functions.facts import with_facts
 from ..session import shared_folder
 from .files import spread
 
@@ -186,11 +186,14 @@ FROM (SELECT event_id AS e, user_id AS u, event_type AS t, props, {d["ms"]} AS m
 def project_events(spark: SparkSession, sf_dir: str, tick_ms: int = 1) -> DataFrame:
     """The projection itself, not stored."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    source = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    source = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), TASK_ROWS)
     source.createOrReplaceTempView("audit_source_events")
     return spark.sql(_text(_SPARK, "audit_source_events", tick_ms))
 
 
+#: Rows of the source that one task projects and parses.
+TASK_ROWS = 100_000
+
 _stored: dict[tuple[str, str, int], str] = {}
 
 
@@ -205,7 +208,7 @@ def audit_events(spark: SparkSession, sf_dir: str, tick_ms: int = 1) -> DataFram
     key = (spark.sparkContext.applicationId, sf_dir, tick_ms)
     if key not in _stored:
         path = f"{shared_folder(spark)}/audit-events-{uuid.uuid4().hex}"
-        project_events(spark, sf_dir, tick_ms).withColumn("facts", facts_column()).write.parquet(path)
+        with_facts(project_events(spark, sf_dir, tick_ms)).write.parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
 
