@@ -36,28 +36,38 @@ def _spelled(text: str) -> tuple[int, int, str]:
     return sign, len(whole) + int(power) - (len(whole + fraction) - len(led)), digits
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _holds(text: Column, op: str, literal: str) -> Column:
-    """Whether a text is a JSON number and ``number op literal``; the text is evaluated once."""
-    return F.get(F.transform(F.array(text), lambda t: _compared(t, op, literal)), F.lit(0))
+    """Whether a text is a JSON number and ``number op literal``; a text that is no number is not taken apart."""
+    return _once(text, lambda t: F.when(t.rlike(r"\A" + NUMBER + r"\z"), _once(_parts(t), lambda p: _compared(p, op, literal))).otherwise(F.lit(False)))
 
 
-def _compared(text: Column, op: str, literal: str) -> Column:
-    sign, place, digits = _spelled(literal)
+def _parts(text: Column) -> Column:
+    """A number's sign, the digits before the point, all its digits without leading zeros, how many those zeros are, its power."""
     group = lambda pattern: F.regexp_extract(text, pattern, 1)
-    whole, power = group(r"^-?([0-9]+)"), group(r"[eE]([+-]?[0-9]+)$")
-    every = F.concat(whole, group(r"\.([0-9]+)"))
-    led = F.ltrim(every, F.lit("0"))
-    own_digits = F.rtrim(led, F.lit("0"))
+    split = F.struct(group(r"^-?([0-9]+)").alias("whole"), group(r"^-?[0-9]+\.([0-9]+)").alias("fraction"), group(r"[eE]([+-]?[0-9]+)\z").alias("power"))
+    return _once(split, lambda s: _once(F.concat(s["whole"], s["fraction"]), lambda every: _once(F.ltrim(every, F.lit("0")), lambda led: F.struct(
+        text.startswith("-").alias("minus"), F.length(s["whole"]).alias("whole"), (F.length(every) - F.length(led)).alias("zeros"),
+        F.rtrim(led, F.lit("0")).alias("digits"), s["power"].alias("power")))))
+
+
+def _compared(parts: Column, op: str, literal: str) -> Column:
+    sign, place, digits = _spelled(literal)
+    power, own_digits = parts["power"], parts["digits"]
     far = F.when(power.startswith("-"), -FAR).otherwise(FAR)
     exponent = F.when(power == "", 0).otherwise(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.coalesce(power.try_cast("bigint"), far))))
-    own_place = F.length(whole) + exponent - (F.length(every) - F.length(led))
-    own_sign = F.when(own_digits == "", 0).when(text.startswith("-"), -1).otherwise(1)
+    own_place = parts["whole"] + exponent - parts["zeros"]
+    own_sign = F.when(own_digits == "", 0).when(parts["minus"], -1).otherwise(1)
     below = (own_place < place) | ((own_place == place) & (own_digits < digits))
     equal = (own_place == place) & (own_digits == digits)
     # -1, 0 or 1: how the text's number lies to the constant
     size = F.when(equal, 0).when(below, -sign).otherwise(sign)
     lies = F.when(own_sign < sign, -1).when(own_sign > sign, 1).otherwise(size if sign else F.lit(0))
-    return F.coalesce(text.rlike(r"\A" + NUMBER + r"\z") & _OPS[op](lies, F.lit(0)), F.lit(False))
+    return F.coalesce(_OPS[op](lies, F.lit(0)), F.lit(False))
 
 
 def quoted_numbers(raw: Column) -> Column:
@@ -82,18 +92,24 @@ def json_path(parts: list[str]) -> str:
     return "$" + "".join(quoted)
 
 
-def number_doubt(raw: str = "raw") -> Column:
+def spelled_copy(raw: str = "raw") -> Column:
+    """The copy of a record in which numbers are marked strings, parsed; NULL where it is no JSON or gives a member twice."""
+    return F.try_parse_json(quoted_numbers(F.col(raw)))
+
+
+def number_doubt(raw: str = "raw", parsed: Column | None = None, copied: Column | None = None) -> Column:
     """Why the numbers of a record are not compared (they match nothing then), NULL for the other records."""
-    unread = variant(raw).isNull() & F.try_parse_json(quoted_numbers(F.col(raw))).isNull()
+    unread = (variant(raw) if parsed is None else parsed).isNull() & (spelled_copy(raw) if copied is None else copied).isNull()
     twice = F.json_array_length(F.concat(F.lit("["), quoted_numbers(F.col(raw)), F.lit("]"))) == 1
     return F.when(F.col(raw).isNotNull() & unread, F.when(twice, "a member is given twice, so its number is not certain").otherwise("the text is no JSON value"))
 
 
-def number_matches(field: str, op: str, literal: str, raw: str = "raw", parsed: Column | None = None) -> Column:
+def number_matches(field: str, op: str, literal: str, raw: str = "raw", parsed: Column | None = None,
+                   copied: Column | None = None) -> Column:
     """Boolean column for ``field op literal``; ``resources.x`` means any element.  Records in doubt match nothing.
 
-    Numbers and strings that spell one are compared.  ``parsed`` is the record as a variant, where a caller has parsed it
-    for several predicates.
+    Numbers and strings that spell one are compared.  ``parsed`` is the record as a variant, and ``copied`` its
+    ``spelled_copy``, where a caller has made them as columns for several predicates.
     """
     if not re.fullmatch(NUMBER, literal):
         raise ValueError(f"{literal!r} is no number to compare with")
@@ -102,7 +118,7 @@ def number_matches(field: str, op: str, literal: str, raw: str = "raw", parsed:
     if '"' in field or "\\" in field:
         raise ValueError(f"numbers are not compared under a name with quotes or backslashes: {field!r}")
     v, parts = variant(raw) if parsed is None else parsed, field.split(".")
-    copy = F.try_parse_json(quoted_numbers(F.col(raw)))
+    copy = spelled_copy(raw) if copied is None else copied
     in_copy = lambda names: json_path([_MARK + n if n.startswith(_MARK) else n for n in names])
 
     def one(value: Column, path: str) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numbers import number_doubt, number_matches
+from ..functions.numbers import number_doubt, number_matches, spelled_copy
+from ..functions.records import variant
 from ..functions.network import in_network, ip_hex
 from ..functions.resources import resource_refs
 from ..model import Filter
@@ -227,6 +228,7 @@ def exact_numbers_far(spark, sf):
     long = F.repeat(F.lit("7"), 5000)
     far = F.when(F.col("eventNo") % 3 == 0, "1e5000").when(F.col("eventNo") % 3 == 1, long).otherwise('5,"far":9')
     rows = ev(spark, sf).select(F.concat(F.lit('{"far":'), far, F.lit(","), F.substring("raw", F.lit(2), F.length("raw"))).alias("raw"))
-    return rows.select(
-        number_matches("far", "gt", "5").alias("a"), number_matches("far", "gt", "8e4999").alias("b"), number_matches("far", "eq", "7" * 5000).alias("c"),
-        number_doubt().isNotNull().alias("d")).agg(*[F.count_if(c).alias(n) for c, n in (("a", "over_five"), ("b", "over_long"), ("c", "same"), ("d", "undecided"))])
+    both = {"parsed": F.col("parsed"), "copied": F.col("copied")}  # made once a record for all predicates
+    return rows.withColumns({"parsed": variant("raw"), "copied": spelled_copy("raw")}).select(
+        number_matches("far", "gt", "5", **both).alias("a"), number_matches("far", "gt", "8e4999", **both).alias("b"),
+        number_matches("far", "eq", "7" * 5000, **both).alias("c"), number_doubt(**both).isNotNull().alias("d")).agg(*[F.count_if(c).alias(n) for c, n in (("a", "over_five"), ("b", "over_long"), ("c", "same"), ("d", "undecided"))])

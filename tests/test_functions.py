@@ -131,3 +131,23 @@ def test_path_counts_merge_over_tasks_and_trees(spark):
         got = path_counts(frame, most=most).groupBy("path").agg(F.sum("rows").alias("r"), F.sum("nulls").alias("n"), F.sum("children").alias("c"), F.flatten(F.collect_list("kinds")).alias("k")).collect()
         assert {r.path: (r.r, r.n, r.c, set(r.k)) for r in got} == {p: (want[p], nulls[p], children[p], kinds[p]) for p in want}
     assert path_counts(frame).count() <= 3 * len(want)
+
+
+def test_a_long_number_is_taken_apart_once_and_predicates_share_the_parsed_record(spark):
+    from auditspark.functions.numbers import number_doubt, number_matches, spelled_copy
+    from auditspark.functions.records import variant
+    texts = ['{"n":' + "7" * 400 + "}", '{"n":1e5000}', '{"n":5,"n":9}', '{"n":"-0.050"}', '{"n":"x.5e1"}', '{"n":0e9}', "{", None, '{"n":-12.5E+3}']
+    rows = small_table(spark, list(enumerate(texts)), "i int, raw string")
+    made = rows.withColumns({"parsed": variant("raw"), "copied": spelled_copy("raw")})
+    both = {"parsed": F.col("parsed"), "copied": F.col("copied")}
+    tests = [("gt", "5"), ("eq", "7" * 400), ("lt", "0"), ("lte", "-0.05"), ("gte", "0"), ("eq", "-12500")]
+    wanted = [(True, True, False, False, True, False), (True, False, False, False, True, False), (False,) * 6, (False, False, True, True, False, False),
+              (False,) * 6, (False, False, False, False, True, False), (False,) * 6, (False,) * 6, (False, False, True, True, False, True)]
+    for frame, given in ((rows, {}), (made, both)):
+        found = frame.select("i", *[number_matches("n", op, n, **given).alias(f"t{k}") for k, (op, n) in enumerate(tests)],
+                             number_doubt(**given).isNotNull().alias("doubt")).orderBy("i").collect()
+        assert [tuple(r)[1:-1] for r in found] == wanted
+        assert [r["doubt"] for r in found] == [False, False, True, False, False, False, True, False, False]
+    # what is taken apart is named once: the plan does not repeat the patterns for every use of the digits
+    plan = rows.select(number_matches("n", "gt", "5"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract") <= 12
