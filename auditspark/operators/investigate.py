@@ -108,38 +108,103 @@ def near_pairs(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation
     return closest.withColumn("deltaMs", F.col("eventMs") - F.col("anchorMs")).drop("anchorMs")
 
 
-def context_totals(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation: str = "all") -> DataFrame:
-    """Number of linked events per anchor (the anchor included) before the closest are chosen.
+def _distinct_links(keyed: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Keys without those that say nothing more: whoever shares a credential shares its principal."""
+    return keyed.filter("kind <> 'credential'") if {"credential", "principal"} <= set(kinds) else keyed
+
+
+def _key_sets(keyed: DataFrame, *columns: str) -> DataFrame:
+    """One row per event with the hashed keys it has, in order."""
+    digest = F.struct(F.xxhash64("kind", "key").alias("a"), F.xxhash64(F.lit("b"), "key", "kind").alias("b"))
+    return keyed.groupBy(*columns).agg(F.sort_array(F.collect_set(digest)).alias("keys"))
+
+
+def _subsets(keys: Column) -> Column:
+    """All parts of a set of keys that are not empty, each as (list, size): the xor of its keys' hashes, and how many."""
+    start = F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("size")))
+    grown = F.aggregate(keys, start, lambda made, k: F.concat(made, F.transform(made, lambda m: F.struct(
+        m["a"].bitwiseXOR(k["a"]).alias("a"), m["b"].bitwiseXOR(k["b"]).alias("b"), (m["size"] + 1).alias("size")))))
+    return F.filter(grown, lambda m: m["size"] > 0)
+
 
-    Events are never paired with anchors.  Events that carry the same keys, of those that any anchor has, form one list;
-    an anchor is paired with every list that shares a key with it, so an event linked by several keys counts once.  In
-    the order (list, time) the events of a window are the difference of two positions: the window's ends are sorted in
-    among the events, and an end's number among all rows less its number among the ends is its position.
+def _events_between(listed: DataFrame, asked: DataFrame, delta: int, seq_type) -> DataFrame:
+    """(anchor, total): the sum of ``sign`` times the events of a list within an anchor's window, over its rows of ``asked``.
+
+    In the order (list, time) the events of a window are the difference of two positions: the window's ends are sorted
+    in among the events, and an end's number among all rows less its number among the ends is its position.
     """
-    delta, kinds = _check(minutes, relation)
-    probes, keyed = _linked(events, anchors, kinds, delta)
-    if len(kinds) == 1 and kinds[0] != "resource":  # one key per event: the key is the list
-        name = F.concat_ws("\x1f", "kind", "key").alias("list")
-        listed, asked = keyed.select(name, "eventMs"), probes.select("anchor", "anchorMs", name)
-    else:
-        keys = F.sort_array(F.collect_set(F.struct("kind", "key")))
-        sets = checkpoint(keyed.groupBy("seq", "eventMs").agg(keys.alias("keys")).withColumn("list", F.sha2(F.to_json("keys"), 256)))
-        lists = sets.select("list", "keys").dropDuplicates(["list"]).select("list", F.inline("keys"))
-        listed, asked = sets.select("list", "eventMs"), probes.join(lists, ["kind", "key"]).select("anchor", "anchorMs", "list").distinct()
     listed = checkpoint(listed)
-    ends = checkpoint(asked.select("anchor", "list", F.inline(F.array(
+    ends = checkpoint(asked.select("anchor", "list", "sign", F.inline(F.array(
         F.struct((F.col("anchorMs") - delta).alias("ms"), F.lit(-1).alias("side")), F.struct((F.col("anchorMs") + delta).alias("ms"), F.lit(1).alias("side"))))))
     order = [F.col(c) for c in ("list", "ms", "side", "anchor")]
-    none = F.lit(None).cast(anchors.schema["seq"].dataType)
-    merged = listed.select(none.alias("anchor"), "list", F.col("eventMs").alias("ms"), F.lit(0).alias("side")).unionByName(ends)
+    none = F.lit(None)
+    merged = listed.select(none.cast(seq_type).alias("anchor"), "list", none.cast("int").alias("sign"), F.col("eventMs").alias("ms"),
+                           F.lit(0).alias("side")).unionByName(ends)
     n_ends = ends.count()
     among_all = number_rows(merged, order, "n", rows=listed.count() + n_ends).filter("side <> 0")
     among_ends = number_rows(ends, order, "m", rows=n_ends)
-    position = among_all.select("anchor", (F.col("side") * F.col("n")).alias("n")).unionByName(among_ends.select("anchor", (-F.col("side") * F.col("m")).alias("n")))
-    total = position.groupBy("anchor").agg(F.sum("n").alias("total"))
+    position = among_all.select("anchor", (F.col("sign") * F.col("side") * F.col("n")).alias("n")) \
+        .unionByName(among_ends.select("anchor", (-F.col("sign") * F.col("side") * F.col("m")).alias("n")))
+    return position.groupBy("anchor").agg(F.sum("n").alias("total"))
+
+
+def context_totals(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation: str = "all", most_keys: int = 8) -> DataFrame:
+    """Number of linked events per anchor (the anchor included) before the closest are chosen.
+
+    Events are never paired with anchors.  An event that shares several keys with an anchor must count once: the events
+    that carry every key of a set form one list, and an anchor adds the lists of its sets of one key, takes off those of
+    two, adds those of three, and so on.  Only sets that an anchor has are kept, so the rows grow with the events and the
+    anchors.  An anchor with more than ``most_keys`` keys is compared with the events by distinct sets of keys instead.
+    """
+    delta, kinds = _check(minutes, relation)
+    probes, keyed = _linked(events, anchors, kinds, delta)
+    seq_type = anchors.schema["seq"].dataType
+    if len(kinds) == 1 and kinds[0] != "resource":  # one key per event: the key is the list
+        name = F.concat_ws("\x1f", "kind", "key").alias("list")
+        total = _events_between(keyed.select(name, "eventMs"), probes.select("anchor", "anchorMs", name, F.lit(1).alias("sign")), delta, seq_type)
+    else:
+        probes, keyed = _distinct_links(probes, kinds), _distinct_links(keyed, kinds)
+        sized = probes.groupBy("anchor").agg(F.count_distinct("kind", "key").alias("n"))
+        few = probes.join(sized.filter(F.col("n") <= most_keys), "anchor", "left_semi")
+        many = checkpoint(probes.join(sized.filter(F.col("n") > most_keys), "anchor", "left_semi"))
+        total = _total_by_sets(few, keyed, delta, seq_type, most_keys)
+        if not many.isEmpty():
+            total = total.unionByName(_total_by_lists(many, keyed, delta, seq_type))
     return _selves(events, anchors).select("anchor").join(total, "anchor", "left").select("anchor", F.coalesce("total", F.lit(1)).alias("total"))
 
 
+def _total_by_sets(probes: DataFrame, keyed: DataFrame, delta: int, seq_type, most_keys: int) -> DataFrame:
+    """Totals by adding and taking off the lists of every set of an anchor's keys."""
+    lists = lambda rows, *columns: rows.select(*columns, F.inline(_subsets(F.col("keys"))))
+    named = F.struct("a", "b").alias("list")
+    asked = checkpoint(lists(_key_sets(probes, "anchor", "anchorMs"), "anchor", "anchorMs").select(
+        "anchor", "anchorMs", named, "size", F.when(F.col("size") % 2 == 1, 1).otherwise(-1).alias("sign")))
+    # an event takes part by the keys that these anchors have; one with many of them meets the anchors' own sets instead
+    wanted = probes.select("kind", "key").distinct()
+    sets = checkpoint(_key_sets(keyed.join(wanted, ["kind", "key"], "left_semi"), "seq", "eventMs"))
+    small = F.size("keys") <= most_keys
+    plain = lists(sets.filter(small), "eventMs").select("eventMs", named)
+    kept = plain.join(asked.select("list").distinct(), "list", "left_semi")
+    held = _key_sets(probes, "anchor", "anchorMs").select("keys").distinct()
+    wide = sets.filter(~small)
+    if not wide.isEmpty():
+        shared = wide.select("seq", "eventMs", F.explode("keys").alias("key"), "keys") \
+            .join(held.select(F.explode("keys").alias("key"), F.col("keys").alias("own")), "key") \
+            .select("seq", "eventMs", F.inline(_subsets(F.array_intersect("keys", "own")))).select("seq", "eventMs", named).distinct()
+        kept = kept.select("list", "eventMs").unionByName(shared.select("list", "eventMs"))
+    return _events_between(kept.select("list", "eventMs"), asked, delta, seq_type)
+
+
+def _total_by_lists(probes: DataFrame, keyed: DataFrame, delta: int, seq_type) -> DataFrame:
+    """Totals of anchors with many keys: events with the same keys form one list, paired with every anchor that shares one."""
+    mine = keyed.join(probes.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    keys = F.sort_array(F.collect_set(F.struct("kind", "key")))
+    sets = checkpoint(mine.groupBy("seq", "eventMs").agg(keys.alias("keys")).withColumn("list", F.sha2(F.to_json("keys"), 256)))
+    lists = sets.select("list", "keys").dropDuplicates(["list"]).select("list", F.inline("keys"))
+    asked = probes.join(lists, ["kind", "key"]).select("anchor", "anchorMs", "list").distinct().withColumn("sign", F.lit(1))
+    return _events_between(sets.select("list", "eventMs"), asked, delta, seq_type)
+
+
 def surrounding(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation: str = "all",
                 cap: int = CONTEXT_LIMIT, totals: bool = False) -> DataFrame:
     """Closest linked events of every anchor with the reasons they are linked.
