@@ -127,25 +127,26 @@ def _subsets(keys: Column) -> Column:
     return F.filter(grown, lambda m: m["size"] > 0)
 
 
-def _events_between(listed: DataFrame, asked: DataFrame, delta: int, seq_type) -> DataFrame:
+def _events_between(listed: DataFrame, asked: DataFrame, delta: int) -> DataFrame:
     """(anchor, total): the sum of ``sign`` times the events of a list within an anchor's window, over its rows of ``asked``.
 
-    In the order (list, time) the events of a window are the difference of two positions: the window's ends are sorted
-    in among the events, and an end's number among all rows less its number among the ends is its position.
+    In the order (list, time) the events of a window are the difference of two positions.  Events of one list and
+    millisecond are one row with their number, and so are equal ends of windows, so a dense moment is no larger than any
+    other.  Positions are running sums inside a slice of the list as long as half a window, which has a row per
+    millisecond at most, and the events of the slices before are added.
     """
-    listed = checkpoint(listed)
-    ends = checkpoint(asked.select("anchor", "list", "sign", F.inline(F.array(
-        F.struct((F.col("anchorMs") - delta).alias("ms"), F.lit(-1).alias("side")), F.struct((F.col("anchorMs") + delta).alias("ms"), F.lit(1).alias("side"))))))
-    order = [F.col(c) for c in ("list", "ms", "side", "anchor")]
-    none = F.lit(None)
-    merged = listed.select(none.cast(seq_type).alias("anchor"), "list", none.cast("int").alias("sign"), F.col("eventMs").alias("ms"),
-                           F.lit(0).alias("side")).unionByName(ends)
-    n_ends = ends.count()
-    among_all = number_rows(merged, order, "n", rows=listed.count() + n_ends).filter("side <> 0")
-    among_ends = number_rows(ends, order, "m", rows=n_ends)
-    position = among_all.select("anchor", (F.col("sign") * F.col("side") * F.col("n")).alias("n")) \
-        .unionByName(among_ends.select("anchor", (-F.col("sign") * F.col("side") * F.col("m")).alias("n")))
-    return position.groupBy("anchor").agg(F.sum("n").alias("total"))
+    ends = asked.select("anchor", "list", "sign", F.inline(F.array(
+        F.struct((F.col("anchorMs") - delta).alias("ms"), F.lit(-1).alias("side")), F.struct((F.col("anchorMs") + delta).alias("ms"), F.lit(1).alias("side")))))
+    moments = listed.groupBy("list", F.col("eventMs").alias("ms")).agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(0))
+    line = moments.unionByName(ends.select("list", "ms", "side").distinct().withColumn("n", F.lit(0).cast("bigint")))
+    line = checkpoint(line.withColumn("slice", F.floor(F.col("ms") / delta)))
+    until = Window.partitionBy("list", "slice").orderBy("ms", "side").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("list").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = line.groupBy("list", "slice").agg(F.sum("n").alias("size")).select(
+        "list", "slice", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    places = line.withColumn("place", F.sum("n").over(until)).filter("side <> 0").join(sizes, ["list", "slice"]).select(
+        "list", "ms", "side", (F.col("place") + F.col("before")).alias("place"))
+    return ends.join(places, ["list", "ms", "side"]).groupBy("anchor").agg(F.sum(F.col("sign") * F.col("side") * F.col("place")).alias("total"))
 
 
 def context_totals(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation: str = "all", most_keys: int = 8) -> DataFrame:
@@ -158,22 +159,21 @@ def context_totals(events: DataFrame, anchors: DataFrame, minutes: int = 5, rela
     """
     delta, kinds = _check(minutes, relation)
     probes, keyed = _linked(events, anchors, kinds, delta)
-    seq_type = anchors.schema["seq"].dataType
     if len(kinds) == 1 and kinds[0] != "resource":  # one key per event: the key is the list
         name = F.concat_ws("\x1f", "kind", "key").alias("list")
-        total = _events_between(keyed.select(name, "eventMs"), probes.select("anchor", "anchorMs", name, F.lit(1).alias("sign")), delta, seq_type)
+        total = _events_between(keyed.select(name, "eventMs"), probes.select("anchor", "anchorMs", name, F.lit(1).alias("sign")), delta)
     else:
         probes, keyed = _distinct_links(probes, kinds), _distinct_links(keyed, kinds)
         sized = probes.groupBy("anchor").agg(F.count_distinct("kind", "key").alias("n"))
         few = probes.join(sized.filter(F.col("n") <= most_keys), "anchor", "left_semi")
         many = checkpoint(probes.join(sized.filter(F.col("n") > most_keys), "anchor", "left_semi"))
-        total = _total_by_sets(few, keyed, delta, seq_type, most_keys)
+        total = _total_by_sets(few, keyed, delta, most_keys)
         if not many.isEmpty():
-            total = total.unionByName(_total_by_lists(many, keyed, delta, seq_type))
+            total = total.unionByName(_total_by_lists(many, keyed, delta))
     return _selves(events, anchors).select("anchor").join(total, "anchor", "left").select("anchor", F.coalesce("total", F.lit(1)).alias("total"))
 
 
-def _total_by_sets(probes: DataFrame, keyed: DataFrame, delta: int, seq_type, most_keys: int) -> DataFrame:
+def _total_by_sets(probes: DataFrame, keyed: DataFrame, delta: int, most_keys: int) -> DataFrame:
     """Totals by adding and taking off the lists of every set of an anchor's keys."""
     lists = lambda rows, *columns: rows.select(*columns, F.inline(_subsets(F.col("keys"))))
     named = F.struct("a", "b").alias("list")
@@ -192,17 +192,17 @@ def _total_by_sets(probes: DataFrame, keyed: DataFrame, delta: int, seq_type, mo
             .join(held.select(F.explode("keys").alias("key"), F.col("keys").alias("own")), "key") \
             .select("seq", "eventMs", F.inline(_subsets(F.array_intersect("keys", "own")))).select("seq", "eventMs", named).distinct()
         kept = kept.select("list", "eventMs").unionByName(shared.select("list", "eventMs"))
-    return _events_between(kept.select("list", "eventMs"), asked, delta, seq_type)
+    return _events_between(kept.select("list", "eventMs"), asked, delta)
 
 
-def _total_by_lists(probes: DataFrame, keyed: DataFrame, delta: int, seq_type) -> DataFrame:
+def _total_by_lists(probes: DataFrame, keyed: DataFrame, delta: int) -> DataFrame:
     """Totals of anchors with many keys: events with the same keys form one list, paired with every anchor that shares one."""
     mine = keyed.join(probes.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
     keys = F.sort_array(F.collect_set(F.struct("kind", "key")))
     sets = checkpoint(mine.groupBy("seq", "eventMs").agg(keys.alias("keys")).withColumn("list", F.sha2(F.to_json("keys"), 256)))
     lists = sets.select("list", "keys").dropDuplicates(["list"]).select("list", F.inline("keys"))
     asked = probes.join(lists, ["kind", "key"]).select("anchor", "anchorMs", "list").distinct().withColumn("sign", F.lit(1))
-    return _events_between(sets.select("list", "eventMs"), asked, delta, seq_type)
+    return _events_between(sets.select("list", "eventMs"), asked, delta)
 
 
 def surrounding(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation: str = "all",

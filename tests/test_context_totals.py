@@ -50,3 +50,12 @@ def test_rows_grow_with_anchors_and_not_with_the_events_of_a_key(spark, monkeypa
     totals = investigate.context_totals(events, events.filter("seq <= 20").select("seq"), 5, "related").agg(F.min("total"), F.max("total"), F.count(F.lit(1))).first()
     assert tuple(totals) == (60, 60, 20)
     assert asked == [20 * 7]  # the parts of three keys
+
+
+def test_events_of_a_moment_are_one_row(spark, monkeypatch):
+    events = make_events(spark, [_record(n, 1, "p", f"10.0.1.{n}") for n in range(60)] + [_record(60, 4, "p", "10.0.2.1"), _record(61, 9, "p", "10.0.2.1")])
+    lines, keep = [], investigate.checkpoint
+    monkeypatch.setattr(investigate, "checkpoint", lambda rows: (lines.append(rows.count()) if "slice" in rows.columns else None) or keep(rows))
+    totals = investigate.context_totals(events, events.filter("seq <= 20 OR seq >= 61").select("seq"), 5, "all").collect()
+    assert {r["anchor"]: r["total"] for r in totals} == {**{n: 61 for n in range(1, 21)}, 61: 62, 62: 2}
+    assert lines == [3 + 2 * 3]  # three moments, and the ends of three windows
