@@ -192,7 +192,7 @@ def project_events(spark: SparkSession, sf_dir: str, tick_ms: int = 1) -> DataFr
 
 
 #: Rows of the source that one task projects and parses.
-TASK_ROWS = 100_000
+TASK_ROWS = 20_000
 
 _stored: dict[tuple[str, str, int], str] = {}
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditspark.functions.facts import with_facts
 from auditspark.session import small_table
+from auditspark.sources import audit_view
 from auditspark.sources.files import spread
 
 
@@ -25,3 +26,11 @@ def test_facts_keep_what_odd_members_hold(spark):
     assert [tuple(ref) for ref in rows[0]["refs"]] == [(arn, "T", "resources[0].ARN"), (arn, "Request reference", 'requestParameters["a"]')]
     assert [r["refs"] for r in rows[1:]] == [[], [], []]
     assert all(r["hasContext"] is False for r in rows)
+
+
+def test_tasks_that_import_stay_small(spark, tmp_path):
+    kind = F.element_at(F.array(*[F.lit(t) for t in ("view", "click", "purchase", "signup", "error")]), (F.col("id") % 5 + 1).cast("int"))
+    spark.range(0, 90_000, numPartitions=1).select(F.col("id").alias("event_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), (F.col("id") % 50).alias("user_id"),
+                                                   kind.alias("event_type"), F.lit('{"k": 1}').alias("props")).write.parquet(str(tmp_path / "events.parquet"))
+    sizes = [r["count"] for r in audit_view.project_events(spark, str(tmp_path)).filter("copy = 0").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 90_000 and max(sizes) <= 20_500
