@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..model import Filter, Snapshot
 from ..operators.search import apply_filter
+from ..session import checkpoint
 from .pointer import write_text
 
 
@@ -38,11 +39,16 @@ def exported(spark, path: str) -> DataFrame:
     return spark.read.text(f"{path}/records").select(F.when(value.startswith("["), F.get(F.from_json(value, "array<string>"), F.lit(0))).otherwise(value).alias("raw"))
 
 
-def bundle_tables(context: DataFrame, events: DataFrame, observations: DataFrame) -> dict[str, DataFrame]:
-    """Events, every source copy and one manifest row per event of a context (a frame with ``seq``)."""
-    chosen = events.join(context.select("seq").distinct(), "seq", "left_semi")
-    copies = observations.join(chosen.select("seq", "eventKey", "evidenceHash", F.sha2("raw", 256).alias("rawHash")), "eventKey") \
-        .withColumn("displayed", F.col("sha256") == F.col("evidenceHash"))
+def bundle_tables(context: DataFrame, events: DataFrame, observations: DataFrame, store: bool = False) -> dict[str, DataFrame]:
+    """Events, every source copy and one manifest row per event of a context (a frame with ``seq``).
+
+    With ``store`` the chosen events and copies are stored, so that what reads them does not look for them in all
+    observations again.
+    """
+    stored = checkpoint if store else (lambda rows: rows)
+    chosen = stored(events.join(context.select("seq").distinct(), "seq", "left_semi"))
+    copies = stored(observations.join(chosen.select("seq", "eventKey", "evidenceHash", F.sha2("raw", 256).alias("rawHash")), "eventKey")
+                    .withColumn("displayed", F.col("sha256") == F.col("evidenceHash")))
     manifest = copies.groupBy("seq").agg(
         F.count(F.lit(1)).alias("copies"), F.sum(F.octet_length("original")).alias("bytes"),
         F.count_distinct("sha256").alias("variants"), F.count_if("displayed").alias("displayed"),
@@ -54,7 +60,7 @@ def bundle_tables(context: DataFrame, events: DataFrame, observations: DataFrame
 def export_bundle(context: DataFrame, events: DataFrame, observations: DataFrame, path: str, max_copies: int | None = None,
                   max_source_bytes: int | None = None, max_metadata_bytes: int | None = None) -> dict[str, int]:
     """Check integrity and, where given, bounds, then write the three tables; returns the totals."""
-    tables = bundle_tables(context, events, observations)
+    tables = bundle_tables(context, events, observations, store=True)
     meta = tables["events"].agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
     sums = tables["manifest"].agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (
         "copies", "bytes", "hashMismatches", "displayMismatches")], F.count_if(F.col("displayed") == 0).alias("undisplayed")).first()

@@ -250,3 +250,13 @@ def test_every_view_can_be_read(spark, tmp_path):
     names = register_views(spark, *maintain.open_dataset(spark, str(tmp_path / "data")), prefix="t_")
     counts = {name: spark.sql(f"SELECT * FROM {name}").count() for name in names}
     assert counts["t_events"] == 2 and counts["t_observations"] == 3 and counts["t_search_stats"] == 1
+
+
+def test_tables_of_a_bundle_come_from_the_stored_copies(spark, tmp_path):
+    small_table(spark, [(1, "k1", "h", "{}"), (2, "k2", "h", "{}")], "seq bigint, eventKey string, evidenceHash string, raw string").write.parquet(str(tmp_path / "events"))
+    small_table(spark, [("k1", "h", "{}", "{}"), ("k1", "i", "{ }", "{ }"), ("k2", "h", "{}", "{}")], "eventKey string, sha256 string, raw string, original string") \
+        .write.parquet(str(tmp_path / "copies"))
+    events, copies = (spark.read.parquet(str(tmp_path / name)) for name in ("events", "copies"))
+    tables = sinks.bundle_tables(events.filter("seq = 1").select("seq"), events, copies, store=True)
+    assert {name: table.inputFiles() for name, table in tables.items()} == {"events": [], "sources": [], "manifest": []}
+    assert tables["manifest"].select("seq", "copies", "variants", "displayed").collect() == [(1, 2, 2, 1)]
