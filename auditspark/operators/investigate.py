@@ -19,6 +19,8 @@ RELATIONS = {
     "request": ("request",), "resources": ("resource",),
     "related": ("shared", "credential", "principal", "ip", "request", "resource"),
 }
+# Recorded values by which two events are linked.
+COMPARED = ("accessKeyId", "identityArn", "sourceIPAddress", "sharedID", "requestID", "eventSource", "eventName", "recipientAccountId", "awsRegion", "arns")
 
 
 def with_context_columns(events: DataFrame) -> DataFrame:
@@ -76,18 +78,57 @@ def _selves(events: DataFrame, anchors: DataFrame) -> DataFrame:
         .select(F.col("seq").alias("anchor"), F.col("eventMs").alias("anchorMs"))
 
 
+def _of_anchor(compared: DataFrame) -> DataFrame:
+    """Compared columns under the names of the anchor's side."""
+    return compared.select(F.col("seq").alias("anchor"), *[F.col(c).alias("a_" + c) for c in COMPARED])
+
+
+def _reason(kind: str, value: Column) -> Column:
+    return F.array(F.struct(F.lit(kind).alias("kind"), value.alias("value")))
+
+
+def _reasons() -> Column:
+    """Recorded links between an anchor and another event, in fixed order; NULL when there is none."""
+    def same(*names: str) -> Column:
+        parts = [(F.coalesce("a_" + n, F.lit("")) != "") & (F.col("a_" + n) == F.col(n)) for n in names]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out & part
+        return F.coalesce(out, F.lit(False))
+
+    nothing = F.array().cast("array<struct<kind:string,value:string>>")
+    when = lambda test, kind, value: F.when(test, _reason(kind, value)).otherwise(nothing)
+    arns = F.coalesce(F.arrays_overlap("a_arns", "arns"), F.lit(True))  # not certain beside a NULL
+    shared_arns = F.array_sort(F.array_intersect("a_arns", "arns"))
+    credential, principal, ip = same("accessKeyId", "identityArn"), same("identityArn"), same("sourceIPAddress")
+    shared, request = same("sharedID", "eventSource", "eventName"), same("requestID", "eventSource", "eventName", "recipientAccountId", "awsRegion")
+    literal_ip = ip_hex(F.col("a_sourceIPAddress")).isNotNull()
+    found = F.concat(
+        when(shared, "shared", F.col("a_sharedID")),
+        when(request, "request", F.col("a_requestID")),
+        F.when(credential, _reason("credential", F.col("a_accessKeyId"))).when(principal, _reason("principal", F.col("a_identityArn"))).otherwise(nothing),
+        F.coalesce(F.when(arns, F.transform(shared_arns, lambda a: F.struct(F.lit("resource").alias("kind"), a.alias("value")))), nothing),
+        when(ip & literal_ip, "ip", F.col("a_sourceIPAddress")))
+    # most events of a window share nothing, and are told by the comparisons alone
+    return F.when(shared | request | principal | ip | arns, F.when(F.size(found) > 0, found))
+
+
 def near_pairs(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation: str = "all",
-               cap: int = CONTEXT_LIMIT) -> DataFrame:
+               cap: int = CONTEXT_LIMIT, compared: DataFrame | None = None) -> DataFrame:
     """(anchor, seq, eventMs, deltaMs, rank): the ``cap`` closest linked events of every anchor, exactly.
 
     Linked events are numbered twice: by (link key, time, seq) and by (link key, time backwards, seq).  From the number
     at which an anchor's own millisecond begins in the first order, and ends in the second, the next ``cap`` numbers
     hold everything that can be among the closest on that side.  So an anchor meets at most 2 * ``cap`` events per
     key, however many share its window or millisecond, and the join runs on blocks of numbers, which are all one size.
+
+    ``compared`` has a row of compared columns per seq, each seq once: then ``reasons`` is made where an anchor meets an
+    event, so these columns move once per event and side, and a pair moves once, by its anchor, as a few numbers.
     """
     delta, kinds = _check(minutes, relation)
     probes, keyed = _linked(events, anchors, kinds, delta)
     count = keyed.count()
+    made = [] if compared is None else ["reasons"]
 
     def one_side(forwards: bool) -> DataFrame:
         ms = F.col("eventMs").asc() if forwards else F.col("eventMs").desc()
@@ -97,14 +138,25 @@ def near_pairs(events: DataFrame, anchors: DataFrame, minutes: int = 5, relation
         asked = probes.join(moments, ["kind", "key", "anchorMs"]).withColumn("_block", F.explode(F.array_distinct(F.array(
             F.floor(F.col("_from") / cap), F.floor((F.col("_from") + cap - 1) / cap)))))
         rows = rows.withColumn("_block", F.floor(F.col("_n") / cap)).withColumnsRenamed({"kind": "_kind", "key": "_key"})
+        # a millisecond's own events are met forwards; an anchor is no neighbour of its own
+        beside = F.lit(True) if forwards else F.col("eventMs") != F.col("anchorMs")
         inside = (F.col("_n") >= F.col("_from")) & (F.col("_n") < F.col("_from") + cap) & (F.col("kind") == F.col("_kind")) \
-            & (F.col("key") == F.col("_key")) & (F.abs(F.col("eventMs") - F.col("anchorMs")) <= delta)
-        return asked.join(rows, "_block").filter(inside).select("anchor", "anchorMs", "seq", "eventMs")
-
-    selves = _selves(events, anchors).select("anchor", "anchorMs", F.col("anchor").alias("seq"), F.col("anchorMs").alias("eventMs"))
-    unique = one_side(True).unionByName(one_side(False)).unionByName(selves).dropDuplicates(["anchor", "seq"])
+            & (F.col("key") == F.col("_key")) & (F.abs(F.col("eventMs") - F.col("anchorMs")) <= delta) & beside & ~F.col("seq").eqNullSafe(F.col("anchor"))
+        if compared is not None:
+            asked, rows = asked.join(_of_anchor(compared), "anchor"), rows.join(compared, "seq")
+        pairs = asked.join(rows, "_block").filter(inside)
+        return pairs.select("anchor", "anchorMs", "seq", "eventMs", *([_reasons().alias("reasons")] if made else []))
+
+    own = [_reason("anchor", F.lit("")).alias("reasons")] if made else []
+    selves = _selves(events, anchors).dropDuplicates(["anchor"]).select("anchor", "anchorMs", F.col("anchor").alias("seq"), F.col("anchorMs").alias("eventMs"), *own)
+    # all rows of an anchor meet by one exchange, which serves the choice of different ones and the ranks
+    met = one_side(True).unionByName(one_side(False)).unionByName(selves).repartition("anchor")
+    if compared is None:
+        met = met.dropDuplicates(["anchor", "seq"])
+    elif kinds == RELATIONS["resources"] or len(kinds) > 1:  # an event may share several keys
+        met = met.distinct()
     gap = F.abs(F.col("eventMs") - F.col("anchorMs"))
-    closest = top_rows(unique, ["anchor"], [(F.col("anchor") == F.col("seq")).desc(), gap.asc(), F.col("eventMs").asc(), F.col("seq").asc()], cap)
+    closest = top_rows(met, ["anchor"], [(F.col("anchor") == F.col("seq")).desc(), gap.asc(), F.col("eventMs").asc(), F.col("seq").asc()], cap)
     return closest.withColumn("deltaMs", F.col("eventMs") - F.col("anchorMs")).drop("anchorMs")
 
 
@@ -214,41 +266,19 @@ def surrounding(events: DataFrame, anchors: DataFrame, minutes: int = 5, relatio
     that the window holds more than ``cap``, and with ``totals`` a row has the number of
     linked events in ``total``.
     """
-    pairs = checkpoint(near_pairs(events, anchors, minutes, relation, cap + 1))  # one row more per anchor shows that there are more
-    more = pairs.groupBy("anchor").agg((F.max("rank") > cap).alias("truncated"))
+    compared = with_context_columns(events).select("seq", *COMPARED)
+    repeated = events.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR seq IS NULL")
+    once = repeated.isEmpty()
+    pairs = near_pairs(events, anchors, minutes, relation, cap + 1, compared if once else None)  # one row more per anchor shows that there are more
+    rows = pairs.withColumn("truncated", F.max("rank").over(Window.partitionBy("anchor")) > cap).filter(F.col("rank") <= cap)
+    if not once:  # every row of a repeated seq is compared
+        rows = checkpoint(rows)
+        narrow = compared.join(rows.select("seq").distinct(), "seq", "left_semi")  # every anchor is in its own context
+        rows = rows.join(narrow, "seq").join(_of_anchor(narrow), "anchor").withColumn(
+            "reasons", F.when(F.col("seq") == F.col("anchor"), _reason("anchor", F.lit(""))).otherwise(_reasons()))
     if totals:
-        more = more.join(context_totals(events, anchors, minutes, relation), "anchor")
-    pairs = pairs.filter(F.col("rank") <= cap)
-    compared = ("accessKeyId", "identityArn", "sourceIPAddress", "sharedID", "requestID", "eventSource", "eventName",
-                "recipientAccountId", "awsRegion", "arns")
-    # every anchor is in its own context, so these seqs cover both sides; texts are parsed for them only
-    shown = events.join(pairs.select("seq").distinct(), "seq", "left_semi")
-    narrow = with_context_columns(shown).select("seq", *compared)
-    left = narrow.select(F.col("seq").alias("anchor"), *[F.col(c).alias("a_" + c) for c in compared])
-    rows = pairs.join(narrow, "seq").join(left, "anchor").join(more, "anchor")
-
-    def same(*names: str) -> Column:
-        parts = [(F.coalesce("a_" + n, F.lit("")) != "") & (F.col("a_" + n) == F.col(n)) for n in names]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out & part
-        return F.coalesce(out, F.lit(False))
-
-    reason = lambda kind, value: F.array(F.struct(F.lit(kind).alias("kind"), value.alias("value")))
-    nothing = F.array().cast("array<struct<kind:string,value:string>>")
-    when = lambda test, kind, value: F.when(test, reason(kind, value)).otherwise(nothing)
-    shared_arns = F.array_sort(F.array_intersect("a_arns", "arns"))
-    credential, principal = same("accessKeyId", "identityArn"), same("identityArn")
-    literal_ip = ip_hex(F.col("a_sourceIPAddress")).isNotNull()
-    found = F.concat(
-        when(same("sharedID", "eventSource", "eventName"), "shared", F.col("a_sharedID")),
-        when(same("requestID", "eventSource", "eventName", "recipientAccountId", "awsRegion"), "request", F.col("a_requestID")),
-        F.when(credential, reason("credential", F.col("a_accessKeyId"))).when(principal, reason("principal", F.col("a_identityArn"))).otherwise(nothing),
-        F.coalesce(F.transform(shared_arns, lambda a: F.struct(F.lit("resource").alias("kind"), a.alias("value"))), nothing),
-        when(literal_ip & same("sourceIPAddress"), "ip", F.col("a_sourceIPAddress")))
-    reasons = F.when(F.col("seq") == F.col("anchor"), reason("anchor", F.lit(""))) \
-        .when(F.size(found) == 0, reason("time", F.lit(""))).otherwise(found)
-    return rows.withColumn("reasons", reasons).select("anchor", "seq", "eventMs", "deltaMs", "rank", "reasons", "truncated", *(["total"] if totals else []))
+        rows = rows.join(context_totals(events, anchors, minutes, relation), "anchor")
+    return rows.select("anchor", "seq", "eventMs", "deltaMs", "rank", F.coalesce("reasons", _reason("time", F.lit(""))).alias("reasons"), "truncated", *(["total"] if totals else []))
 
 
 def anchor_resources(events: DataFrame, anchors: DataFrame, limit: int = RESOURCE_LIMIT) -> DataFrame:
