@@ -105,12 +105,22 @@ def parse_network(text: str):
     return ipaddress.ip_network(f"{ipaddress.ip_address(address)}{slash}{bits}", strict=False)
 
 
+def _v4_pattern(net: ipaddress.IPv4Network) -> str:
+    """Pattern of the addresses of a network: its whole octets, the values of the one that is cut, any others."""
+    whole, rest = divmod(net.prefixlen, 8)
+    octets = net.network_address.packed
+    cut = ["(?:" + "|".join(str(octets[whole] + k) for k in range(1 << (8 - rest))) + ")"] if rest else []
+    fixed = [*map(str, octets[:whole]), *cut]
+    return r"\A" + r"\.".join([*fixed, *[_OCTET] * (4 - len(fixed))]) + r"\z"
+
+
 def in_network(text: Column, network: str) -> Column:
     """Containment in one constant network; text that is no address never matches."""
     net = parse_network(network)
-    width = 8 if net.version == 4 else 32
-    key = f"{int(net.network_address):0{width}x}"
-    probe = _v4_key(text) if net.version == 4 else _v6_key(text)
+    if net.version == 4:
+        return F.coalesce(text.rlike(_v4_pattern(net)), F.lit(False))
+    key = f"{int(net.network_address):032x}"
+    probe = _v6_key(text)
     whole, rest = divmod(net.prefixlen, 4)
     hit = probe.startswith(key[:whole]) if whole else probe.isNotNull()
     if rest:

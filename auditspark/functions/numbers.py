@@ -122,7 +122,12 @@ def number_matches(field: str, op: str, literal: str, raw: str = "raw", parsed:
     in_copy = lambda names: json_path([_MARK + n if n.startswith(_MARK) else n for n in names])
 
     def one(value: Column, path: str) -> Column:
-        return _holds(F.try_variant_get(value, path, "string"), op, literal)
+        """A number is looked for where a member is, and a short whole one is compared as it is."""
+        text, short = F.try_variant_get(value, path, "string"), r"-?(?:0|[1-9][0-9]{0,17})"
+        quick = F.when(text.isNull(), F.lit(False))
+        if re.fullmatch(short, literal):
+            quick = quick.when(text.rlike(rf"\A{short}\z"), _OPS[op](text.cast("bigint"), F.lit(int(literal))))
+        return quick.otherwise(_holds(text, op, literal))
 
     def marked(value: Column, path: str) -> Column:
         return _holds(F.regexp_replace(F.try_variant_get(value, path, "string"), f"^{_MARK}", ""), op, literal)
