@@ -137,6 +137,7 @@ def start_intake(messages: DataFrame, out_dir: str, rejects_dir: str, checkpoint
 
     opened = open_envelopes(messages if write_only is None else capture_scope(messages, write_only))
     opened = opened.observe(IntakeCounts.NAME, F.count(F.lit(1)).alias("messages"), F.count_if(F.col("raw").isNull()).alias("rejects"))
+    opened = opened.withColumn("value", F.when(F.col("raw").isNull(), F.col("value")))  # the message moves on for rejects only
     if within is not None:
         opened = without_redelivered(opened, within, arrival)
     writer = opened.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_dir)

@@ -1,12 +1,14 @@
 """Streams over restarts: bounded state of redelivered messages, counted rejects, followed commits."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from auditspark.operators import maintain
 from auditspark.session import small_table
+from auditspark.sources.readers import record_of
 from auditspark.streaming import intake
 
 
@@ -81,3 +83,22 @@ def test_followed_commits(spark, tmp_path):
     follow()
     follow()
     assert seen[2:] == [(5, [1])]
+
+
+def test_a_message_is_read_in_one_pass(monkeypatch):
+    made = []
+
+    class Counted(json.JSONDecoder):
+        def __init__(self, *args, **more):
+            made.append(1)
+            super().__init__(*args, **more)
+
+    record = '{"eventName":"N","eventID":"1",' + ",".join(f'"m{k}": {k}.10' for k in range(40)) + "}"
+    decoder = json.JSONDecoder()
+    monkeypatch.setattr(json, "JSONDecoder", Counted)
+    assert record_of(record) == record and len(made) == 1
+    wrapped = {f' {{"detail-type":"t","detail": {record} }} ': record, json.dumps({"Type": "Notification", "Message": record}): record, f'{{"detail":1,"detail":{record}}}': record,
+               record + "x": None, "[1]": None, "no record " + record: None, "": None, None: None, '{"eventName":"N","eventID":1}': None, '{"eventName":"N","eventID":"1",}': None,
+               json.dumps({"Type": "Notification", "Message": 5, "eventName": "a", "eventID": "b"}): json.dumps({"Type": "Notification", "Message": 5, "eventName": "a", "eventID": "b"})}
+    for message, want in wrapped.items():
+        assert record_of(message, decoder=decoder) == want, message
