@@ -14,7 +14,7 @@ from ..functions.records import EVENT_COLUMNS, extract_events
 from ..model import Snapshot
 from ..plans import keyindex
 from ..plans.numbering import number_rows
-from ..session import small_table
+from ..session import freed_shuffles, scratch, small_table
 from ..sources.pointer import create_text, names_in, read_text
 from .aggregates import top_rows
 
@@ -50,34 +50,45 @@ def first_copies(observations: DataFrame) -> DataFrame:
         .select("eventKey", "position", "_first.raw", F.col("_first.sha256").alias("evidenceHash"))
 
 
-def assign_seq(first: DataFrame, offset: int = 0) -> DataFrame:
+def assign_seq(first: DataFrame, offset: int = 0, folder: str | None = None) -> DataFrame:
     """Number events by (eventTime text, eventKey), missing times last."""
-    return number_rows(first, [F.col("eventTime").asc_nulls_last(), F.col("eventKey").asc()], "seq", offset)
+    return number_rows(first, [F.col("eventTime").asc_nulls_last(), F.col("eventKey").asc()], "seq", offset, folder=folder)
 
 
 def _first_places(observations: DataFrame) -> DataFrame:
-    """Where the first copy of every key lies, and its time: narrow rows, collapsed map-side."""
+    """Where the first copy of every key lies, and its time: narrow rows, collapsed map-side.
+
+    A written observation is found by its number alone; where it came from only tells which copy is the first.
+    """
     time = F.from_json("raw", "eventTime string")["eventTime"].alias("eventTime")
-    place = ["position", "sha256", *([_ROW] if _ROW in observations.columns else [])]
-    return observations.groupBy("eventKey").agg(F.min(F.struct(*place, time)).alias("_first")).select("eventKey", "_first.*")
+    if _ROW in observations.columns:
+        first = F.min(F.struct("position", F.unhex("sha256"), _ROW, time))  # a hash as bytes has the order of its digits
+        return observations.groupBy("eventKey").agg(first.alias("_first")).select("eventKey", f"_first.{_ROW}", "_first.eventTime")
+    return observations.groupBy("eventKey").agg(F.min(F.struct("position", "sha256", time)).alias("_first")).select("eventKey", "_first.*")
 
 
-def new_events(observations: DataFrame, stored: DataFrame | None = None, offset: int = 0, known: DataFrame | None = None) -> DataFrame:
+def new_events(observations: DataFrame, stored: DataFrame | None = None, offset: int = 0, known: DataFrame | None = None,
+               folder: str | None = None) -> DataFrame:
     """Event rows a batch adds: first copies of keys not stored yet, extracted and numbered.
 
     Known keys (``known``, or those of the batch that ``stored`` holds) fall out first.  Only narrow rows are collapsed,
     sorted and numbered; the text of a record moves once, to meet the number of its place, and only new events are
-    parsed.  The join is by place, not by key, so the copies of one key do not meet.
+    parsed.  The join is by place, not by key, so the copies of one key do not meet.  With a scratch ``folder`` the
+    narrow rows are stored there, and the result holds as long as the folder.
     """
     firsts = _first_places(observations)
     if stored is not None:
         known = stored.select("eventKey").join(observations.select("eventKey"), "eventKey", "left_semi")
     if known is not None:
         firsts = firsts.join(known, "eventKey", "left_anti")
-    place = [c for c in firsts.columns if c != "eventTime"]
-    rows = observations.select(*place, "raw").join(assign_seq(firsts, offset).select(*place, "seq"), place)
-    if _ROW not in place:  # the same record may be listed twice at one place
-        rows = rows.dropDuplicates(place)
+    numbered = assign_seq(firsts, offset, folder)
+    if _ROW in firsts.columns:
+        placed = observations.filter("position IS NOT NULL AND sha256 IS NOT NULL AND eventKey IS NOT NULL")
+        rows = placed.select(_ROW, "eventKey", "sha256", "raw").join(numbered.select(_ROW, "seq"), _ROW)
+    else:
+        place = [c for c in firsts.columns if c != "eventTime"]
+        rows = observations.select(*place, "raw").join(numbered.select(*place, "seq"), place)
+        rows = rows.dropDuplicates(place)  # the same record may be listed twice at one place
     return with_facts(extract_events(rows.withColumnRenamed("sha256", "evidenceHash"))
                       .select("seq", *EVENT_COLUMNS, "raw", "eventKey", "evidenceHash"))
 
@@ -123,6 +134,16 @@ def _read_parts(spark: SparkSession, home: str, table: str, parts: list[dict]) -
     return spark.read.option("basePath", f"{home}/{table}").parquet(*_part_paths(home, table, parts)).drop("part")
 
 
+def _unrepeated(observed: DataFrame) -> DataFrame:
+    """Observations as they are written: an original that is the record itself is left out.  One that is missing has no hash."""
+    return observed.withColumn("original", F.when(F.col("original") == F.col("raw"), None).otherwise(F.col("original")))
+
+
+def _repeated(written: DataFrame) -> DataFrame:
+    """Written observations with every original."""
+    return written.withColumn("original", F.when(F.col("original").isNull() & F.col("sha256").isNotNull(), F.col("raw")).otherwise(F.col("original")))
+
+
 def _write_batch(records: DataFrame, out_dir: str, state: dict, batch: str) -> bool:
     """Write a batch beside the committed ones and note it in ``state``; False when it has no records.
 
@@ -132,7 +153,8 @@ def _write_batch(records: DataFrame, out_dir: str, state: dict, batch: str) -> b
     identity = F.sha2(F.concat_ws("\u0001", F.lit(state["generation"]), F.lit(batch), "source", F.col("ordinal").cast("string")), 256)
     observed = observations_of(records).withColumns({"observationId": identity, _ROW: F.monotonically_increasing_id()})
     path = f"{home}/observations/part={part['dir']}"
-    observed.withColumn("eventDate", F.to_date("observedAt")).write.parquet(path)
+    with freed_shuffles(spark):
+        _unrepeated(observed).withColumn("eventDate", F.to_date("observedAt")).write.option("compression", "zstd").parquet(path)
     saved = spark.read.schema(observed.schema).parquet(path)
     first = invalid_records(saved).select("source", "ordinal").first()
     if first is not None:
@@ -140,14 +162,16 @@ def _write_batch(records: DataFrame, out_dir: str, state: dict, batch: str) -> b
     part["observations"] = saved.count()
     if not part["observations"]:
         return False
-    known = keyindex.known(saved, home, state["keys"])
-    events = new_events(saved, None, state["max_seq"], known).withColumn("eventDate", F.to_date("ts"))
-    events.write.partitionBy("eventDate").parquet(f"{home}/events/part={part['dir']}")
+    with scratch(spark) as folder, freed_shuffles(spark):
+        known = keyindex.known(saved, home, state["keys"])
+        events = new_events(saved, None, state["max_seq"], known, folder).withColumn("eventDate", F.to_date("ts"))
+        events.write.partitionBy("eventDate").option("compression", "zstd").parquet(f"{home}/events/part={part['dir']}")
     fields = T.StructType([f for f in events.schema if f.name != "eventDate"])
     written = spark.read.schema(fields).option("recursiveFileLookup", "true").parquet(f"{home}/events/part={part['dir']}")
     part["events"], top = written.agg(F.count(F.lit(1)), F.max("seq")).first()
     if part["events"]:
-        state["keys"] = keyindex.merged(spark, home, [*state["keys"], keyindex.write_run(written, home, part["events"])])
+        with freed_shuffles(spark):
+            state["keys"] = keyindex.merged(spark, home, [*state["keys"], keyindex.write_run(written, home, part["events"])])
         state["max_seq"] = top
     part["last_seq"] = state["max_seq"]
     state["parts"].append(part)
@@ -198,7 +222,7 @@ def compact_dataset(spark: SparkSession, out_dir: str, small: int = SMALL_PART)
     for table, dates in (("events", ["eventDate"]), ("observations", [])):
         part[table] = sum(p[table] for p in few)
         if part[table]:
-            _read_parts(spark, home, table, few).write.partitionBy(*dates).parquet(f"{home}/{table}/part={part['dir']}")
+            _read_parts(spark, home, table, few).write.partitionBy(*dates).option("compression", "zstd").parquet(f"{home}/{table}/part={part['dir']}")
     _commit(spark, out_dir, {**begun, "parts": [*[p for p in begun["parts"] if p not in few], part]}, begun)
     return len(few)
 
@@ -211,7 +235,7 @@ def open_dataset(spark: SparkSession, out_dir: str, snapshot: Snapshot | None =
     if snapshot is not None and snapshot.generation != state["generation"]:
         raise ValueError("the dataset was replaced; start a new search")
     events, observations = (_read_parts(spark, f"{out_dir}/{state['generation']}", table, state["parts"]) for table in ("events", "observations"))
-    return (events if snapshot is None else snapshot.of(events)), observations.drop(_ROW)
+    return (events if snapshot is None else snapshot.of(events)), _repeated(observations).drop(_ROW)
 
 
 def committed_after(spark: SparkSession, out_dir: str, version: int, seq: int) -> tuple[DataFrame | None, dict]:

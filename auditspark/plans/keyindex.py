@@ -27,7 +27,7 @@ def write_run(keys: DataFrame, home: str, rows: int, per_bucket: int = KEYS_PER_
     run = {"dir": f"keys/run-{uuid.uuid4().hex}", "rows": rows, "buckets": buckets}
     hashed = keys.select(F.xxhash64("eventKey").alias("h"), "eventKey").withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     hashed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "h").write.partitionBy("bucket") \
-        .option("parquet.bloom.filter.enabled#h", "true").option("parquet.bloom.filter.expected.ndv#h", str(2 * per_bucket)).parquet(f"{home}/{run['dir']}")
+        .option("parquet.bloom.filter.enabled#h", "true").option("parquet.bloom.filter.expected.ndv#h", str(2 * per_bucket)).option("compression", "zstd").parquet(f"{home}/{run['dir']}")
     return run
 
 

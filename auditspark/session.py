@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -43,6 +47,50 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the execution that made them ends, not when the driver happens to collect its garbage.
+
+    For frames that are executed once: one that is executed again has to make its shuffles again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove the shuffle files of what has ended and is not referred to any more, as of a stream's batches."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A shared folder for what is stored while a step runs; it is removed with the step."""
+    path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        remove(spark, path)
+
+
+def put_aside(df: DataFrame, folder: str) -> DataFrame:
+    """The rows of ``df``, stored below a scratch folder as packed columns: a checkpoint keeps whole rows as they are."""
+    spark, path = df.sparkSession, f"{folder}/{uuid.uuid4().hex}"
+    with freed_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` reliably: its rows survive the loss of executors."""
     shared_folder(df.sparkSession)

@@ -208,7 +208,7 @@ def audit_events(spark: SparkSession, sf_dir: str, tick_ms: int = 1) -> DataFram
     key = (spark.sparkContext.applicationId, sf_dir, tick_ms)
     if key not in _stored:
         path = f"{shared_folder(spark)}/audit-events-{uuid.uuid4().hex}"
-        with_facts(project_events(spark, sf_dir, tick_ms)).write.parquet(path)
+        with_facts(project_events(spark, sf_dir, tick_ms)).write.option("compression", "zstd").parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
 

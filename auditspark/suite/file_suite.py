@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..model import Filter
 from ..operators import lineage, maintain
-from ..session import shared_folder
+from ..session import freed_shuffles, shared_folder
 from ..sources import readers, sinks
 from .common import KEY_SQL, ev, with_ev
 from .lineage_suite import resolve_ctes
@@ -43,7 +43,8 @@ def _lists(spark, sf, before: str, after: str, item=None) -> str:
     texts = F.sort_array(F.collect_list(F.struct("seq", (F.col("raw") if item is None else item).alias("t"))))
     lines = ev(spark, sf).groupBy(F.floor(F.col("seq") / LISTED).alias("g")).agg(
         F.concat(F.lit(before), F.array_join(F.transform(texts, lambda x: x["t"]), ",\n "), F.lit(after)).alias("value"))
-    lines.select("value").write.option("compression", "gzip").text(f"{path}/deep/er")
+    with freed_shuffles(spark):
+        lines.select("value").write.option("compression", "gzip").text(f"{path}/deep/er")
     return path
 
 
@@ -66,7 +67,8 @@ def _large(spark, sf) -> str:
     path = _folder(spark)
     texts = F.sort_array(F.collect_list(F.struct("seq", F.col("raw").alias("t"))))
     lists = ev(spark, sf).groupBy(F.floor(F.col("seq") / LISTED).alias("g")).agg(F.array_join(F.transform(texts, lambda x: x["t"]), ",\n ").alias("t"))
-    lists.select(F.concat(F.lit('{"note":{"Records":[1]},"Records":['), "t", F.lit('],"end":"}"}'))).write.text(path)
+    with freed_shuffles(spark):
+        lists.select(F.concat(F.lit('{"note":{"Records":[1]},"Records":['), "t", F.lit('],"end":"}"}'))).write.text(path)
     return path
 
 
