@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..model import Filter, Snapshot
 from ..operators.search import apply_filter
-from ..session import checkpoint
+from ..session import checkpoint, freed_shuffles
 from .pointer import write_text
 
 
@@ -26,8 +26,9 @@ def export_matches(events: DataFrame, f: Filter | None, snapshot: Snapshot, path
         raise ValueError(f"{bad} of the stored records cannot be read as JSON, so nothing is written")
     newest = F.col("seq").desc()
     line = F.when(F.col("raw").rlike(r"[\r\n]|^\s*\["), F.to_json(F.array("raw"))).otherwise(F.col("raw"))
-    rows.repartitionByRange(newest).sortWithinPartitions(newest).select(line.alias("value")) \
-        .write.mode("errorifexists").text(f"{path}/records")
+    with freed_shuffles(rows.sparkSession):
+        rows.repartitionByRange(newest).sortWithinPartitions(newest).select(line.alias("value")) \
+            .write.mode("errorifexists").text(f"{path}/records")
     write_text(rows.sparkSession, f"{path}/manifest.json", json.dumps(
         {"count": total, "generation": snapshot.generation, "maxSeq": snapshot.max_seq}))
     return total
