@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from ..functions.labels import content_key
 from ..operators.hunts import match_sequence
 from ..operators.maintain import append_events, committed_after, state_folder
-from ..session import checkpoint
+from ..session import checkpoint, freed_shuffles, put_aside, scratch
 from ..sources.pointer import read_text
 from ..sources.readers import open_envelopes
 
@@ -21,6 +21,8 @@ from ..sources.readers import open_envelopes
 ALL_MANAGEMENT = ("AWS API Call via CloudTrail", "AWS Console Sign In via CloudTrail", "AWS Console Signin via CloudTrail",
                   "AWS Console Action via CloudTrail", "AWS Service Event via CloudTrail")
 WRITE_ONLY = ALL_MANAGEMENT[:1]
+#: Most hashes of repeated texts of a batch that every task is told.
+FEW_COPIES = 1 << 14
 
 
 def capture_scope(messages: DataFrame, write_only: bool = False, extra: Column | None = None, column: str = "value") -> DataFrame:
@@ -36,11 +38,21 @@ def capture_scope(messages: DataFrame, write_only: bool = False, extra: Column |
 def batch_records(records: DataFrame, source: str) -> DataFrame:
     """Message bodies as records; the order inside a batch is the record text, so a retry repeats it.
 
-    Equal texts of a batch are numbered, so that each keeps an ordinal of its own.
+    Equal texts of a batch are numbered, so that each keeps an ordinal of its own.  Hashes tell which texts may be equal;
+    while they are few, the other texts stay where they are.
     """
-    copy = F.row_number().over(Window.partitionBy(F.xxhash64("raw")).orderBy("raw"))
-    records = records.withColumn("_copy", copy)
-    return records.select(
+    hashed = records.withColumn("_hash", F.xxhash64("raw"))
+    with freed_shuffles(records.sparkSession):
+        again = checkpoint(hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash"))
+        some = again.limit(FEW_COPIES + 1).count()
+    copy = F.row_number().over(Window.partitionBy("_hash").orderBy("raw"))
+    if some > FEW_COPIES:
+        numbered = hashed.withColumn("_copy", copy)
+    else:
+        numbered = hashed.join(F.broadcast(again), "_hash", "left_anti").withColumn("_copy", F.lit(1))
+        if some:
+            numbered = numbered.unionByName(hashed.join(F.broadcast(again), "_hash", "left_semi").withColumn("_copy", copy))
+    return numbered.select(
         "raw", F.col("raw").alias("original"), F.lit(source).alias("source"), F.xxhash64("raw", "_copy").alias("ordinal"),
         F.lit("live").alias("format"), F.lit(False).alias("lossy"), F.lit(None).cast("string").alias("error"))
 
@@ -54,10 +66,12 @@ def intake_batch(messages: DataFrame, batch_id: int, out_dir: str, rejects_dir:
 
     ``stream`` is the query's id: batches of another query, or of one whose progress was lost, have other names.
     """
-    opened = checkpoint(messages if "raw" in messages.columns else open_envelopes(messages))
     name = _batch_name(source, stream, batch_id)
-    opened.filter("raw IS NULL").select("value").write.mode("overwrite").parquet(f"{rejects_dir}/{name}")
-    append_events(batch_records(opened.filter("raw IS NOT NULL"), source), out_dir, name)
+    with scratch(messages.sparkSession) as folder:
+        opened = messages if "raw" in messages.columns else open_envelopes(messages)
+        opened = put_aside(opened.select("raw", F.when(F.col("raw").isNull(), F.col("value")).alias("value")), folder)
+        opened.filter("raw IS NULL").select("value").write.mode("overwrite").option("compression", "zstd").parquet(f"{rejects_dir}/{name}")
+        append_events(batch_records(opened.filter("raw IS NOT NULL"), source), out_dir, name)
 
 
 def reject_counts(spark, rejects_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ _DATA = "coalesce(eventID, '') <> ''"
 def intake_counts(spark, sf):
     """Messages and rejects as the batches observed them, beside the rejects and events that are stored."""
     queue, home, rejects, progress = (_folder(spark) for _ in range(4))
-    _messages(spark, sf).select("value").write.text(queue)
+    _messages(spark, sf).select("value").write.option("compression", "gzip").text(queue)
     counts = intake.IntakeCounts()
     spark.streams.addListener(counts)
     query = intake.start_intake(spark.readStream.text(queue), home, rejects, progress, availableNow=True)
