@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import maintain
-from ..session import shared_folder
+from ..session import release, shared_folder
 from ..streaming import intake
 from .common import KEY_SQL, ev, with_ev
 
@@ -62,9 +62,10 @@ def redelivered_messages(spark, sf):
     queue, home, rejects, progress = (_folder(spark) for _ in range(4))
     for minute, part in enumerate((F.lit(True), F.lit(True), F.col("eventNo") % 5 < 2)):
         at = F.to_timestamp(F.lit(f"2024-01-01 00:{10 * minute:02d}:00"))
-        _messages(spark, sf).filter(part).select("value", at.alias("at")).write.mode("append").parquet(queue)
+        _messages(spark, sf).filter(part).select("value", at.alias("at")).write.mode("append").option("compression", "zstd").parquet(queue)
         messages = spark.readStream.schema("value string, at timestamp").parquet(queue)
         intake.start_intake(messages, home, rejects, progress, within="1 hour", arrival=F.col("at"), availableNow=True).awaitTermination()
+        release(spark)
     return maintain.open_dataset(spark, home)[1].groupBy("eventKey").agg(F.count(F.lit(1)).cast("int").alias("copies"))
 
 
