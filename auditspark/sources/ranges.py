@@ -13,11 +13,12 @@ by the plain reader.  No task holds more than a block, a record and what surroun
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import checkpoint
@@ -27,7 +28,7 @@ BLOCK_BYTES = 1 << 20
 NEAR = 1 << 12
 LISTS = (b"Records", b"Events")
 _OPEN, _CLOSE, _QUOTE, _BACK, _COMMA = b"{[", b"}]", 34, 92, 44
-_STEP = np.zeros(256, np.int64)
+_STEP = np.zeros(256, np.int8)
 _STEP[list(_OPEN)], _STEP[list(_CLOSE)] = 1, -1
 _BLANK = b" \r\n\t"
 _BOM = b"\xef\xbb\xbf"
@@ -35,21 +36,32 @@ _BOM = b"\xef\xbb\xbf"
 #: What a scan gives: a whole piece, or the part of one that a range holds.
 CUT = "source string, start bigint, place bigint, kind string, begins boolean, ends boolean, text binary"
 _CUT_NAMES = [f.split()[0] for f in CUT.split(", ")]
+_CUT_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.binary())
 
 
 # --- what a piece of JSON does to the state -------------------------------------------
 
-def _outside(data: np.ndarray, inside: bool) -> tuple[np.ndarray, bool]:
-    """Bytes outside strings, and whether the data ends inside one."""
-    quotes = data == _QUOTE
-    back = data == _BACK
-    if back.any():
-        place = np.arange(len(data))
-        run = place - np.maximum.accumulate(np.where(back, -1, place))  # backslashes that end here
-        quotes[1:] &= run[:-1] % 2 == 0
-    count = np.cumsum(quotes)
-    within = (count - quotes) % 2 == (0 if inside else 1)
-    return ~within & ~quotes, bool(count[-1] % 2) != inside if len(data) else inside
+def _quotes(data: np.ndarray) -> np.ndarray:
+    """Places of the quotes that begin or end a string, which an even run of backslashes stands before."""
+    quotes = np.flatnonzero(data == _QUOTE)
+    behind = np.flatnonzero((data[quotes - 1] == _BACK) & (quotes > 0))
+    if len(behind):
+        back = np.flatnonzero(data == _BACK)
+        first = back[np.concatenate([[True], np.diff(back) > 1])]  # of each run
+        run = quotes[behind] - first[np.searchsorted(first, quotes[behind]) - 1]
+        quotes = np.delete(quotes, behind[run % 2 == 1])
+    return quotes
+
+
+def _outside(places: np.ndarray, quotes: np.ndarray, inside: bool) -> np.ndarray:
+    """Those of the places that lie outside strings, in data that begins inside one or not."""
+    return places[np.searchsorted(quotes, places) % 2 == int(inside)]
+
+
+def _marked(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes, the places of the quotes, and those of the brackets inside and outside strings."""
+    data = np.frombuffer(text, np.uint8)
+    return data, _quotes(data), np.flatnonzero(_STEP[data])
 
 
 def _member(text: bytes, at: int) -> bytes | None:
@@ -65,14 +77,13 @@ def _member(text: bytes, at: int) -> bytes | None:
         return None
 
 
-def summed_json(text: bytes, inside: bool) -> tuple[bool, int, list]:
+def summed_json(text: bytes, inside: bool, marked: tuple | None = None) -> tuple[bool, int, list]:
     """(ends inside, brackets closed, brackets left open as (bracket, member))."""
-    data = np.frombuffer(text, np.uint8)
-    outside, ends = _outside(data, inside)
-    places = np.flatnonzero((_STEP[data] != 0) & outside)
+    data, quotes, brackets = marked or _marked(text)
+    places, ends = _outside(brackets, quotes, inside), bool(len(quotes) % 2) != inside
     if not len(places):
         return ends, 0, []
-    depth = np.cumsum(_STEP[data[places]])
+    depth = np.cumsum(_STEP[data[places]], dtype=np.int64)
     lowest = min(0, int(depth.min()))
     left = []
     for level in range(lowest + 1, int(depth[-1]) + 1):
@@ -88,6 +99,16 @@ def composed(first: tuple, second: tuple) -> tuple:
     return second[0], first[1] + max(0, -kept), [*first[2][:max(0, kept)], *second[2]]
 
 
+def both_json(text: bytes) -> list[tuple]:
+    """The sums for both states, of marks found once."""
+    marked = _marked(text)
+    return [summed_json(text, inside, marked) for inside in (False, True)]
+
+
+def both_csv(text: bytes) -> list[tuple]:
+    return [summed_csv(text, inside) for inside in (False, True)]
+
+
 def summed_csv(text: bytes, inside: bool) -> tuple[bool, int, list]:
     for line in text.split(b"\n"):
         inside = _after_line(line, inside)
@@ -119,37 +140,59 @@ def _after_line(line: bytes, inside: bool) -> bool:
 
 # --- pieces of a range -----------------------------------------------------------------
 
-def _blocks(separator: bytes) -> Callable:
+def _blocks(separator: bytes, source_type: pa.DataType = pa.string()) -> Callable:
     """Task: the pieces of each range joined again into blocks that end with a separator."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, size, count = None, [], 0, 0
 
         def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, count, b"".join(held)), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, count, b"".join(held)), (source_type, pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
                                               names=["source", "start", "size", "block", "text"])
 
         for batch in batches:
-            sources, starts, sizes = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            for piece, *own in zip(batch.column(0), sources, starts, sizes):
-                if tuple(own) != key or size >= BLOCK_BYTES:
-                    if held:
-                        yield block()
-                    key, held, size, count = tuple(own), [], 0, count + 1 if tuple(own) == key else 0
-                text = piece.as_py() + separator
-                held.append(text)
-                size += len(text)
+            if not batch.num_rows:
+                continue
+            pieces, sources, starts, sizes = batch.columns
+            other = pc.or_(pc.not_equal(starts[1:], starts[:-1]), pc.not_equal(sources[1:], sources[:-1]))
+            edges = [0, *(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+            upto = np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64) + 1)  # bytes with separators
+            texts = pieces.to_pylist()
+            for at, end in zip(edges, edges[1:]):  # the pieces of one range
+                own = (sources[at].as_py(), starts[at].as_py(), sizes[at].as_py())
+                while at < end:
+                    if own != key or size >= BLOCK_BYTES:
+                        if held:
+                            yield block()
+                        key, held, size, count = own, [], 0, count + 1 if own == key else 0
+                    before = int(upto[at - 1]) if at else 0
+                    # as many pieces as fill the block
+                    to = min(end, int(np.searchsorted(upto, before + BLOCK_BYTES - size)) + 1)
+                    held.append(separator.join(texts[at:to]) + separator)
+                    size, at = size + int(upto[to - 1]) - before, to
         if held:
             yield block()
 
     return run
 
 
-def blocks_of(spark: SparkSession, paths: list[str], separator: str) -> DataFrame:
-    """(source, start, size, block, text): the bytes of each range in order; the last block of a file may have a separator too many."""
-    pieces = spark.read.option("lineSep", separator).text(paths)
-    named = pieces.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("start"),
-                          F.col("_metadata.file_size").alias("size"))
-    return named.mapInArrow(_blocks(separator.encode()), "source string, start bigint, size bigint, block bigint, text binary")
+def _read(spark: SparkSession, paths: list[str], separator: str, hashed: bool = False) -> DataFrame:
+    pieces, source = spark.read.option("lineSep", separator).text(paths), F.col("_metadata.file_path")
+    return pieces.select(F.col("value").cast("binary").alias("value"), (F.xxhash64(source) if hashed else source).alias("source"),
+                         F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"))
+
+
+def blocks_of(spark: SparkSession, paths: list[str], separator: str, hashed: bool = False) -> DataFrame:
+    """(source, start, size, block, text): the bytes of each range in order; the last block of a file may have a separator too many.
+
+    A path is often longer than a piece; ``hashed`` gives its hash instead.
+    """
+    cut = _blocks(separator.encode(), pa.int64() if hashed else pa.string())
+    return _read(spark, paths, separator, hashed).mapInArrow(cut, f"source {'bigint' if hashed else 'string'}, start bigint, size bigint, block bigint, text binary")
+
+
+def _told_apart(states: DataFrame) -> bool:
+    """Whether the hashes of the paths tell the files apart."""
+    return states.agg(F.count_distinct("source") == F.count_distinct(F.xxhash64("source"))).first()[0]
 
 
 def _head(text: bytes) -> bytes:
@@ -162,25 +205,25 @@ def _head(text: bytes) -> bytes:
     return text[:at]
 
 
-def _sums(summed: Callable) -> Callable:
+def _sums(summed: Callable, separator: bytes) -> Callable:
     """Task: both sums of each range and its length; of the first range of a file, how it begins."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, both, length, head = None, None, 0, b""
 
-        def row() -> pd.DataFrame:
-            return pd.DataFrame([(*key, length, json.dumps(both), head)], columns=["source", "start", "size", "length", "sums", "head"])
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, length, json.dumps(both), head), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],
+                                              names=["source", "start", "size", "length", "sums", "head"])
 
-        for frame in frames:
-            for source, start, size, text in zip(frame["source"], frame["start"], frame["size"], frame["text"]):
-                text = bytes(text)
-                new = [summed(text, inside) for inside in (False, True)]
+        for block in _blocks(separator)(batches):
+            for source, start, size, _, text in zip(*(column.to_pylist() for column in block.columns)):
+                new = summed(text)
                 if (source, start, size) == key:
                     both, length = [composed(s, new[s[0]]) for s in both], length + len(text)
                 else:
                     if key is not None:
                         yield row()
                     key, both, length = (source, start, size), new, len(text)
-                    head = b"" if start or summed is not summed_csv else _head(text.removeprefix(_BOM))
+                    head = b"" if start or summed is not both_csv else _head(text.removeprefix(_BOM))
         if key is not None:
             yield row()
 
@@ -241,13 +284,16 @@ class JsonCutter:
         """(kind, begins here, ends here, text) of what is complete."""
         if self.first:
             text, self.first = text.removeprefix(_BOM), False
-        data = np.frombuffer(text, np.uint8)
-        outside, self.inside = _outside(data, self.inside)
-        places = np.flatnonzero((_STEP[data] != 0) & outside)
-        depth = self.depth + np.cumsum(_STEP[data[places]])
+        data, quotes, places = _marked(text)
+        places = _outside(places, quotes, self.inside)
+        depth = self.depth + np.cumsum(_STEP[data[places]], dtype=np.int64)
         low = np.flatnonzero(depth <= 2)
-        commas = np.flatnonzero((data == _COMMA) & outside)
-        before = np.concatenate([[self.depth], depth])[np.searchsorted(places, commas)]  # depth at each comma
+        commas = np.flatnonzero(data == _COMMA)
+        at_depth = np.concatenate([[self.depth], depth])
+        commas = commas[at_depth[np.searchsorted(places, commas)] <= 2]  # those between elements are that low
+        commas = _outside(commas, quotes, self.inside)
+        before = at_depth[np.searchsorted(places, commas)]  # depth at each comma
+        self.inside = bool(len(quotes) % 2) != self.inside
         last_depth = int(depth[-1]) if len(depth) else self.depth
         at = 0
         while at < len(text):
@@ -331,20 +377,26 @@ class CsvCutter:
             yield "row", self.begins, False, b"".join(self.row)
 
 
-def _cuts(cutter: Callable) -> Callable:
-    """Task: pieces and parts of pieces of whole ranges, numbered in their order."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _as_cuts(rows: Iterable[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(column), type=t) for column, t in zip(zip(*rows), _CUT_TYPES)], names=_CUT_NAMES)
+
+
+def _cuts(cutter: Callable, whole: bool, made: Callable) -> Callable:
+    """Task: whole pieces of the ranges, or the parts of pieces that span ranges, numbered in their order; ``made`` makes batches of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, cut, place, rows, size, held, surplus = None, None, 0, [], 0, b"", 0
 
         def put(found) -> None:
             nonlocal place, size
             for kind, begins, ends, text in found:
-                rows.append((*key, place, kind, begins, ends, text))
-                place, size = place + 1, size + len(text)
+                if (begins and ends) == whole:
+                    rows.append((*key, place, kind, begins, ends, text))
+                    size += len(text)
+                place += 1
 
-        def given() -> pd.DataFrame:
+        def given() -> pa.RecordBatch:
             nonlocal rows, size
-            out, rows, size = pd.DataFrame(rows, columns=_CUT_NAMES), [], 0
+            out, rows, size = made(rows), [], 0
             return out
 
         def finish() -> None:
@@ -352,14 +404,14 @@ def _cuts(cutter: Callable) -> Callable:
                 put(cut.cut(held[:-1] if surplus else held))
                 put(cut.left())
 
-        for frame in frames:
-            for source, start, text, inside, left, more, head in zip(*(frame[c] for c in ("source", "start", "text", "inside", "open", "surplus", "head"))):
+        for batch in batches:
+            for source, start, text, inside, left, more, head in zip(*(batch.column(c).to_pylist() for c in ("source", "start", "text", "inside", "open", "surplus", "head"))):
                 if (source, start) != key:
                     finish()
-                    key, cut, place, surplus = (source, start), cutter(inside, json.loads(left), bytes(head), start == 0), 0, more
+                    key, cut, place, surplus = (source, start), cutter(inside, json.loads(left), head, start == 0), 0, more
                 else:
                     put(cut.cut(held))
-                held = bytes(text)  # the last block of a range may end with a separator too many
+                held = text  # the last block of a range may end with a separator too many
                 if size >= BLOCK_BYTES:
                     yield given()
         finish()
@@ -380,19 +432,28 @@ def _joined(parts: DataFrame) -> DataFrame:
     return whole.select("source", "first.start", "first.place", "first.kind", text.alias("text"))
 
 
-def pieces_of(spark: SparkSession, paths: list[str], csv: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(pieces, errors): whole pieces (source, start, place, kind, text) of the files, and (source, start, error) of broken ones.
+def pieces_of(spark: SparkSession, paths: list[str], csv: bool, made: Callable, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors): what ``made`` makes of whole pieces of the files, and (source, start, error) of broken ones.
 
-    Kinds: ``element`` of a list of records, ``Events`` of a list of wrapped ones, ``value`` for what else a top-level
-    value holds, ``row`` for a row of a CSV file behind its header.  The files are scanned once for the states and once
-    each for the pieces that lie in a range and those at its ends.
+    ``made`` gets rows of CUT and gives a batch of ``schema``; it runs where the pieces are cut.  Kinds: ``element`` of a
+    list of records, ``Events`` of a list of wrapped ones, ``value`` for what else a top-level value holds, ``row`` for a
+    row of a CSV file behind its header.  The files are scanned once for the states and once each for the pieces that lie
+    in a range and those at its ends.  The states, a row per range, are told to all tasks, so the text stays where it is read.
     """
-    separator = "\n" if csv else "}"
-    blocks = blocks_of(spark, paths, separator)
-    sums = blocks.select("source", "start", "size", "text").mapInPandas(_sums(summed_csv if csv else summed_json),
-                                                                        "source string, start bigint, size bigint, length bigint, sums string, head binary")
+    separator, cutter = "\n" if csv else "}", CsvCutter if csv else JsonCutter
+    sums = _read(spark, paths, separator).mapInArrow(_sums(both_csv if csv else both_json, separator.encode()),
+                                                     "source string, start bigint, size bigint, length bigint, sums string, head binary")
     states = checkpoint(sums.withColumn("separator", F.lit(separator)).groupBy("source").applyInPandas(_states, _STATE))  # a row per range
-    known = blocks.join(states.filter("error IS NULL").drop("error"), ["source", "start"]).sortWithinPartitions("source", "start", "block")
-    cut = known.mapInPandas(_cuts(CsvCutter if csv else JsonCutter), CUT)
-    whole = cut.filter("begins AND ends").select("source", "start", "place", "kind", "text")
-    return whole.unionByName(_joined(cut.filter("NOT (begins AND ends)"))), states.filter("error IS NOT NULL").groupBy("source").agg(F.max("start").alias("start"), F.first("error").alias("error"))
+    hashed, told = _told_apart(states), F.broadcast(states.filter("error IS NULL").drop("error"))
+    blocks = blocks_of(spark, paths, separator, hashed).withColumnRenamed("source", "file").withColumnRenamed("start", "place")
+    known = blocks.join(told, (F.col("file") == (F.xxhash64("source") if hashed else F.col("source"))) & (F.col("place") == F.col("start"))) \
+        .select("source", "start", "text", "inside", "open", "surplus", "head")
+    whole = known.mapInArrow(_cuts(cutter, True, made), schema)
+    joined = _joined(known.mapInArrow(_cuts(cutter, False, _as_cuts), CUT)).select("source", "start", "place", "kind", F.lit(True).alias("begins"), F.lit(True).alias("ends"), "text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield made(list(zip(*(column.to_pylist() for column in batch.columns))))
+
+    return whole.unionByName(joined.mapInArrow(rows, schema)), states.filter("error IS NOT NULL").groupBy("source").agg(F.max("start").alias("start"), F.first("error").alias("error"))

@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 
 from auditspark.sources import ranges, readers
@@ -87,3 +88,36 @@ def test_sums_compose():
                 state = ranges.composed(state, ranges.summed_json(p, state[0]))
             whole = ranges.summed_json(text.encode(), inside)
             assert (state[0], state[1], [b for b, _ in state[2]]) == (whole[0], whole[1], [b for b, _ in whole[2]])
+
+
+@pytest.mark.parametrize("told_apart", [True, False])
+def test_text_stays_where_it_is_read(spark, tmp_path, small_ranges, monkeypatch, told_apart):
+    rng = random.Random(5)
+    for name in "abc":
+        (tmp_path / f"{name}.json").write_text('{"Records":[%s],"end":"}"}' % ",".join(record(rng, k) for k in range(40)))
+    want = sorted(read(spark, tmp_path))
+    monkeypatch.setattr(ranges, "_told_apart", lambda states: told_apart)
+    got = readers.read_records(spark, str(tmp_path), whole_bytes=10)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    assert sorted((r.raw, r.original, r.format, r.lossy, r.error is not None) for r in got.collect()) == want
+    assert {r.source for r in got.select("source").collect()} == {r.source for r in readers.read_records(spark, str(tmp_path)).select("source").collect()}
+
+
+def test_marks_are_found_once_for_both_states(monkeypatch):
+    rng, found = random.Random(6), []
+    text = "".join(record(rng, k) for k in range(50)).encode()
+    marked = ranges._marked
+    monkeypatch.setattr(ranges, "_marked", lambda t: found.append(1) or marked(t))
+    both = ranges.both_json(text)
+    assert len(found) == 1 and both == [ranges.summed_json(text, False), ranges.summed_json(text, True)]
+
+
+@pytest.mark.parametrize("text", [b'"', b'\\"', b'\\\\"', b'a\\\\\\"b"', b'"\\"\\\\"x\\', b"", b'\\\\\\\\""\\"'])
+def test_quotes_behind_backslashes(text):
+    want, run = [], 0
+    for k, c in enumerate(text):
+        if c == ord('"') and run % 2 == 0:
+            want.append(k)
+        run = run + 1 if c == ord("\\") else 0
+    assert ranges._quotes(np.frombuffer(text, np.uint8)).tolist() == want
