@@ -273,8 +273,9 @@ def lookup(table: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
 
 def require_all(found: DataFrame) -> DataFrame:
     """Fail when a requested row is missing (one small action)."""
-    if not found.filter(~F.col("found")).isEmpty():
-        raise ValueError("not every record that was asked for is stored")
+    with freed_shuffles(found.sparkSession):
+        if not found.filter(~F.col("found")).isEmpty():
+            raise ValueError("not every record that was asked for is stored")
     return found
 
 

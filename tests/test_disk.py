@@ -108,6 +108,20 @@ def test_texts_that_come_once_are_not_shuffled(spark):
     assert not held.exists()
 
 
+def test_a_lookup_that_is_checked_leaves_no_shuffle(spark):
+    shuffles_before, held = shuffles(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.col("id").alias("n"))
+        found = maintain.require_all(maintain.lookup(table, table.select("id"), "id"))
+        assert not shuffles(spark) - shuffles_before
+        assert found.count() == 2000
+        with pytest.raises(ValueError):
+            maintain.require_all(maintain.lookup(table, table.select(F.concat("id", F.lit("x")).alias("id")), "id"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_what_has_ended_is_cleaned(spark):
     frame = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
     with freed_shuffles(spark):
